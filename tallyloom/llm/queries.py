@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding
+from . import mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_min_cost_mix": mixing.op4_min_cost_mix,
         "op7_histogram_sort": sharding.op7_histogram_sort,
     }
 
