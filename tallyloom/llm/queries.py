@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_pre_token_counts": tokens.op2_pre_token_counts,
         "op4_min_cost_mix": mixing.op4_min_cost_mix,
         "op7_histogram_sort": sharding.op7_histogram_sort,
     }
