@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, language, mixing, sharding, tokens
+from . import decontamination, html, language, mixing, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,9 @@ def queries() -> dict[str, Query]:
         "op5_language_filters": language.op5_language_filters,
         "op7_histogram_sort": sharding.op7_histogram_sort,
         "op9_line_blocks": html.op9_line_blocks,
+        "op10_spaced_seeds": decontamination.op10_spaced_seeds,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_spaced_seeds": decontamination.ORACLE_SQL}
