@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,10 +44,31 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: Bits of a place (block, position) for the position, and of a block for the batch.
+_POSITION, _BATCH = 28, 15
+#: Bits of a position with its count for the count.
+_COUNT = 32
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     part = TaskContext.get().partitionId()
     for n, batch in enumerate(batches):
-        yield (part << 32) + n, batch
+        if n >> _BATCH:
+            raise ValueError(f"a partition of more than {1 << _BATCH} batches")
+        yield (part << _BATCH) + n, batch
+
+
+def _packed(at: np.ndarray, often: np.ndarray, packer: zstandard.ZstdCompressor) -> bytes:
+    """Ascending positions as steps, and frequencies, byte plane by byte plane."""
+    both = np.concatenate([np.diff(at, prepend=np.int32(0)), often]).astype("<u4")
+    return packer.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(raw: bytes, unpacker: zstandard.ZstdDecompressor) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(unpacker.decompress(raw), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    half = len(both) // 2
+    return np.cumsum(both[:half]), both[half:]
 
 
 def _frequencies(texts: list[str | None]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
@@ -66,19 +88,17 @@ def _frequencies(texts: list[str | None]) -> tuple[list[str], list[np.ndarray],
 def _pre_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, batch in _blocks(batches):
         tokens, _, _ = _frequencies(batch.column("text").to_pylist())
-        n = len(tokens)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tokens, pa.string()), pa.array(np.full(n, block, np.int64)), pa.array(np.arange(n, dtype=np.int32))],
-            ["pre_token", "block", "at"],
-        )
+        places = (block << _POSITION) + np.arange(len(tokens), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(places)], ["pre_token", "place"])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=1)
     for block, batch in _blocks(batches):
         texts = batch.column("text")
         _, at, often = _frequencies(texts.to_pylist())
         size = pa.array([len(t.encode()) if t else 0 for t in texts.to_pylist()], pa.int64())
-        packed = [np.concatenate([a, b]).tobytes() for a, b in zip(at, often, strict=True)]
+        packed = [_packed(a, b, packer) for a, b in zip(at, often, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), size, pa.array(np.full(len(texts), block, np.int64)), pa.array(packed, pa.binary())],
             ["doc_id", "n_bytes", "block", "packed"],
@@ -106,19 +126,22 @@ def _counted(path: str):
                     before, n = t, next(counts)
                 out.append(n)
             known = (before, n)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(out, pa.int32())], ["block", "at", "pieces"])
+            places = batch.column("place").to_numpy()
+            counted = ((places & ((1 << _POSITION) - 1)) << _COUNT) + np.array(out, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(places >> _POSITION), pa.array(counted)], ["block", "counted"])
 
     return count
 
 
 def _summed(documents: pa.Table, counts: pa.Table) -> pa.Table:
+    unpacker = zstandard.ZstdDecompressor()
+    counted = counts["counted"].to_numpy()
     pieces = np.zeros(len(counts), np.int64)
-    pieces[counts["at"].to_numpy()] = counts["pieces"].to_numpy()
+    pieces[counted >> _COUNT] = counted & ((1 << _COUNT) - 1)
     totals = []
     for raw in documents["packed"].to_pylist():
-        both = np.frombuffer(raw, np.int32)
-        half = len(both) // 2
-        totals.append(int(pieces[both[:half]] @ both[half:]))
+        at, often = _unpacked(raw, unpacker)
+        totals.append(int(pieces[at] @ often))
     return pa.table({"doc_id": documents["doc_id"], "n_bytes": documents["n_bytes"], "n_tokens": pa.array(totals, pa.int64())})
 
 
@@ -127,11 +150,11 @@ def token_counts(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     docs = df.select("doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    pre_tokens = docs.mapInArrow(_pre_tokens, "pre_token string, block long, at int")
+    pre_tokens = docs.mapInArrow(_pre_tokens, "pre_token string, place long")
     counts = (
         pre_tokens.repartition(partitions(spark), "pre_token")
         .sortWithinPartitions("pre_token")
-        .mapInArrow(_counted(path or vocabulary_path()), "block long, at int, pieces int")
+        .mapInArrow(_counted(path or vocabulary_path()), "block long, counted long")
     )
     frequencies = docs.mapInArrow(_documents, f"doc_id {kind}, n_bytes long, block long, packed binary")
     return (
