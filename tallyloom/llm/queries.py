@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, language, mixing, sharding, tokens
+from . import decontamination, html, jaccard, language, mixing, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op4_min_cost_mix": mixing.op4_min_cost_mix,
         "op5_language_filters": language.op5_language_filters,
         "op7_histogram_sort": sharding.op7_histogram_sort,
+        "op8_heavy_light_jaccard": jaccard.op8_heavy_light_jaccard,
         "op9_line_blocks": html.op9_line_blocks,
         "op10_spaced_seeds": decontamination.op10_spaced_seeds,
     }
