@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, jaccard, language, mixing, sharding, tokens
+from . import decontamination, html, jaccard, language, mixing, passages, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_collinear_chains": passages.op1_collinear_chains,
         "op2_pre_token_counts": tokens.op2_pre_token_counts,
         "op4_min_cost_mix": mixing.op4_min_cost_mix,
         "op5_language_filters": language.op5_language_filters,
