@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html, jaccard, language, mixing, passages, sharding, tokens
+from . import chat, decontamination, html, jaccard, language, mixing, passages, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_collinear_chains": passages.op1_collinear_chains,
         "op2_pre_token_counts": tokens.op2_pre_token_counts,
+        "op3_tool_call_links": chat.op3_tool_call_links,
         "op4_min_cost_mix": mixing.op4_min_cost_mix,
         "op5_language_filters": language.op5_language_filters,
         "op7_histogram_sort": sharding.op7_histogram_sort,
