@@ -1,13 +1,67 @@
-"""The corpus pipeline: language ID, near copies, decontamination, mixing, sharding."""
+"""The corpus pipeline: language ID, near copies, decontamination, mixing, sharding.
+
+Each stage takes what its predecessor kept, whole, and its decisions take effect: rejected
+documents, copies and leaked documents go, and what the mix takes twice is there twice.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyloom.llm import decontamination, jaccard, language, mixing, sharding
+from tallyloom.llm.common import materialised, table, word_count
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told; those that are undetermined go."""
+    model = language.fit(language.labelled_rows(docs))
+    told = language.predicted(docs, model)
+    return told.filter(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold nothing of the benchmark."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once, or more often."""
+    mix = mixing.mixed(docs, mixing.weighted_targets, F.array("source"), word_count(F.col("text")), mixing.document_draw())
+    taken = mix.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return taken.select(*docs.columns)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with ``size``, ``shard`` and ``slot``."""
+    return sharding.histogram_sort(docs)
+
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
+
+#: The stages train a model and draw documents, which SQL doesn't express; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialised(docs)
     return docs
