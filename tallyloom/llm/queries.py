@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html, jaccard, language, mixing, passages, sharding, tokens
+from . import chat, decontamination, html, jaccard, language, mixing, neighbours, passages, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_tool_call_links": chat.op3_tool_call_links,
         "op4_min_cost_mix": mixing.op4_min_cost_mix,
         "op5_language_filters": language.op5_language_filters,
+        "op6_nn_descent": neighbours.op6_nn_descent,
         "op7_histogram_sort": sharding.op7_histogram_sort,
         "op8_heavy_light_jaccard": jaccard.op8_heavy_light_jaccard,
         "op9_line_blocks": html.op9_line_blocks,
