@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,41 +157,36 @@ def _by_gram():
     return Window.partitionBy("gram")  # a row for each language
 
 
-def _predict(shared: Broadcast):
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: LanguageFilter = shared.value
-        wrong = model.false_positives()
-        for batch in batches:
-            langs, scores = [], []
-            for text in batch.column("_lid_text"):
-                codes = letters_of(text.as_py() or "")
-                if not model.languages or not codes.any():
-                    langs.append(UNDETERMINED)
-                    scores.append(0.0)
-                    continue
-                hits, n = np.zeros(len(model.languages)), 0
-                for piece in pieces(codes):
-                    found = grams(piece)
-                    hits += model.hits(found)
-                    n += len(found)
-                true = np.maximum(hits - wrong * n, 0) / np.maximum(1 - wrong, 1e-9)
-                best = int(np.argmax(true))
-                langs.append(model.languages[best])
-                scores.append(float(true[best] / true.sum()) if true[best] > 0 else 0.0)
-            kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "_lid_text"]
-            names = [c for c in batch.schema.names if c != "_lid_text"]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
-
-    return predict
+def _told(model: LanguageFilter, wrong: np.ndarray, text: str | None) -> tuple[str, float]:
+    codes = letters_of(text or "")
+    if not model.languages or not codes.any():
+        return UNDETERMINED, 0.0
+    hits, n = np.zeros(len(model.languages)), 0
+    for piece in pieces(codes):
+        found = grams(piece)
+        hits += model.hits(found)
+        n += len(found)
+    true = np.maximum(hits - wrong * n, 0) / np.maximum(1 - wrong, 1e-9)
+    best = int(np.argmax(true))
+    return model.languages[best], float(true[best] / true.sum()) if true[best] > 0 else 0.0
 
 
 def predicted(df: DataFrame, model: LanguageFilter, text_column: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``; nothing but the text is looked at."""
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    given = df.select(*kept, F.col(text_column).alias("_lid_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return given.mapInArrow(_predict(shared), ", ".join([*fields, "lang_pred string", "score double"]))
+
+    # the text alone goes to Python, and only the answer comes back
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def told(texts: pa.Array) -> pa.Array:
+        known: LanguageFilter = shared.value
+        wrong = known.false_positives()
+        answers = [_told(known, wrong, text.as_py()) for text in texts]
+        langs, scores = ([a[i] for a in answers] for i in (0, 1))
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    answered = df.select(*kept, told(text_column).alias("_lid_told"))
+    return answered.select(*kept, "_lid_told.lang_pred", "_lid_told.score")
 
 
 def labelled_rows(docs: DataFrame) -> DataFrame:
