@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,21 @@ from tallyloom.functions.scalars import hamming_hex
 BITS = 64
 
 
-def bands(value: Column, distance: int) -> Column:
-    """``distance`` + 1 stretches of a 64-bit long: hashes that close agree in one of them at least."""
-    n = distance + 1
+def bands(value: Column, distance: int, shared: int = 2) -> Column:
+    """Keys that hashes within ``distance`` bits have in common, at least one of them.
+
+    A hash is cut into ``distance`` + ``shared`` stretches; close hashes agree in ``shared``
+    of them, so each choice of that many is a key.  More of them make longer keys, and fewer
+    hashes that meet by chance.
+    """
+    n = distance + shared
     edges = [BITS * i // n for i in range(n + 1)]
-    part = lambda lo, hi: F.shiftrightunsigned(value, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1))
-    return F.array(*[F.struct(F.lit(i).alias("band"), part(lo, hi).alias("bits")) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))])
+    stretches = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    keys = []
+    for i, chosen in enumerate(combinations(stretches, shared)):
+        mask = sum(chosen)
+        keys.append(F.struct(F.lit(i).alias("band"), value.bitwiseAND(F.lit(mask - (1 << BITS) if mask >> (BITS - 1) else mask)).alias("bits")))
+    return F.array(*keys)
 
 
 def near_pairs(df: DataFrame, distance: int, within: list[str] | None = None) -> DataFrame:
@@ -34,11 +45,18 @@ def near_pairs(df: DataFrame, distance: int, within: list[str] | None = None) ->
 
 
 def earliest_duplicate(df: DataFrame, distance: int, order: str = "ord") -> DataFrame:
-    """For each row (id, hash, ord) the earliest row before it within ``distance`` bits."""
-    banded = df.select("id", "hash", order, F.explode(bands(F.col("hash"), distance)).alias("b")).select("id", "hash", order, "b.band", "b.bits")
-    prior = banded.select(F.col("id").alias("prior_id"), F.col("hash").alias("prior_hash"), F.col(order).alias("prior_ord"), "band", "bits")
-    joined = banded.join(prior, ["band", "bits"]).filter((F.col("prior_ord") < F.col(order)) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("prior_hash"))) <= distance))
-    return joined.groupBy("id").agg(F.min_by("prior_id", "prior_ord").alias("prior_id"))
+    """For each row (id, hash, ord) the earliest row before it within ``distance`` bits.
+
+    Of equal hashes the earliest stands for all when others are compared with them.
+    """
+    first = df.groupBy("hash").agg(F.min_by("id", order).alias("id"), F.min(order).alias(order))
+    keys = F.explode(bands(F.col("hash"), distance)).alias("b")
+    prior = first.select(F.col("id").alias("prior_id"), F.col("hash").alias("prior_hash"), F.col(order).alias("prior_ord"), keys)
+    classes = df.select("hash").distinct().select("hash", keys)
+    near = (F.bit_count(F.col("hash").bitwiseXOR(F.col("prior_hash"))) <= distance) & (classes["b"] == prior["b"])
+    # which classes are near, and since when, is found once for each hash
+    known = classes.join(prior, near).groupBy("hash").agg(F.min_by("prior_id", "prior_ord").alias("prior_id"), F.min("prior_ord").alias("prior_ord"))
+    return df.join(known, "hash").filter(F.col("prior_ord") < F.col(order)).select("id", "prior_id")
 
 
 def frame_distance(frames: DataFrame, priors: DataFrame) -> DataFrame:

@@ -98,11 +98,11 @@ def dismissed(t: Tables) -> DataFrame:
 def patches(t: Tables, **fields: Column) -> DataFrame:
     """Events as patches of their user's row; a field whose value is null isn't in the patch."""
     entries = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in fields.items()]))
-    late = F.unix_millis("ts") + (F.col("event_id") * 7919) % 172_800_000
+    late = F.unix_millis(F.col("ts").cast("timestamp")) + (F.col("event_id") * 7919) % 172_800_000
     return t.events.select(F.col("user_id").alias("row_id"), F.col("event_id").alias("seq"), late.alias("updated_at"), F.map_from_entries(entries).alias("patch"))
 
 
-PATCH_SQL = "SELECT user_id AS row_id, event_id AS seq, epoch_ms(ts) + (event_id * 7919) % 172800000 AS at, event_type AS kind, value FROM events"
+PATCH_SQL = "SELECT user_id AS row_id, event_id AS seq, epoch_ms(ts) + (event_id * 7919) % 172800000 AS moment, event_type AS kind, value FROM events"
 WINS_SQL = f"""p AS ({PATCH_SQL}),
-w AS (SELECT *, row_number() OVER o = 1 AS base, at >= coalesce(max(at) OVER (PARTITION BY row_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wins
+w AS (SELECT *, row_number() OVER o = 1 AS base, moment >= coalesce(max(moment) OVER (PARTITION BY row_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS wins
       FROM p WINDOW o AS (PARTITION BY row_id ORDER BY seq))"""

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import changes, finding, insight, people, quality
+from .registry import Query
 
-def queries() -> dict:
-    return {}
+MODULES = (people, finding, changes, quality, insight)
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    found = {name: query for m in MODULES for name, query in m.plans.queries.items()}
+    return dict(sorted(found.items()))
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.plans.sql.items()}
