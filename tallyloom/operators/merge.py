@@ -96,6 +96,10 @@ def _named(names: tuple[str, ...] | list[str]) -> Column:
     return F.col("field").isin(list(names)) if names else F.lit(False)
 
 
+def _other_than(name: str):
+    return lambda key, _: key != name
+
+
 @dataclass(frozen=True)
 class Merged:
     #: (row_id, row): a map of field to JSON text.
@@ -204,7 +208,7 @@ def merge(patches: DataFrame, policy: Policy) -> Merged:
     for source, top, then in policy.implies:
         for name, value in then:
             met = (F.try_element_at("row", F.lit(source)) == _text(top)) & F.map_contains_key("row", name)
-            forced = F.transform_values("row", lambda k, v, name=name, value=value: F.when(k == name, F.lit(_text(value))).otherwise(v))
+            forced = F.map_concat(F.map_filter("row", _other_than(name)), F.create_map(F.lit(name), F.lit(_text(value))))
             rows = rows.withColumn("row", F.when(met, forced).otherwise(F.col("row")))
     single = cells.filter("clash").select("row_id", "seq", F.array("field").alias("fields"), F.col("rule").alias("policy"), "kept", F.col("value").alias("refused"))
     whole = step.filter(F.lit(not policy.immutable)).select("row_id", "seq", F.explode("refusals").alias("x")).select("row_id", "seq", "x.*")
