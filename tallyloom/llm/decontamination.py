@@ -6,8 +6,8 @@ are hits even where the ignored words were substituted.  Around a hit the docume
 against the item word by word: the pair counts if a window of WINDOW words of the item (all
 of a shorter one) that holds the seed agrees in at least SHARE per cent of its words.
 
-The seeds of the benchmark are broadcast in blocks of at most BLOCK_ROWS rows; a larger
-benchmark takes more passes over the documents.  Documents aren't shuffled, and a
+The seeds of the benchmark are broadcast in blocks of items with about BLOCK_ROWS seeds
+together; a larger benchmark takes more passes over the documents.  Documents aren't shuffled, and a
 document's words never leave the stage that reads it.
 
 Defined results: null, empty and blank texts, of documents and of items, match nothing;
@@ -79,10 +79,9 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", tex
     probes = _seeds(docs, masks)
 
     def hits(block: int) -> DataFrame:
-        # BLOCK_ROWS rows, about, and the items they come from
-        part = seeds.filter(F.pmod("seed", F.lit(blocks)) == block) if blocks > 1 else seeds
-        own = items.join(F.broadcast(part.select("item_id").distinct()), "item_id", "left_semi") if blocks > 1 else items
-        return probes.join(F.broadcast(part), ["seed", "span"]).join(F.broadcast(own), "item_id")
+        # whole items, of BLOCK_ROWS seeds together, about; an item has no more words than seeds and a mask's length
+        mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block
+        return probes.join(F.broadcast(seeds.filter(mine)), ["seed", "span"]).join(F.broadcast(items.filter(mine)), "item_id")
 
     found = reduce(DataFrame.unionByName, [hits(b) for b in range(blocks)])
     window = F.least(F.size("item"), F.lit(WINDOW))
