@@ -2,20 +2,26 @@
 
 Sets are shingle sets, and documents with equal sets form one class from the start.
 
-* Light sets (fewer shingles than the boundary) enumerate subsets: similar sets share the
-  subset that is their intersection, and at 0.9 it lacks at most a tenth of either.
-* Heavy sets go into inverted lists.  A list belongs to a part of the set: shingles are
-  dealt into D + 2 parts by hash, where D is the most shingles by which similar sets of a
-  size class can differ, so at least two parts are equal in both.  Lists of single shingles
-  would grow with every passage that is common in the corpus; lists of parts don't.
+* Light sets (fewer shingles than the boundary) enumerate subsets of fixed sizes: similar
+  sets share the subset that is their intersection, and it lacks few of either.
+* Heavy sets go into inverted lists of shingles.  How many sets hold a shingle is counted
+  first, up to CAP.  Similar sets share one of their rarest few shingles (as many as may
+  differ, and one), so a set is listed under those alone, and a set is in no list if so many
+  of its shingles are held by itself alone.  Postings travel packed, by bucket of the
+  shingle, and what a chunk of documents holds often is counted before it travels.
 
 The boundary is where enumeration becomes dearer than lists, from the histogram of sizes.
 
 A list is scanned in sorted order and links its members to its least one; what is linked so
-is a cluster of candidates.  Each cluster's sets are held against each other exactly, in
-blocks of BLOCK sets, inside tasks; only links that join two groups of a block leave it.
-Links have components, and every document gets its component's smallest id.  No pairs of
-copies are made, and nothing is dropped: a list or cluster may be of any size.
+is a cluster of candidates.  Its sets are held against each other exactly, in blocks of
+BLOCK sets, inside tasks: first each block within itself and with some members that stand
+for the cluster, and then, of the pairs of blocks, those that these links don't join yet.
+So a large group of near copies costs about one comparison with its own block for each
+member.  Links have components, and every document gets its component's smallest id.  No
+pairs of copies are made, and nothing is dropped: a list or cluster may be of any size.
+
+Documents are read twice and addressed by partition and row, so the input should be a table
+or a materialised frame, whose partitions come out alike each time.
 
 Defined results: null texts and texts without words have no shingles and are linked with
 nothing; repeated rows are rows of their own with the same component; a null id counts as
@@ -25,72 +31,64 @@ no id for the component; an empty table gives an empty table; other columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialised, partitions, runs, table
+from .common import WORD, materialised, partitions, runs, table
 from .graph import components
 from .words import mix, shingle_sets
 
-WIDTH = 3
-#: Similar: 100 * intersection >= PERCENT * union.
-PERCENT = 90
-#: Sets of a cluster that are held against each other at once.
-BLOCK = 512
-#: Size classes grow by this factor.
-GROWTH = 1.25
-#: A list of parts of g shingles holds about SCAN / g sets that aren't similar.
-SCAN = 16
-#: Boundaries between light and heavy sets to choose from.
-BOUNDARIES = (10, 20, 30)
-
-_LEAST = 9  # smaller sets are similar to none but equal ones
-_TOP = 1 << 40
-_MARK = np.uint64(0xA24BAED4963EE407)
-
-
-def _class_bounds() -> np.ndarray:
-    bounds = [_LEAST]
-    while bounds[-1] < _TOP:
-        bounds.append(max(bounds[-1] + 1, int(bounds[-1] * GROWTH)))
-    return np.array(bounds, np.int64)
-
-
-_BOUNDS = _class_bounds()
-#: By size class: similar sets differ by at most 2 U / 19 shingles.
-_PARTS = 2 * (_BOUNDS[1:] - 1) // 19 + 2
+#: Sets that are held against each other at once; members that stand for a large cluster, about.
+BLOCK, STANDING = 128, 16
+#: Sets that hold a shingle are counted up to this.
+CAP = 64
+#: Documents in a chunk; shingles that are packed at once, and about as many in a bucket.
+CHUNK, PACKED = 4096, 1 << 21
+#: What a packed posting costs beside a plain row.
+POSTING = 0.4
 
+_MARK = np.uint64(0xA24BAED4963EE407)
+_KEY_BITS, _COUNTED = 48, 0xFFFF
 
-def _classes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last size class of the larger set of a pair that a set of this size can be in."""
-    return np.searchsorted(_BOUNDS, sizes, "right") - 1, np.searchsorted(_BOUNDS, sizes * 100 // PERCENT, "right") - 1
 
+@dataclass(frozen=True)
+class Likeness:
+    """Sets of ``width``-word shingles are similar if 100 * intersection >= ``percent`` * union."""
 
-def boundary(histogram: dict[int, int]) -> int:
-    """Where heavy sets begin; ``histogram``: sets by size, for sizes under 64."""
+    width: int = 3
+    percent: int = 90
 
-    def light(n: int) -> float:
-        return sum(_choose(n, k) for k in range(n // 10 + 1))
+    @property
+    def least(self) -> int:
+        """Smaller sets are similar to none but equal ones."""
+        return -(-self.percent // (100 - self.percent))
 
-    def heavy(n: int) -> float:
-        first, last = (int(c[0]) for c in _classes(np.array([n])))
-        return sum(float(_PARTS[c]) * (1 + SCAN * float(_PARTS[c]) / n) for c in range(first, last + 1))
+    @property
+    def boundaries(self) -> list[int]:
+        """Sizes from which a subset may lack one, two and three shingles."""
+        return [-(-100 * k // (100 - self.percent)) for k in (1, 2, 3)]
 
-    def cost(edge: int) -> float:
-        return sum(k * ((light(n) if n < edge else 0) + (heavy(n) if 10 * n >= 9 * edge else 0)) for n, k in histogram.items() if n >= _LEAST)
+    def lacking(self, n: int) -> int:
+        """How many of ``n`` shingles the intersection with a similar set may lack."""
+        return n * (100 - self.percent) // 100
 
-    return min(BOUNDARIES, key=cost)
+    def boundary(self, histogram: dict[int, int]) -> int:
+        """Where heavy sets begin; ``histogram``: sets by size, for sizes under the last boundary."""
 
+        def cost(edge: int) -> float:
+            light = sum(k * sum(comb(n, i) for i in range(self.lacking(n) + 1)) for n, k in histogram.items() if self.least <= n < edge)
+            heavy = sum(k * (POSTING * n + self.lacking(n) + 1) for n, k in histogram.items() if n >= self.least and 100 * n >= self.percent * edge)
+            return light + heavy
 
-def _choose(n: int, k: int) -> int:
-    out = 1
-    for i in range(k):
-        out = out * (n - i) // (i + 1)
-    return out
+        return min(self.boundaries, key=cost)
 
 
 def set_class(shingles: np.ndarray) -> int:
@@ -102,65 +100,43 @@ def set_class(shingles: np.ndarray) -> int:
     return int(mix(np.array([total]) ^ np.bitwise_xor.reduce(shingles)).view(np.int64)[0])
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cls, size = [], []
-        for s in shingle_sets(batch.column("text"), WIDTH):
-            cls.append(set_class(s))
-            size.append(len(s))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("text_key"), pa.array(cls, pa.int64()), pa.array(size, pa.int64())],
-            ["doc_id", "text_key", "cls", "n_shingles"],
-        )
+def _chunk(row: int) -> int:
+    return (TaskContext.get().partitionId() << 32) + row // CHUNK
+
+
+def _described(like: Likeness):
+    """What is kept of each document: class, size, address, and the shingles of a small set."""
+    small = like.boundaries[-1]
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = 0
+        for batch in batches:
+            cls, size, chunk, place, own = [], [], [], [], []
+            for s in shingle_sets(batch.column("text"), like.width):
+                cls.append(set_class(s))
+                size.append(len(s))
+                chunk.append(_chunk(row))
+                place.append(row % CHUNK)
+                own.append(s.tobytes() if like.least <= len(s) < small else None)
+                row += 1
+            columns = [pa.array(c, pa.int64()) for c in (cls, size, chunk, place)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns, pa.array(own, pa.binary())], ["doc_id", "text_key", "cls", "n_shingles", "chunk", "place", "small"])
+
+    return describe
 
 
-def _subset_signatures(s: np.ndarray) -> np.ndarray:
+def _subset_signatures(s: np.ndarray, lacking: int) -> np.ndarray:
     n = len(s)
     terms = mix(s ^ _MARK)
     whole = terms.sum(dtype=np.uint64)
     sums = [np.array([whole])]
-    for k in range(1, n // 10 + 1):
+    for k in range(1, lacking + 1):
         chosen = np.array(list(combinations(range(n), k)))
         sums.append(whole - terms[chosen].sum(axis=1, dtype=np.uint64))
     sized = [x + np.array([n - k], np.uint64) * _MARK for k, x in enumerate(sums)]
     return mix(np.concatenate(sized))
 
 
-def _part_signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of the parts of some sets, and which set each is of."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    every = np.concatenate(sets)
-    terms, owner = mix(every ^ _MARK), np.repeat(np.arange(len(sets)), sizes)
-    dealt = mix(every + _MARK)
-    low, high = (terms & np.uint64(0xFFFFFFFF)).astype(np.float64), (terms >> np.uint64(32)).astype(np.float64)
-    first, last = _classes(sizes)
-    out, of = [], []
-    for step in range(int((last - first).max()) + 1):
-        cls = first + step
-        takes = cls <= last
-        parts = np.where(takes, _PARTS[np.minimum(cls, len(_PARTS) - 1)], 0)
-        start = np.concatenate([[0], np.cumsum(parts)])
-        mine = takes[owner]
-        at = start[owner[mine]] + (dealt[mine] % parts[owner[mine]].astype(np.uint64)).astype(np.int64)
-        n = int(start[-1])
-        count = np.bincount(at, minlength=n)
-        # sums of halves stay exact in a double
-        a, b = np.bincount(at, low[mine], n).astype(np.uint64), np.bincount(at, high[mine], n).astype(np.uint64)
-        whose = np.repeat(np.arange(len(sets)), parts)
-        index = np.arange(n) - start[whose]
-        place = mix(cls[whose].astype(np.uint64) * np.uint64(1 << 32) + index.astype(np.uint64))
-        found = mix((a + b * _MARK) ^ place)
-        out.append(found[count > 0])
-        of.append(whose[count > 0])
-        # two parts at least are equal: of use unless both are empty
-        for i in np.flatnonzero(np.bincount(whose[count == 0], minlength=len(sets)) >= 2).tolist():
-            empty = place[start[i] : start[i + 1]][count[start[i] : start[i + 1]] == 0]
-            pairs = np.array(list(combinations(empty.tolist(), 2)), np.uint64)
-            out.append(mix(pairs[:, 0] * _MARK + pairs[:, 1]))
-            of.append(np.full(len(pairs), i))
-    return np.concatenate(out), np.concatenate(of)
-
-
 def _linked_rows(signature: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows (signature, class) of a batch with one row for each signature.
 
@@ -177,48 +153,153 @@ def _linked_rows(signature: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate([signature[fresh], own, own]), np.concatenate([cls[fresh], links[:, 0], links[:, 1]])
 
 
-def _signatures(edge: int):
+def _signature_batch(signature: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    signature, cls = _linked_rows(signature, cls)
+    return pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(cls)], ["signature", "cls"])
+
+
+def _light(like: Likeness):
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: set[int] = set()
-            out: list[np.ndarray] = []
-            of: list[np.ndarray] = []
-            heavy: list[np.ndarray] = []
-            names: list[int] = []
-
-            def flush() -> None:
-                if heavy:
-                    found, whose = _part_signatures(heavy)
-                    out.append(found)
-                    of.append(np.array(names, np.int64)[whose])
-                    heavy.clear()
-                    names.clear()
-
-            held = 0
-            for s in shingle_sets(batch.column("text"), WIDTH):
-                n = len(s)
-                if n < _LEAST or (cls := set_class(s)) in seen:
-                    continue
-                seen.add(cls)
-                if n < edge:
-                    found = _subset_signatures(s)
-                    out.append(found)
-                    of.append(np.full(len(found), cls, np.int64))
-                if 10 * n >= 9 * edge:
-                    heavy.append(s)
-                    names.append(cls)
-                    held += n
-                    if held > 1 << 17:
-                        flush()
-                        held = 0
-            flush()
-            if out:
-                signature, cls = _linked_rows(np.concatenate(out), np.concatenate(of))
-                yield pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(cls)], ["signature", "cls"])
+            sets = dict(zip(batch.column("cls").to_pylist(), batch.column("small").to_pylist(), strict=True))
+            found = {cls: _subset_signatures(s := np.frombuffer(raw, np.uint64), like.lacking(len(s))) for cls, raw in sets.items()}
+            if found:
+                yield _signature_batch(np.concatenate(list(found.values())), np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()]))
 
     return signatures
 
 
+def _planes(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)[:, :width].T.tobytes()
+
+
+def _packed(keys: np.ndarray, *rest: np.ndarray) -> bytes:
+    """Ascending keys as steps, and other columns, byte plane by byte plane."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(_planes(steps, 8) + b"".join(_planes(r, r.itemsize) for r in rest))
+
+
+def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    widths = [8, *(np.dtype(k).itemsize for k in kinds)]
+    n, at, out = len(data) // sum(widths), 0, []
+    for kind, width in zip(("<u8", *kinds), widths, strict=True):
+        out.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    out[0] = np.cumsum(out[0], dtype=np.uint64)
+    return out
+
+
+def _postings(like: Likeness, edge: int, bits: int):
+    """Packed (shingle, place in the chunk) by bucket of the shingle; ``known``: counted already."""
+    dropped = np.uint64(max(0, 64 - bits - _KEY_BITS))
+
+    def packed(chunk: int, shingles: list[np.ndarray], places: list[int]) -> Iterator[tuple[int, int, bool, bytes]]:
+        keys = np.concatenate(shingles) >> dropped
+        place = np.repeat(np.array(places, np.uint16), [len(s) for s in shingles])
+        order = np.argsort(keys, kind="stable")
+        keys, place = keys[order], place[order]
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = keys[1:] != keys[:-1]
+        starts = np.flatnonzero(fresh)
+        often = np.diff(np.append(starts, len(keys)))[np.cumsum(fresh) - 1] >= CAP
+        if often.any():
+            # a bucket of its own for what needn't be counted any more, and one posting that stands for it
+            yield (chunk * 0x9E3779B1) % (1 << bits), chunk, True, _packed(keys[often], place[often])
+            place = np.where(often & fresh, _COUNTED, place).astype(np.uint16)
+            kept = ~often | fresh
+            keys, place = keys[kept], place[kept]
+        bucket = keys >> (np.uint64(64 - bits) - dropped)
+        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)], strict=True):
+            yield int(bucket[a]), chunk, False, _packed(keys[a:b], place[a:b])
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "known", "packed"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, held, shingles, places, seen, chunk = 0, 0, [], [], set(), -1
+        for batch in batches:
+            for s in shingle_sets(batch.column("text"), like.width):
+                if _chunk(row) != chunk or held > PACKED:
+                    if shingles:
+                        yield sent(list(packed(chunk, shingles, places)))
+                    held, shingles, places, chunk = 0, [], [], _chunk(row)
+                    seen.clear()
+                if len(s) >= like.least and 100 * len(s) >= like.percent * edge and (cls := set_class(s)) not in seen:
+                    seen.add(cls)
+                    shingles.append(mix(s + _MARK))
+                    places.append(row % CHUNK)
+                    held += len(s)
+                row += 1
+        if shingles:
+            yield sent(list(packed(chunk, shingles, places)))
+
+    return post
+
+
+def _counted(postings: pa.Table) -> pa.Table:
+    """The postings of one bucket that several sets hold, with their number, packed for each chunk."""
+    chunks, blobs = [], []
+    keys, place, source = [], [], []
+    for i, (chunk, known, raw) in enumerate(zip(*(postings[c].to_pylist() for c in ("chunk", "known", "packed")), strict=True)):
+        k, p = _unpacked(raw, "<u2")
+        if known:
+            chunks.append(chunk)
+            blobs.append(_packed(k, p, np.full(len(k), CAP, np.uint8)))
+        else:
+            keys.append(k)
+            place.append(p)
+            source.append(np.full(len(k), i, np.int32))
+    if keys:
+        key, at, of = (np.concatenate(c) for c in (keys, place, source))
+        order = np.argsort(key, kind="stable")
+        key, at, of = key[order], at[order], of[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        held = np.add.reduceat(np.where(at == _COUNTED, CAP, 1), starts)
+        held = np.repeat(np.minimum(held, CAP), np.diff(np.append(starts, len(key)))).astype(np.uint8)
+        kept = (held > 1) & (at != _COUNTED)
+        key, at, of, held = key[kept], at[kept], of[kept], held[kept]
+        order = np.argsort(of, kind="stable")
+        key, at, of, held = key[order], at[order], of[order], held[order]
+        cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        owner = postings["chunk"].to_numpy()
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=False):
+            chunks.append(int(owner[of[a]]))
+            blobs.append(_packed(key[a:b], at[a:b], held[a:b]))
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(blobs, pa.binary())})
+
+
+def _listed(like: Likeness):
+    """A chunk's sets under their rarest shingles: (signature, cls)."""
+
+    def listed(sets: pa.Table, shared: pa.Table) -> pa.Table:
+        empty = pa.table({"signature": pa.array([], pa.int64()), "cls": pa.array([], pa.int64())})
+        if not len(sets) or not len(shared):
+            return empty
+        size, cls = np.zeros(CHUNK, np.int64), np.zeros(CHUNK, np.int64)
+        place = sets["place"].to_numpy()
+        size[place], cls[place] = sets["n_shingles"].to_numpy(), sets["cls"].to_numpy()
+        parts = [_unpacked(raw, "<u2", "u1") for raw in shared["packed"].to_pylist()]
+        key, at, held = (np.concatenate(c) for c in zip(*parts, strict=True))
+        # of a set's rarest shingles those that no other set holds come first
+        alone = size - np.bincount(at, minlength=CHUNK)
+        need = size - (like.percent * size + 99) // 100 + 1 - alone
+        kept = need[at] > 0
+        key, at, held = key[kept], at[kept], held[kept]
+        order = np.lexsort((key, held, at))
+        key, at = key[order], at[order]
+        if not len(at):
+            return empty
+        starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
+        kept = rank < need[at]
+        return pa.Table.from_batches([_signature_batch(mix(key[kept] ^ _MARK), cls[at[kept]])])
+
+    return listed
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links (least class, other class) of each list, from rows sorted by signature and class."""
     last, least = None, 0
@@ -246,8 +327,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     every = np.concatenate([*left, *right])
     sizes = [len(s) for s in (*left, *right)]
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    values, column, often = np.unique(every, return_inverse=True, return_counts=True)
-    del values
+    _, column, often = np.unique(every, return_inverse=True, return_counts=True)
     shared = often[column] > 1
     number = np.cumsum(often > 1) - 1
     column, owner = number[column[shared]], owner[shared]
@@ -263,10 +343,10 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _similar(group: pa.Table) -> tuple[list[int], list[int]]:
+def _similar(group: pa.Table, like: Likeness) -> tuple[list[int], list[int]]:
     """Links that join what isn't joined yet, among a block or between two."""
-    cls, block = group["cls"].to_pylist(), np.array(group["block"].to_pylist())
-    sets = list(shingle_sets(group["text"].combine_chunks(), WIDTH))
+    cls, block = group["cls"].to_pylist(), group["block"].to_numpy()
+    sets = list(shingle_sets(group["text"].combine_chunks(), like.width))
     sides = np.unique(block)
     left = np.flatnonzero(block == sides[0])
     right = np.flatnonzero(block == sides[-1])
@@ -282,7 +362,7 @@ def _similar(group: pa.Table) -> tuple[list[int], list[int]]:
         return x
 
     a, b = [], []
-    for i, j in np.argwhere(100 * common >= PERCENT * union).tolist():
+    for i, j in np.argwhere(100 * common >= like.percent * union).tolist():
         x, y = root(left[i]), root(right[j])
         if x != y:
             parent[x] = y
@@ -291,49 +371,106 @@ def _similar(group: pa.Table) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for group in runs(batches, "task"):
-        a, b = _similar(group)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _verified(like: Likeness):
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, "task"):
+            a, b = _similar(group, like)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return verify
+
+
+def _candidates(docs: DataFrame, described: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) of classes that may be similar; what is similar is in one component of them."""
+    spark = docs.sparkSession
+    n = partitions(spark)
+    sizes = described.filter(F.col("n_shingles") < like.boundaries[-1]).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()  # as many rows as sizes
+    edge = like.boundary({r["n_shingles"]: r["n"] for r in sizes})
+    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+    bits = max((4 * n - 1).bit_length(), (total // PACKED).bit_length())
+    light = described.filter((F.col("n_shingles") >= like.least) & (F.col("n_shingles") < edge)).select("cls", "small").mapInArrow(_light(like), "signature long, cls long")
+    postings = docs.mapInArrow(_postings(like, edge, bits), "bucket int, chunk long, known boolean, packed binary")
+    shared = postings.groupBy("bucket").applyInArrow(_counted, "chunk long, packed binary")
+    sets = described.filter(F.col("n_shingles") >= like.least).select("chunk", "place", "cls", "n_shingles")
+    heavy = sets.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_listed(like), "signature long, cls long")
+    return light.unionByName(heavy).repartition(n, "signature").sortWithinPartitions("signature", "cls").mapInArrow(_scan, "a long, b long")
+
+
+def _proved(tasks: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
+    """Links of classes that are similar, from tasks (cls, component, block, other)."""
+    pair = F.struct(F.least("block", "other"), F.greatest("block", "other"))
+    keyed = tasks.select("cls", F.xxhash64("component", pair).alias("task"), F.col("block").cast("long").alias("block"))
+    rows = texts.join(keyed, "cls").select("task", "cls", "block", "text")
+    return rows.repartition(partitions(texts.sparkSession), "task").sortWithinPartitions("task", "block").mapInArrow(_verified(like), "a long, b long")
+
+
+def _upto(low: str, high: str):
+    """The numbers from ``low`` to below ``high``."""
+    return F.expr(f"IF({low} < {high}, sequence({low}, {high} - 1), CAST(array() AS array<bigint>))")
 
 
-def similar_groups(df: DataFrame) -> DataFrame:
+def _first_tasks(members: DataFrame) -> DataFrame:
+    """Each block within itself, joined by those that stand for a cluster of several blocks."""
+    own = members.select("cls", "component", "block", F.col("block").alias("other"))
+    standing = members.filter((F.col("blocks") > 1) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("size")) < STANDING))
+    guests = standing.select("cls", "component", F.explode(_upto("0", "blocks")).alias("block"), F.col("block").alias("home")).filter("block <> home")
+    return own.unionByName(guests.select("cls", "component", "block", F.col("block").alias("other")))
+
+
+def _second_tasks(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs of blocks of large clusters, but those within what is joined already.
+
+    A joined group that fills a block has blocks of its own; the others share blocks.
+    """
+    named = members.filter("blocks > 1").join(joined.select(F.col("node").alias("cls"), F.col("component").alias("group")), "cls", "left")
+    named = named.select("cls", "component", F.coalesce("group", "cls").alias("group"))
+    groups = named.groupBy("component", "group").agg(F.count("*").alias("n"))
+    full = F.col("n") >= BLOCK
+    # a row for each group that fills a block; their places come from a running sum over those
+    large = groups.filter(full).select("component", "group", F.ceil(F.col("n") / BLOCK).alias("own"))
+    shared = groups.groupBy("component").agg(F.ceil(F.sum(F.when(~full, F.col("n")).otherwise(0)) / BLOCK).alias("shared"), F.sum(F.when(full, F.ceil(F.col("n") / BLOCK)).otherwise(0)).alias("pure"))
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("component").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    placed = large.withColumn("start", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    rows = named.join(shared, "component").join(placed, ["component", "group"], "left")
+    rows = rows.withColumn("last", F.col("shared") + F.col("pure"))
+    pure = F.col("own").isNotNull()
+    block = F.when(pure, F.col("shared") + F.col("start") + F.pmod(F.xxhash64("cls"), F.col("own"))).otherwise(F.pmod(F.xxhash64("group"), F.col("shared")))
+    rows = rows.select(
+        "cls",
+        "component",
+        block.alias("block"),
+        "last",
+        F.when(pure, F.col("shared") + F.col("start")).otherwise(F.col("last")).alias("low"),
+        F.when(pure, F.col("shared") + F.col("start") + F.col("own")).otherwise(F.col("last")).alias("high"),
+    )
+    return rows.select("cls", "component", "block", F.explode(F.concat(_upto("0L", "low"), _upto("high", "last"))).alias("other"))
+
+
+def similar_groups(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """For each row of ``df`` (doc_id, text): doc_id, text_key, n_shingles, cls, component_id.
 
     ``cls`` is equal for equal sets, ``text_key`` a hash of the text.
     """
-    spark = df.sparkSession
     docs = df.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = dict(df.dtypes)["doc_id"]
-    described = materialised(docs.mapInArrow(_described, f"doc_id {kind}, text_key long, cls long, n_shingles long"))
-    sizes = described.filter("n_shingles < 64").groupBy("n_shingles").agg(F.count("*").alias("n")).collect()  # 64 rows at most
-    edge = boundary({r["n_shingles"]: r["n"] for r in sizes})
-
-    rows = docs.select("text").mapInArrow(_signatures(edge), "signature long, cls long")
-    links = (
-        rows.repartition(partitions(spark), "signature")
-        .sortWithinPartitions("signature", "cls")
-        .mapInArrow(_scan, "a long, b long")
-    )
-    clusters = materialised(components(links))
-
-    # one row stands for each class; of a cluster of n sets, ceil(n / BLOCK) blocks
-    counts = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = clusters.join(counts, "component").select(F.col("node").alias("cls"), "component", "blocks")
-    stands = described.groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    chosen = stands.join(members, "cls").select("cls", "component", "blocks", F.col("r.doc_id").alias("r_id"), F.col("r.text_key").alias("r_key"))
-    chosen = chosen.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("text_key").eqNullSafe(F.col("r_key")))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = texts.select("component", "cls", "block", "text", other)
-    pair = F.struct(F.least("block", "other"), F.greatest("block", "other"))
-    proved = (
-        tasks.select(F.xxhash64("component", pair).alias("task"), "cls", "block", "text")
-        .repartition(partitions(spark), "task")
-        .sortWithinPartitions("task", "block")
-        .mapInArrow(_verified, "a long, b long")
-    )
-    joined = components(proved).select(F.col("node").alias("cls"), "component")
+    described = materialised(docs.mapInArrow(_described(like), f"doc_id {kind}, text_key long, cls long, n_shingles long, chunk long, place long, small binary"))
+    clusters = materialised(components(_candidates(docs, described, like)))
+
+    counts = clusters.groupBy("component").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    members = clusters.join(counts, "component").select(F.col("node").alias("cls"), "component", "size", "blocks")
+    members = materialised(members.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))))
+    # one row stands for each class of a cluster, and its text is fetched once
+    stands = described.join(members.select("cls"), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    chosen = stands.select("cls", F.col("r.doc_id").alias("r_id"), F.col("r.text_key").alias("r_key"))
+    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("r_id")) & F.col("text_key").eqNullSafe(F.col("r_key"))).select("cls", "text")
+    texts = materialised(texts.dropDuplicates(["cls"]))
+    first = materialised(_proved(_first_tasks(members), texts, like))
+    links = first
+    if members.filter("blocks > 1").head(1):
+        links = first.unionByName(_proved(_second_tasks(members, components(first)), texts, like))
+    joined = components(links).select(F.col("node").alias("cls"), "component")
 
     classes = described.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(joined, "cls", "left")
     classes = classes.withColumn("component", F.coalesce("component", "cls"))
@@ -348,16 +485,16 @@ def similar_groups(df: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(df: DataFrame) -> DataFrame:
+def one_of_each(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """``df`` with one row of each group of similar texts: the row of the smallest id.
 
     Rows without words are all kept; of rows that agree in id and text one stays.
     """
-    groups = similar_groups(df)
+    groups = similar_groups(df, like)
     stays = groups.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
     keys = stays.groupBy("component_id").agg(F.min("text_key").alias("_jg_key")).select(F.col("component_id").alias("_jg_id"), "_jg_key")
     marked = df.withColumn("_jg_text", F.xxhash64("text"))
-    wordless = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")) == 0
+    wordless = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)) == 0
     kept = marked.filter(~wordless).join(keys, F.col("doc_id").eqNullSafe(F.col("_jg_id")) & (F.col("_jg_text") == F.col("_jg_key")), "left_semi")
     single = kept.dropDuplicates(["doc_id", "_jg_text"])
     return single.unionByName(marked.filter(wordless)).select(*df.columns)
