@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id."""
-    return jaccard.one_of_each(docs)
+    """Of each group of documents whose five-word shingles agree in 0.8 or more, the one with the smallest id."""
+    return jaccard.one_of_each(docs, jaccard.Likeness(width=5, percent=80))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
