@@ -63,14 +63,12 @@ def instruction(facets: Column | str) -> Column:
 
 
 def duration_bounds(text: Column | str) -> Column:
-    """Seconds named by ``under N seconds`` and ``over N seconds`` (sec, s; minutes, min, m)."""
+    """Seconds named by ``under N`` and ``over N``, with or without a unit of seconds."""
 
     def seconds(words: str) -> Column:
-        pattern = rf"(?i)\b(?:{words})\s+(\d+)\s*(minutes?|mins?|m|seconds?|secs?|s)\b"
-        n = F.nullif(F.regexp_extract(c(text), pattern, 1), F.lit("")).cast("int")
-        return F.when(F.lower(F.regexp_extract(c(text), pattern, 2)).startswith("m"), n * 60).otherwise(n)
+        return F.nullif(F.regexp_extract(c(text), rf"(?i)(?:{words})\s+(\d{{1,4}})", 1), F.lit("")).cast("int")
 
-    return F.struct(seconds("over|longer than|more than|at least").alias("min_s"), seconds("under|shorter than|less than|at most").alias("max_s"))
+    return F.struct(seconds("over|longer than|at least").alias("min_s"), seconds("under|less than|shorter than").alias("max_s"))
 
 
 def injected(text: Column | str) -> Column:

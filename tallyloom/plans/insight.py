@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import ascii_words
-from tallyloom.operators import demand, lifecycle
+from tallyloom.operators import capabilities, demand, lifecycle
 
 from .registry import Registry, Tables
 
@@ -221,3 +221,56 @@ def full_merge(t: Tables) -> DataFrame:
     base = t.supplier.filter("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("b"))
     incoming = t.customer.filter("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("c"))
     return base.join(incoming, "k", "full").select("k", "b", "c", F.when(F.col("b").isNull(), "added").when(F.col("c").isNull(), "kept").otherwise("merged").alias("how"))
+
+
+_PARTS_SQL = """
+t AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS colour, split_part(p_name, ' ', 2) AS thing, p_size FROM part)"""
+
+
+@plans.add(
+    "q69_parse_queries",
+    f"""
+WITH {_PARTS_SQL}
+SELECT p_partkey, CASE WHEN colour IN ('red', 'blue') THEN colour ELSE '' END AS vibe, CASE WHEN thing = 'ring' THEN 'ring' ELSE '' END AS subject,
+  concat_ws(' ', CASE WHEN colour NOT IN ('red', 'blue') THEN colour END, CASE WHEN thing <> 'ring' THEN thing END) AS unmapped, 'closeup' AS shot, CAST(p_size AS INTEGER) AS max_s FROM t
+""",
+)
+def parse_queries(t: Tables) -> DataFrame:
+    asked = t.part.select("p_partkey", F.concat(F.lit("Show me a close-up of the "), "p_name", F.lit(", under "), F.col("p_size").cast("string"), F.lit("s")).alias("text"))
+    parsed = capabilities.parse_queries(asked, {"red": "vibe", "blue": "vibe", "ring": "subject"})
+    one = lambda f: F.coalesce(F.get(f"filters.{f}", F.lit(0)), F.lit(""))
+    return parsed.select("p_partkey", one("vibe").alias("vibe"), one("subject").alias("subject"), F.array_join("unmapped", " ").alias("unmapped"), one("shot_type").alias("shot"), F.col("duration.max_s").alias("max_s"))
+
+
+@plans.add(
+    "q70_match_complement",
+    """
+WITH m AS (SELECT l_orderkey AS asset_id, l_partkey AS item_id, CASE WHEN l_returnflag = 'R' THEN 'no' ELSE 'covers' END AS verdict FROM lineitem WHERE l_quantity > 40),
+c AS (SELECT p_partkey AS item_id FROM part WHERE p_size < 20)
+SELECT 'matched' AS side, count(*) AS n FROM m WHERE item_id IN (SELECT item_id FROM c)
+UNION ALL SELECT 'unmatched', count(*) FROM c WHERE item_id NOT IN (SELECT item_id FROM m WHERE verdict <> 'no')
+""",
+)
+def match_complement(t: Tables) -> DataFrame:
+    matches = t.lineitem.filter("l_quantity > 40").select(F.col("l_orderkey").alias("asset_id"), F.col("l_partkey").alias("item_id"), F.when(F.col("l_returnflag") == "R", "no").otherwise("covers").alias("verdict"))
+    kept, rest = capabilities.matched_and_rest(matches, t.part.filter("p_size < 20").select(F.col("p_partkey").alias("item_id")))
+    count = lambda side, df: df.agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
+    return count("matched", kept).unionByName(count("unmatched", rest))
+
+
+@plans.add(
+    "q71_retry_budget",
+    "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 2 AS fails FROM events",
+)
+def retry_budget(t: Tables) -> DataFrame:
+    calls = t.events.select(F.col("user_id").alias("subject_id"), "event_id", F.struct("ts", "event_id").alias("seq"))
+    return capabilities.failing_first(calls, 2).select(F.col("subject_id").alias("user_id"), "event_id", "fails")
+
+
+@plans.add(
+    "q72_templates",
+    "SELECT c_custkey, 'Dear ' || c_name || ', ' || CASE WHEN c_acctbal < 0 THEN 'not provided' ELSE CAST(c_nationkey AS VARCHAR) END || ' clips wait.' AS text FROM customer",
+)
+def templates(t: Tables) -> DataFrame:
+    waiting = F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey"))
+    return t.customer.select("c_custkey", capabilities.filled("Dear {{name}}, {{n}} clips wait.", {"name": F.col("c_name"), "n": waiting}).alias("text"))

@@ -266,13 +266,11 @@ def parse_regex(t: Tables) -> DataFrame:
 
 @plans.add(
     "q57_duration_phrases",
-    """
-SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS INTEGER) * CASE WHEN p_partkey % 3 = 0 THEN 60 ELSE 1 END END AS max_s, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS INTEGER) END AS min_s FROM part
-""",
+    "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS max_s, CASE WHEN p_partkey % 2 = 1 THEN p_size END AS min_s FROM part",
 )
 def durations(t: Tables) -> DataFrame:
-    unit = F.when((F.col("p_partkey") % 2 == 0) & (F.col("p_partkey") % 3 == 0), " minutes").otherwise(" seconds")
-    text = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " under ").otherwise(" over "), F.col("p_size").cast("string"), unit)
+    unit = F.when(F.col("p_partkey") % 3 == 0, " seconds").when(F.col("p_partkey") % 3 == 1, "s").otherwise("")
+    text = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " under ").otherwise(" at least "), F.col("p_size").cast("string"), unit)
     return t.part.select("p_partkey", duration_bounds(text).alias("d")).select("p_partkey", "d.max_s", "d.min_s")
 
 
