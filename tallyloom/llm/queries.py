@@ -27,4 +27,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_spaced_seeds": decontamination.ORACLE_SQL}
+    return {
+        "op3_tool_call_links": chat.ORACLE_SQL,
+        "op8_heavy_light_jaccard": jaccard.ORACLE_SQL,
+        "op10_spaced_seeds": decontamination.ORACLE_SQL,
+    }
