@@ -65,6 +65,10 @@ def upserted(scan: DataFrame, gaps: DataFrame, scan_id: str) -> DataFrame:
 def tiered_top(gaps: DataFrame, k: int, partition: list[str] | None = None) -> DataFrame:
     """All requested gaps, then the best of the others: k together, or more if more were requested."""
     by = partition or []
+    if not by:
+        # only the best k of the others can be among them; the rest never meets in one task
+        asked_for = F.coalesce("requested", F.lit(False))
+        gaps = gaps.filter(asked_for).unionByName(gaps.filter(~asked_for).orderBy(F.desc("score"), "id").limit(k))
     everyone = Window.partitionBy(*by)
     order = everyone.orderBy(F.desc("requested"), F.desc("score"), "id")
     asked = F.sum(F.col("requested").cast("int")).over(everyone)

@@ -157,3 +157,11 @@ def test_lifecycle(spark):
     assert list(row) == ["standard", "constrained", "hevc", "partial"]
     go, refused = lifecycle.split_batch(steps, {"late": F.col("place") > 2})
     assert (go.count(), refused.first()["reason"]) == (2, "late")
+
+
+def test_a_brief_takes_requests_first(spark):
+    rows = [(f"g{i}", {"room": "a", "shot": "wide"}, float(i), i in (1, 2)) for i in range(9)]
+    gaps = spark.createDataFrame(rows, "id string, facets map<string,string>, score double, requested boolean")
+    ids = lambda k: [r["origin_gap_id"] for r in loop.brief_items(gaps, k).orderBy("seq").collect()]
+    assert ids(4) == ["g2", "g1", "g8", "g7"]
+    assert ids(1) == ["g2", "g1"]
