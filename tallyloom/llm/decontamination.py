@@ -10,7 +10,8 @@ The seeds of the benchmark are broadcast in blocks of items with about BLOCK_ROW
 together; a larger benchmark takes more passes over the documents.  Documents aren't shuffled, and a
 document's words never leave the stage that reads it.
 
-Defined results: null, empty and blank texts, of documents and of items, match nothing;
+Defined results: null and empty texts and those without a letter or digit, of documents and
+of items, match nothing;
 items with equal words count as the one with the smallest id; items too short for a mask
 are looked for whole, word by word; rows that agree in text get the same decision; empty
 tables give no pairs; other columns travel along in ``decontaminated``.
@@ -30,13 +31,13 @@ MASKS = ("1101011", "11100011", "101100101")
 WINDOW, SHARE = 13, 80
 BLOCK_ROWS = 1 << 20
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A word is a run of these: case and punctuation don't hide a passage.
+LETTERS = r"\p{L}\p{M}\p{N}"
 
 
 def words(text: Column) -> Column:
-    """The words of a text, A-Z in lower case; none for null."""
-    lower = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    return F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The words of a text in lower case, without punctuation; none for null."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{LETTERS}]+"), lambda w: w != "")
 
 
 def _hashes(text: Column) -> Column:
@@ -137,10 +138,10 @@ def _branch(mask: str) -> str:
 ORACLE_SQL = f"""
 WITH doc_words AS (
   SELECT doc_id, row_number() OVER () AS row_no,
-         regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
+         regexp_extract_all(lower(text), '[{LETTERS}]+') AS w FROM documents WHERE text IS NOT NULL),
 item_words AS (
   SELECT min(item_id) AS item_id, w FROM (
-    SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL)
+    SELECT item_id, regexp_extract_all(lower(text), '[{LETTERS}]+') AS w FROM benchmark WHERE text IS NOT NULL)
   WHERE len(w) > 0 GROUP BY w),
 doc_at AS (SELECT doc_id, row_no, w, unnest(range(len(w))) AS at FROM doc_words),
 item_at AS (SELECT item_id, w, unnest(range(len(w))) AS at FROM item_words),

@@ -1,16 +1,15 @@
 import random
-import re
 
 import duckdb
 import pytest
+import regex
 
 from tallyloom.llm import decontamination as d
 
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def words(text):
-    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())
 
 
 def brute(docs, items):
@@ -84,6 +83,12 @@ def test_clean_documents_stay_with_their_columns(spark):
     assert sorted(r["item_id"] for r in kept.collect()) == [2, 3, 3]
 
 
+def test_case_and_punctuation_hide_nothing(spark):
+    docs = spark.createDataFrame([(1, "x. ÜBER!! das, (weite) FELD; läuft... ein-HUND y")], "doc_id long, text string")
+    items = spark.createDataFrame([(9, "über das weite feld läuft ein hund")], "item_id long, text string")
+    assert [(r["id"], r["matched"]) for r in d.overlaps(docs, items).collect()] == [(1, 7)]
+
+
 def test_a_very_long_document(spark):
     text = " ".join(f"w{i % 9973}" for i in range(200_000)) + " a b c d e f g h i j k l m"
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
