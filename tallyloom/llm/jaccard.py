@@ -51,7 +51,7 @@ BLOCK, STANDING = 128, 16
 #: Sets that hold a shingle are counted up to this.
 CAP = 64
 #: Documents in a chunk; shingles that are packed at once, and about as many in a bucket.
-CHUNK, PACKED = 4096, 1 << 21
+CHUNK, PACKED = 4096, 1 << 20
 #: What a packed posting costs beside a plain row.
 POSTING = 0.4
 
