@@ -31,10 +31,10 @@ from .common import byte_count, discard, materialised, table
 SHARDS = 16
 #: A shard's border may be off by this part of a shard's share; a border inside a shard by INNER.
 TOLERANCE, INNER = 0.001, 0.05
-#: Probes in the first round, and for each unsettled border in later ones.
+#: Probes in the first round (at least), and for each unsettled border in later ones.
 FIRST, LATER = 4096, 64
-#: Ranges in a shard, so that no shard is sorted by one task: RANGES, or more of at most RANGE_BYTES.
-RANGES, RANGE_BYTES = 16, 512 << 20
+#: Ranges in a shard, so that no shard is sorted by one task: RANGES, or more of about RANGE_BYTES, up to MOST_RANGES.
+RANGES, RANGE_BYTES, MOST_RANGES = 16, 512 << 20, 1024
 ROUNDS = 24
 
 _HALF, _DIGIT = 1 << 63, 1 << 64
@@ -84,12 +84,13 @@ def _position(borders: list[int]) -> Column:
 def splitters(keys: DataFrame, shards: int, tolerance: float) -> Splitters:
     """Borders between ``shards`` equal parts of the bytes, with further borders inside them."""
     total = keys.agg(F.sum("_hs_size")).first()[0] or 0
-    inside = max(RANGES, -(-total // (shards * RANGE_BYTES)))
+    inside = min(max(RANGES, -(-total // (shards * RANGE_BYTES))), MOST_RANGES)
     parts = shards * inside
     share = total / shards
     goals = [(total * i / parts, share * (tolerance if i % inside == 0 else INNER)) for i in range(1, parts)]
     chosen: dict[int, int] = {}
-    probes = [(_DIGIT * _DIGIT * i) // FIRST for i in range(1, FIRST)]
+    first = max(FIRST, 4 * parts)
+    probes = [(_DIGIT * _DIGIT * i) // first for i in range(1, first)]
     known: dict[int, int] = {0: 0}
     rounds = 0
     while total and len(chosen) < len(goals) and rounds < ROUNDS:
