@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import effective_score, percent, rate
+from tallyloom.sources.tables import local
 
 DRIFT_TOLERANCE = 0.0015
 TRIAGE_ORDER = ("blocked", "review", "waiting", "done", "empty")
@@ -108,6 +109,6 @@ def one_of_many(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 def zero_filled(names: list[str], df: DataFrame, column: str) -> DataFrame:
     """Counts by value, with those of ``names`` that don't occur."""
-    wanted = df.sparkSession.createDataFrame([(n,) for n in names], f"{column} string")
+    wanted = local(df.sparkSession, {column: names})
     counts = df.filter(F.col(column).isin(names)).groupBy(column).agg(F.count("*").alias("n"))
     return wanted.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))

@@ -85,17 +85,20 @@ def facets(results: DataFrame, terms: DataFrame, vocabulary: DataFrame, kinds: t
     return counts.withColumn("place", F.row_number().over(order))
 
 
-def relaxed(queries: DataFrame, wanted: DataFrame, strict: DataFrame, terms: DataFrame) -> DataFrame:
-    """For queries without results: the term dropped, the latest that helps, and the ids then found."""
-    failed = queries.select("query_id").join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    asked = wanted.filter(F.col("term").isNotNull()).join(failed, "query_id", "left_semi").groupBy("query_id", "term").agg(F.max("position").alias("position"))
-    need = asked.groupBy("query_id").agg(F.count("*").alias("need")).filter("need > 1")
-    have = asked.join(terms, "term").select("query_id", "id", "term")
-    # an asset that lacks one term alone is found by dropping that term
-    lacking = have.groupBy("query_id", "id").agg(F.count_distinct("term").alias("matched")).join(need, "query_id").filter("matched = need - 1")
-    missing = lacking.join(asked, "query_id").join(have, ["query_id", "id", "term"], "left_anti").select("query_id", "id", F.col("term").alias("dropped"), "position")
-    latest = missing.groupBy("query_id").agg(F.max("position").alias("position"))
-    return missing.join(latest, ["query_id", "position"], "left_semi").select("query_id", "dropped", "id")
+def relaxed(wanted: DataFrame, terms: DataFrame) -> DataFrame:
+    """For queries that no asset meets: the term dropped, the latest that helps, and the ids then found.
+
+    An asset that lacks one term alone is found by dropping that term, whose place is what
+    the places of the others leave of all of them.
+    """
+    asked = wanted.filter(F.col("term").isNotNull()).groupBy("query_id", "term").agg(F.max("position").alias("position"))
+    need = asked.groupBy("query_id").agg(F.count("*").alias("need"), F.sum("position").alias("places"))
+    met = asked.join(terms, "term").groupBy("query_id", "id").agg(F.count("*").alias("matched"), F.sum("position").alias("met"))
+    lacking = met.join(need.filter("need > 1"), "query_id").filter("matched >= need - 1").select("query_id", "id", (F.col("need") - F.col("matched")).alias("lacks"), (F.col("places") - F.col("met")).alias("position"))
+    # a query with a full match needs no relaxation
+    best = lacking.groupBy("query_id").agg(F.min("lacks").alias("lacks"), F.max("position").alias("position")).filter("lacks = 1").select("query_id", "position")
+    named = best.join(asked, ["query_id", "position"]).select("query_id", "position", F.col("term").alias("dropped"))
+    return lacking.join(named, ["query_id", "position"]).select("query_id", "dropped", "id")
 
 
 def refined(results: DataFrame, terms: DataFrame, chosen: dict[str, str]) -> DataFrame:

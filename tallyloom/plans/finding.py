@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import ascii_words, spaced_tokens
 from tallyloom.operators import library
+from tallyloom.sources.tables import local
 
 from .registry import Registry, Tables
 
@@ -30,7 +31,7 @@ found AS (SELECT h.query_id, h.id, h.matched * 10 + CASE WHEN h.confirmed THEN 5
 
 def asked(t: Tables) -> DataFrame:
     rows = [(q, i, w) for q, words in ASKED.items() for i, w in enumerate(words)]
-    return t.spark.createDataFrame(rows, "query_id long, position int, term string")
+    return local(t.spark, dict(zip(("query_id", "position", "term"), map(list, zip(*rows, strict=True)), strict=True)))
 
 
 def terms(t: Tables) -> DataFrame:
@@ -85,8 +86,7 @@ SELECT query_id, dropped, id FROM missing QUALIFY position = max(position) OVER
 """,
 )
 def relaxation(t: Tables) -> DataFrame:
-    wanted = asked(t)
-    return library.relaxed(wanted.select("query_id").distinct(), wanted, results(t), terms(t))
+    return library.relaxed(asked(t), terms(t))
 
 
 @plans.add(
@@ -127,5 +127,5 @@ SELECT f.query_id, 'kind' || (length(t.term) % 2) AS facet, t.term AS value, cou
 )
 def result_facets(t: Tables) -> DataFrame:
     words = sorted({w for ws in ASKED.values() for w in ws})
-    vocabulary = t.spark.createDataFrame([(w, f"kind{len(w) % 2}") for w in words], "term string, kind string")
+    vocabulary = local(t.spark, {"term": words, "kind": [f"kind{len(w) % 2}" for w in words]})
     return library.facets(results(t), terms(t), vocabulary, ("kind0", "kind1")).drop("place")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def local(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A small table that the planner knows the size of, so it is broadcast where that pays."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def after_cursor(df: DataFrame, at: Column | None, row_id: Column | None, time: str, key: str, page: int | None = PAGE) -> DataFrame:
     """Keyset page: rows strictly after (time, key), in that order; all that follow without ``page``."""
     if at is not None and row_id is not None:
