@@ -112,3 +112,29 @@ def zero_filled(names: list[str], df: DataFrame, column: str) -> DataFrame:
     wanted = local(df.sparkSession, {column: names})
     counts = df.filter(F.col(column).isin(names)).groupBy(column).agg(F.count("*").alias("n"))
     return wanted.join(counts, column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def stage_board(collabs: DataFrame, stages: tuple[str, ...], key: str = "collab_id") -> DataFrame:
+    """Collabs (stage, entered_at) with their column and place on the board: the latest first."""
+    column = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage"))
+    order = Window.partitionBy("stage").orderBy(F.desc("entered_at"), key)
+    return collabs.withColumn("column", column.cast("int")).withColumn("place", F.row_number().over(order))
+
+
+def clip_sheet(assets: DataFrame, tags: DataFrame, usage: DataFrame) -> DataFrame:
+    """For each asset (id) its live tags by people and by models, and how often it was used."""
+    split = tags.groupBy(F.col("asset_id").alias("id")).agg(
+        F.array_sort(F.collect_set(F.when(F.col("source") == "human", F.col("term")))).alias("human_tags"),
+        F.array_sort(F.collect_set(F.when(F.col("source") != "human", F.col("term")))).alias("ai_tags"),
+    )
+    used = usage.groupBy(F.col("asset_id").alias("id")).agg(F.count("*").alias("used"))
+    empty = F.array().cast("array<string>")
+    joined = assets.join(split, "id", "left").join(used, "id", "left")
+    return joined.select(*assets.columns, F.coalesce("human_tags", empty).alias("human_tags"), F.coalesce("ai_tags", empty).alias("ai_tags"), F.coalesce("used", F.lit(0)).alias("used"))
+
+
+def decided(seen: DataFrame, current: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Decisions (id, decision) on rows (id, rev) as they were seen; on rows that changed since they are ``stale``."""
+    now = current.select("id", F.col("rev").alias("_now"))
+    joined = decisions.join(seen.select("id", "rev"), "id").join(now, "id", "left")
+    return joined.select(*decisions.columns, F.when(F.col("rev").eqNullSafe(F.col("_now")), "taken").otherwise("stale").alias("outcome"))

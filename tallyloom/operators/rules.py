@@ -16,7 +16,9 @@ from tallyloom.functions.scalars import haversine_m, orientation, visit_window
 #: Fixed values.
 BLOCKING = ("orientation", "min_duration", "min_resolution")
 STATUSES = ("pass", "fail", "unknown", "skipped")
-DECODER_SLACK_S = 0.05
+DECODER_SLACK_S, CLOCK_SLACK_MS = 0.05, 60_000
+#: Sources of a capture time, the best last.
+CAPTURE_SOURCES = ("mvhd", "udta_day", "apple_quicktime")
 
 
 def _result(status: Column, reason: Column, measured: Column) -> Column:
@@ -57,6 +59,39 @@ def captured_at(stated_ms: Column, container_ms: Column) -> Column:
     return F.struct(F.coalesce(stated_ms, container_ms).alias("at_ms"), source.alias("source"))
 
 
+def capture_choice(candidates: Column) -> Column:
+    """Of candidates (at_ms, source, has_offset) the least ambiguous: with an offset first, then by source.
+
+    ``disagreement_ms`` is how far the others are from it; beyond a minute the choice is of low confidence.
+    """
+    rank = lambda c: F.coalesce(*[F.when(c["source"] == name, i) for i, name in enumerate(CAPTURE_SOURCES)], F.lit(-1))
+    placed = F.transform(candidates, lambda c: F.struct(c["has_offset"].cast("int").alias("sure"), rank(c).alias("rank"), c["at_ms"].alias("at_ms"), c["source"].alias("source")))
+    best = F.array_max(placed)
+    off = F.array_max(F.transform(candidates, lambda c: F.abs(c["at_ms"] - best["at_ms"])))
+    confidence = F.when(off > CLOCK_SLACK_MS, "low").when(best["sure"] == 1, "high").otherwise("assumed")
+    return F.when(F.size(candidates) > 0, F.struct(best["at_ms"].alias("at_ms"), best["source"].alias("source"), off.alias("disagreement_ms"), confidence.alias("confidence")))
+
+
+def rotation_decision(coded: Column, reported: Column, degrees: Column) -> Column:
+    """(quarter_turns, source): who turns a picture, from its coded and its reported size (width, height).
+
+    Where the reported size is the turned one, the decoder did it already; a square says nothing.
+    """
+    base = F.coalesce(coded, reported)
+    turns = (degrees / 90).cast("int") % 4
+    odd = turns % 2 == 1
+    turned = F.struct(F.when(odd, base["height"]).otherwise(base["width"]).alias("width"), F.when(odd, base["width"]).otherwise(base["height"]).alias("height"))
+    same = lambda a, b: (a["width"] == b["width"]) & (a["height"] == b["height"])
+    source = (
+        F.when(degrees == 0, "not_needed")
+        .when(reported.isNull(), "we_applied")
+        .when(same(reported, base) & same(reported, turned), "undecidable")
+        .when(same(reported, turned), "element_applied")
+        .otherwise("we_applied")
+    )
+    return F.struct(F.when(source == "we_applied", turns).otherwise(0).alias("quarter_turns"), source.alias("source"))
+
+
 def capture_date_rule(at: Column, visit_day: Column, margin_hours: float) -> Column:
     """Inside the half-open visit window; how many hours outside otherwise."""
     window = visit_window(visit_day, margin_hours)

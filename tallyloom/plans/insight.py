@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import ascii_words
-from tallyloom.operators import capabilities, demand, lifecycle
+from tallyloom.operators import boards, capabilities, demand, lifecycle, rules
+from tallyloom.sources.tables import bytes_by_kind
+from tallyloom.streaming.sync import rebuilt, review_sessions
 
 from .registry import Registry, Tables
 
@@ -274,3 +276,94 @@ def retry_budget(t: Tables) -> DataFrame:
 def templates(t: Tables) -> DataFrame:
     waiting = F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey"))
     return t.customer.select("c_custkey", capabilities.filled("Dear {{name}}, {{n}} clips wait.", {"name": F.col("c_name"), "n": waiting}).alias("text"))
+
+
+@plans.add(
+    "q73_stage_board",
+    """
+SELECT o_orderkey AS collab_id, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'P' THEN 2 ELSE 3 END AS col, CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate DESC, o_orderkey) AS INTEGER) AS place FROM orders
+""",
+)
+def stage_board(t: Tables) -> DataFrame:
+    collabs = t.orders.select(F.col("o_orderkey").alias("collab_id"), F.col("o_orderstatus").alias("stage"), F.col("o_orderdate").alias("entered_at"))
+    return boards.stage_board(collabs, ("O", "P", "F")).select("collab_id", F.col("column").alias("col"), "place")
+
+
+@plans.add(
+    "q74_clip_sheet",
+    """
+WITH g AS (SELECT l_partkey AS id, list_sort(list_distinct(list(l_linestatus || l_linenumber) FILTER (WHERE l_returnflag = 'A'))) AS h, list_sort(list_distinct(list(l_linestatus || l_linenumber) FILTER (WHERE l_returnflag <> 'A'))) AS m FROM lineitem GROUP BY 1),
+u AS (SELECT event_id % 3000 AS id, count(*) AS used FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT p_partkey AS id, coalesce(array_to_string(h, ' '), '') AS human_tags, coalesce(array_to_string(m, ' '), '') AS ai_tags, coalesce(used, 0) AS used FROM part LEFT JOIN g ON g.id = p_partkey LEFT JOIN u ON u.id = p_partkey
+""",
+)
+def clip_sheet(t: Tables) -> DataFrame:
+    tags = t.lineitem.select(F.col("l_partkey").alias("asset_id"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("term"), F.when(F.col("l_returnflag") == "A", "human").otherwise("ai").alias("source"))
+    usage = t.events.filter("event_type = 'purchase'").select((F.col("event_id") % 3000).alias("asset_id"))
+    sheet = boards.clip_sheet(t.part.select(F.col("p_partkey").alias("id")), tags, usage)
+    return sheet.select("id", F.array_join("human_tags", " ").alias("human_tags"), F.array_join("ai_tags", " ").alias("ai_tags"), "used")
+
+
+@plans.add(
+    "q75_stale_decisions",
+    """
+SELECT CASE WHEN o_orderstatus = c.rev THEN 'taken' ELSE 'stale' END AS outcome, count(*) AS n
+FROM orders JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS rev FROM orders) c ON k = o_orderkey WHERE o_orderkey % 3 = 0 GROUP BY 1
+""",
+)
+def stale_decisions(t: Tables) -> DataFrame:
+    seen = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("rev"))
+    current = seen.withColumn("rev", F.when(F.col("id") % 5 == 0, "X").otherwise(F.col("rev")))
+    decisions = seen.filter("id % 3 = 0").select("id", F.lit("approve").alias("decision"))
+    return boards.decided(seen, current, decisions).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@plans.add("q76_bytes_by_kind", "SELECT p_type AS kind, count(*) AS blobs, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY 1")
+def blob_bytes(t: Tables) -> DataFrame:
+    return bytes_by_kind(t.part.select(F.concat_ws("/", "p_type", F.col("p_partkey").cast("string")).alias("key"), F.col("p_size").alias("bytes")))
+
+
+@plans.add(
+    "q77_capture_choice",
+    """
+WITH c AS (SELECT o_orderkey AS id, epoch_ms(o_orderdate) AS a, CASE WHEN o_orderkey % 2 = 0 THEN epoch_ms(o_orderdate) + o_custkey * 1000 END AS b, o_orderkey % 3 = 0 AS sure FROM orders)
+SELECT id, CASE WHEN b IS NULL THEN 'mvhd' WHEN sure THEN 'mvhd' ELSE 'udta_day' END AS source, coalesce(b - a, 0) AS disagreement_ms,
+  CASE WHEN coalesce(b - a, 0) > 60000 THEN 'low' WHEN sure THEN 'high' ELSE 'assumed' END AS confidence FROM c
+""",
+)
+def capture_choice(t: Tables) -> DataFrame:
+    at = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    first = F.struct(at.alias("at_ms"), F.lit("mvhd").alias("source"), (F.col("o_orderkey") % 3 == 0).alias("has_offset"))
+    second = F.struct((at + F.col("o_custkey") * 1000).alias("at_ms"), F.lit("udta_day").alias("source"), F.lit(False).alias("has_offset"))
+    candidates = F.array_compact(F.array(first, F.when(F.col("o_orderkey") % 2 == 0, second)))
+    return t.orders.select(F.col("o_orderkey").alias("id"), rules.capture_choice(candidates).alias("c")).select("id", "c.source", "c.disagreement_ms", "c.confidence")
+
+
+@plans.add(
+    "q78_rotation",
+    """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 0 THEN 'not_needed' WHEN l_returnflag = 'N' THEN 'we_applied' WHEN l_linenumber % 4 = 2 THEN 'undecidable' WHEN l_returnflag = 'A' THEN 'element_applied' ELSE 'we_applied' END AS source,
+  CASE WHEN l_linenumber % 4 <> 0 AND (l_returnflag = 'N' OR l_returnflag = 'R' AND l_linenumber % 4 <> 2) THEN l_linenumber % 4 ELSE 0 END AS quarter_turns FROM lineitem
+""",
+)
+def rotation(t: Tables) -> DataFrame:
+    size = lambda w, h: F.struct(F.lit(w).alias("width"), F.lit(h).alias("height"))
+    turns = F.col("l_linenumber") % 4
+    reported = F.when(F.col("l_returnflag") == "A", F.when(turns % 2 == 1, size(1080, 1920)).otherwise(size(1920, 1080))).when(F.col("l_returnflag") == "R", size(1920, 1080))
+    found = t.lineitem.select("l_orderkey", "l_linenumber", rules.rotation_decision(size(1920, 1080), reported, turns * 90).alias("r"))
+    return found.select("l_orderkey", "l_linenumber", "r.source", "r.quarter_turns")
+
+
+@plans.add(
+    "q79_review_sessions",
+    "SELECT user_id AS session_id, CAST(max(event_id % 50) AS BIGINT) AS cursor_index, array_to_string(list_sort(list_distinct(list(event_type))), ' ') AS skipped, min(CASE WHEN event_type = 'purchase' THEN ts END) AS completed_at FROM events GROUP BY 1",
+)
+def sessions(t: Tables) -> DataFrame:
+    versions = t.events.select(F.col("user_id").alias("session_id"), (F.col("event_id") % 50).alias("cursor_index"), F.array("event_type").alias("skipped"), F.when(F.col("event_type") == "purchase", F.col("ts")).alias("completed_at"))
+    return review_sessions(versions).withColumn("skipped", F.array_join("skipped", " "))
+
+
+@plans.add("q80_rebuilt_projection", "SELECT user_id AS subject_id, event_type AS kind, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def rebuilt_projection(t: Tables) -> DataFrame:
+    runs = t.events.select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("kind"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), "value")
+    return rebuilt(runs, ["value"])

@@ -93,3 +93,8 @@ def import_snapshot(spark: SparkSession, folder: str, tables: dict[str, DataFram
 def storage_verdict(sentinel_rows: Column, rows: Column) -> Column:
     """first_run without a sentinel; evicted where it counted rows that are gone; else intact."""
     return F.when(sentinel_rows.isNull(), "first_run").when((sentinel_rows > 0) & (rows == 0), "evicted").otherwise("intact")
+
+
+def bytes_by_kind(blobs: DataFrame) -> DataFrame:
+    """(kind, blobs, bytes) of blobs (key, bytes); a kind is what stands before the key's slash."""
+    return blobs.groupBy(F.split_part("key", F.lit("/"), F.lit(1)).alias("kind")).agg(F.count("*").alias("blobs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))

@@ -85,3 +85,18 @@ def superseded(runs: DataFrame) -> DataFrame:
     order = Window.partitionBy("subject_id", "kind").orderBy("created_at", "id")
     later = F.lead("id").over(order)
     return runs.select("*", later.alias("superseded_by"), later.isNull().alias("is_current"))
+
+
+def review_sessions(versions: DataFrame) -> DataFrame:
+    """Versions (session_id, cursor_index, skipped, completed_at) from several devices as one row each.
+
+    Cursors never go back, what one device skipped is skipped, and the first completion stays.
+    """
+    return versions.groupBy("session_id").agg(
+        F.max("cursor_index").alias("cursor_index"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("skipped")))).alias("skipped"), F.min("completed_at").alias("completed_at")
+    )
+
+
+def rebuilt(runs: DataFrame, fields: list[str]) -> DataFrame:
+    """Derived fields of each subject from the log of runs (subject_id, kind, created_at, id): those of the current run."""
+    return superseded(runs).filter("is_current").select("subject_id", "kind", *fields)
