@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialised, partitions, runs, table
+from .common import WORD, discard, materialised, partitions, runs, table
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -50,8 +50,8 @@ from .words import mix, shingle_sets
 BLOCK, STANDING = 128, 16
 #: Sets that hold a shingle are counted up to this.
 CAP = 64
-#: Documents in a chunk; shingles that are packed at once, and about as many in a bucket.
-CHUNK, PACKED = 4096, 1 << 20
+#: Documents in a chunk; shingles that are packed at once; and those of a bucket, about.
+CHUNK, PACKED, BUCKET = 4096, 1 << 19, 1 << 20
 #: What a packed posting costs beside a plain row.
 POSTING = 0.4
 
@@ -387,7 +387,7 @@ def _candidates(docs: DataFrame, described: DataFrame, like: Likeness) -> DataFr
     sizes = described.filter(F.col("n_shingles") < like.boundaries[-1]).groupBy("n_shingles").agg(F.count("*").alias("n")).collect()  # as many rows as sizes
     edge = like.boundary({r["n_shingles"]: r["n"] for r in sizes})
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    bits = max((4 * n - 1).bit_length(), (total // PACKED).bit_length())
+    bits = max((4 * n - 1).bit_length(), (total // BUCKET).bit_length())
     light = described.filter((F.col("n_shingles") >= like.least) & (F.col("n_shingles") < edge)).select("cls", "small").mapInArrow(_light(like), "signature long, cls long")
     postings = docs.mapInArrow(_postings(like, edge, bits), "bucket int, chunk long, known boolean, packed binary")
     shared = postings.groupBy("bucket").applyInArrow(_counted, "chunk long, packed binary")
@@ -471,6 +471,8 @@ def similar_groups(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     if members.filter("blocks > 1").head(1):
         links = first.unionByName(_proved(_second_tasks(members, components(first)), texts, like))
     joined = components(links).select(F.col("node").alias("cls"), "component")
+    for done in (clusters, members, texts, first):
+        discard(done)
 
     classes = described.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(joined, "cls", "left")
     classes = classes.withColumn("component", F.coalesce("component", "cls"))

@@ -1,7 +1,7 @@
 """Words and word shingles of whole texts, as 64-bit hashes, on Arrow string columns.
 
 Everything here works on one Arrow batch inside a task.  Texts are taken in slices of
-about ``SLICE_BYTES``, so memory doesn't depend on the batch or on the longest text
+about ``SLICE_BYTES`` (copied SLICE_ROWS at a time), so memory doesn't depend on the batch or on the longest text
 (beyond that one text).  Null and empty texts have no words.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES, SLICE_ROWS = 1 << 19, 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -99,14 +99,15 @@ def windows_of(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingles; with fewer words, the whole sequence as one."""
-    data, offsets = text_buffers(column)
-    for a, b in slices(offsets):
-        hashes, at = hashed_words(data, offsets[a : b + 1])
-        runs = windows_of(hashes, width)
-        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if hi - lo >= width:
-                yield np.unique(runs[lo : hi - width + 1])
-            elif hi > lo:
-                yield mix(windows_of(hashes[lo:hi], hi - lo) + np.uint64(hi - lo))
-            else:
-                yield np.zeros(0, np.uint64)
+    for first in range(0, len(column), SLICE_ROWS):
+        data, offsets = text_buffers(column.slice(first, SLICE_ROWS))
+        for a, b in slices(offsets):
+            hashes, at = hashed_words(data, offsets[a : b + 1])
+            runs = windows_of(hashes, width)
+            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if hi - lo >= width:
+                    yield np.unique(runs[lo : hi - width + 1])
+                elif hi > lo:
+                    yield mix(windows_of(hashes[lo:hi], hi - lo) + np.uint64(hi - lo))
+                else:
+                    yield np.zeros(0, np.uint64)
