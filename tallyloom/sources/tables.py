@@ -14,13 +14,14 @@ FORMAT, VERSION = "footage-snapshot", 2
 PAGE = 500
 
 
-def session(cpus: int | str = "*", partitions: int | None = None) -> SparkSession:
+def session(cpus: int | str = "*", partitions: int | None = None, memory: str = "6g") -> SparkSession:
     """A local session with UTC times and adaptive plans, for tests and benches."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tallyloom")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
