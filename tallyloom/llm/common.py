@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 #: One word: whatever lies between white space of ASCII.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch while something is materialised.
+BATCH_ROWS = 2048
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -33,11 +38,24 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows at most for what runs meanwhile: texts are wide."""
+    before = spark.conf.get(_ARROW_ROWS)
+    rows = int(before)
+    spark.conf.set(_ARROW_ROWS, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again; it goes with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
