@@ -449,9 +449,10 @@ def _second_tasks(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def similar_groups(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
-    """For each row of ``df`` (doc_id, text): doc_id, text_key, n_shingles, cls, component_id.
+    """For each row of ``df`` (doc_id, text): doc_id, text_key, n_shingles, cls, component, component_id.
 
-    ``cls`` is equal for equal sets, ``text_key`` a hash of the text.
+    ``cls`` is equal for equal sets, ``text_key`` a hash of the text; ``component`` names a group
+    by its least class, whatever its ids are, and ``component_id`` by its smallest id.
     """
     docs = df.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = dict(df.dtypes)["doc_id"]
@@ -477,12 +478,13 @@ def similar_groups(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     classes = described.groupBy("cls").agg(F.min("doc_id").alias("first_id")).join(joined, "cls", "left")
     classes = classes.withColumn("component", F.coalesce("component", "cls"))
     least = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    known = classes.join(least, "component").select("cls", "component_id")
+    known = classes.join(least, "component").select("cls", "component", "component_id")
     return described.join(known, "cls").select(
         "doc_id",
         "text_key",
         "n_shingles",
         "cls",
+        "component",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
@@ -490,11 +492,13 @@ def similar_groups(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
 def one_of_each(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """``df`` with one row of each group of similar texts: the row of the smallest id.
 
-    Rows without words are all kept; of rows that agree in id and text one stays.
+    Ids name no group: unlike texts all stay, with equal ids or none.  Rows without words are
+    all kept; of rows that agree in id and text one stays.
     """
-    groups = similar_groups(df, like)
-    stays = groups.filter((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keys = stays.groupBy("component_id").agg(F.min("text_key").alias("_jg_key")).select(F.col("component_id").alias("_jg_id"), "_jg_key")
+    groups = similar_groups(df, like).filter("n_shingles > 0")
+    # nulls last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")
+    keys = groups.groupBy("component").agg(first).select(F.col("r.doc_id").alias("_jg_id"), F.col("r.text_key").alias("_jg_key"))
     marked = df.withColumn("_jg_text", F.xxhash64("text"))
     wordless = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)) == 0
     kept = marked.filter(~wordless).join(keys, F.col("doc_id").eqNullSafe(F.col("_jg_id")) & (F.col("_jg_text") == F.col("_jg_key")), "left_semi")

@@ -88,3 +88,12 @@ def test_the_boundary_follows_the_sizes():
     assert like.boundary({9: 1000}) == 20
     assert like.boundary({15: 10}) == 10
     assert (like.least, Likeness(5, 80).least) == (9, 4)
+
+
+def test_ids_that_are_missing_or_repeat_cost_no_text(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(40))
+    near = words("a").replace("a0 ", "changed ")
+    rows = [(None, words("a")), (None, words("b")), (None, words("c")), (None, words("c")), (7, words("d")), (7, words("e")), (8, words("d")), (3, near)]
+    kept = one_of_each(spark.createDataFrame(rows, SCHEMA), Likeness(width=5, percent=80)).collect()
+    assert sorted(r["text"] for r in kept) == sorted([near, words("b"), words("c"), words("d"), words("e")])
+    assert sorted(str(r["doc_id"]) for r in kept) == ["3", "7", "7", "None", "None"]
