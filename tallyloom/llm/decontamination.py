@@ -12,7 +12,8 @@ document's words never leave the stage that reads it.
 
 Defined results: null and empty texts and those without a letter or digit, of documents and
 of items, match nothing;
-items with equal words count as the one with the smallest id; items too short for a mask
+items with equal words count as the one with the smallest id; an item without an id counts
+as any other, and its pairs have a null item_id; items too short for a mask
 are looked for whole, word by word; rows that agree in text get the same decision; empty
 tables give no pairs; other columns travel along in ``decontaminated``.
 """
@@ -58,9 +59,10 @@ def _seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_key, item_id, item): ids may be null, so a hash of its words names an item."""
     items = benchmark.select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     same = items.groupBy("words").agg(F.min("item_id").alias("item_id"))
-    return same.select("item_id", F.transform("words", lambda w: F.xxhash64(w)).alias("item"))
+    return same.select(F.xxhash64("words").alias("item_key"), "item_id", F.transform("words", lambda w: F.xxhash64(w)).alias("item"))
 
 
 def overlaps(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -73,7 +75,7 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", tex
     seeds = materialised(
         _seeds(items.withColumnRenamed("item", "hashes"), masks)
         .filter((F.size("hashes") >= shortest) & F.col("span").isin([len(m) for m in MASKS]) | (F.size("hashes") == F.col("span")))
-        .select("item_id", F.col("at").alias("item_at"), "span", "seed")
+        .select("item_key", F.col("at").alias("item_at"), "span", "seed")
     )
     blocks = max(1, -(-seeds.count() // BLOCK_ROWS))
     docs = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"), _hashes(F.col(text_column)).alias("hashes"))
@@ -81,8 +83,8 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", tex
 
     def hits(block: int) -> DataFrame:
         # whole items, of BLOCK_ROWS seeds together, about; an item has no more words than seeds and a mask's length
-        mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block
-        return probes.join(F.broadcast(seeds.filter(mine)), ["seed", "span"]).join(F.broadcast(items.filter(mine)), "item_id")
+        mine = F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == block
+        return probes.join(F.broadcast(seeds.filter(mine)), ["seed", "span"]).join(F.broadcast(items.filter(mine)), "item_key")
 
     found = reduce(DataFrame.unionByName, [hits(b) for b in range(blocks)])
     window = F.least(F.size("item"), F.lit(WINDOW))
@@ -95,14 +97,15 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", tex
         F.slice("item", F.col("low") + 1, F.col("high") - F.col("low")),
         lambda a, b: (a == b).cast("int"),
     )
-    local = near.select("id", "text_key", "item_id", "window", agree.alias("agree"))
+    local = near.select("id", "text_key", "item_key", "item_id", "window", agree.alias("agree"))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("agree") - F.col("window")),
         lambda s: F.aggregate(F.slice("agree", s + 1, F.col("window")), F.lit(0), lambda a, x: a + x),
     )
-    checked = local.select("id", "text_key", "item_id", "window", F.array_max(sums).alias("matched"))
+    checked = local.select("id", "text_key", "item_key", "item_id", "window", F.array_max(sums).alias("matched"))
     best = checked.filter(F.col("matched") * 100 >= F.col("window") * SHARE)
-    return best.groupBy("id", "text_key", "item_id").agg(F.max("matched").alias("matched"), F.first("window").alias("window"))
+    pairs = best.groupBy("id", "text_key", "item_key").agg(F.first("item_id").alias("item_id"), F.max("matched").alias("matched"), F.first("window").alias("window"))
+    return pairs.drop("item_key")
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:

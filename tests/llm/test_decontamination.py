@@ -103,3 +103,10 @@ def test_sql_gives_the_same(spark):
         duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     wanted = sorted(duck.execute(f"SELECT doc_id, item_id, matched, window_words FROM ({d.ORACLE_SQL})").fetchall())
     assert sorted(tuple(r) for r in d.op10_spaced_seeds(spark, folder).select("doc_id", "item_id", "matched", "window_words").collect()) == wanted
+
+
+def test_an_item_without_an_id_counts(spark):
+    docs = spark.createDataFrame([(1, "x one two three y"), (2, "x four five six y"), (3, "clean text")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five six"), (9, "seven eight")], "item_id long, text string")
+    assert sorted((r["id"], r["item_id"], r["matched"]) for r in d.overlaps(docs, items).collect()) == [(1, None, 3), (2, None, 3)]
+    assert [r["doc_id"] for r in d.decontaminated(docs, items).collect()] == [3]
