@@ -12,13 +12,16 @@ Sets are shingle sets, and documents with equal sets form one class from the sta
 
 The boundary is where enumeration becomes dearer than lists, from the histogram of sizes.
 
-A list is scanned in sorted order and links its members to its least one; what is linked so
-is a cluster of candidates.  Its sets are held against each other exactly, in blocks of
-BLOCK sets, inside tasks: first each block within itself and with some members that stand
-for the cluster, and then, of the pairs of blocks, those that these links don't join yet.
-So a large group of near copies costs about one comparison with its own block for each
-member.  Links have components, and every document gets its component's smallest id.  No
-pairs of copies are made, and nothing is dropped: a list or cluster may be of any size.
+Lists are scanned in sorted order.  In a list of up to LISTED sets, pairs of fitting sizes
+are counted: how many of their rarest shingles two sets share bounds how many they share in
+all, and pairs that can't be similar by that bound go before anything is linked.  In a
+longer list, as groups of near copies have them, all members are linked to the least one.
+What is linked so is a cluster of candidates.  Its sets are held against each other exactly,
+in blocks of BLOCK sets, inside tasks: first each block within itself and with some members
+that stand for the cluster, and then, of the pairs of blocks, those that these links don't
+join yet.  So a large group of near copies costs about one comparison with its own block for
+each member.  Links have components, and every document gets its component's smallest id.
+Nothing is dropped: a list or cluster may be of any size.
 
 Documents are read twice and addressed by partition and row, so the input should be a table
 or a materialised frame, whose partitions come out alike each time.
@@ -50,8 +53,10 @@ from .words import mix, shingle_sets
 BLOCK, STANDING = 128, 16
 #: Sets that hold a shingle are counted up to this.
 CAP = 64
-#: Documents in a chunk; shingles that are packed at once; and those of a bucket, about.
-CHUNK, PACKED, BUCKET = 4096, 1 << 19, 1 << 20
+#: Sets of a list whose pairs are counted; the pairs of a longer one aren't.
+LISTED = 32
+#: Documents in a chunk, and its shingles (about, but of one document); shingles that are packed at once; and those of a bucket, about.
+CHUNK, CHUNK_SHINGLES, PACKED, BUCKET = 4096, 1 << 21, 1 << 19, 1 << 20
 #: What a packed posting costs beside a plain row.
 POSTING = 0.4
 
@@ -80,6 +85,17 @@ class Likeness:
         """How many of ``n`` shingles the intersection with a similar set may lack."""
         return n * (100 - self.percent) // 100
 
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many of their rarest shingles similar sets of ``a`` and ``b`` shingles share at least.
+
+        A set's rarest are so many that it can't lack them all, p = n - ceil(percent * n) + 1.
+        Where the last of x's isn't after the last of y's, those of x that y holds are among y's
+        rarest too, so the intersection has at most the shared rarest and n - p others.
+        """
+        least = -(-self.percent * (a + b) // (100 + self.percent))
+        others = np.maximum(-(-self.percent * a // 100), -(-self.percent * b // 100)) - 1
+        return np.maximum(least - others, 1)
+
     def boundary(self, histogram: dict[int, int]) -> int:
         """Where heavy sets begin; ``histogram``: sets by size, for sizes under the last boundary."""
 
@@ -100,8 +116,19 @@ def set_class(shingles: np.ndarray) -> int:
     return int(mix(np.array([total]) ^ np.bitwise_xor.reduce(shingles)).view(np.int64)[0])
 
 
-def _chunk(row: int) -> int:
-    return (TaskContext.get().partitionId() << 32) + row // CHUNK
+class Addresses:
+    """(chunk, place) of the documents of a partition in turn, from the sizes of their sets."""
+
+    def __init__(self) -> None:
+        self.chunk = TaskContext.get().partitionId() << 32
+        self.place, self.held = -1, 0
+
+    def next(self, size: int) -> tuple[int, int]:
+        self.place += 1
+        self.held += size
+        if self.place == CHUNK or self.place and self.held > CHUNK_SHINGLES:
+            self.chunk, self.place, self.held = self.chunk + 1, 0, size
+        return self.chunk, self.place
 
 
 def _described(like: Likeness):
@@ -109,16 +136,16 @@ def _described(like: Likeness):
     small = like.boundaries[-1]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = 0
+        addresses = Addresses()
         for batch in batches:
             cls, size, chunk, place, own = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), like.width):
+                at = addresses.next(len(s))
                 cls.append(set_class(s))
                 size.append(len(s))
-                chunk.append(_chunk(row))
-                place.append(row % CHUNK)
+                chunk.append(at[0])
+                place.append(at[1])
                 own.append(s.tobytes() if like.least <= len(s) < small else None)
-                row += 1
             columns = [pa.array(c, pa.int64()) for c in (cls, size, chunk, place)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns, pa.array(own, pa.binary())], ["doc_id", "text_key", "cls", "n_shingles", "chunk", "place", "small"])
 
@@ -137,25 +164,31 @@ def _subset_signatures(s: np.ndarray, lacking: int) -> np.ndarray:
     return mix(np.concatenate(sized))
 
 
-def _linked_rows(signature: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (signature, class) of a batch with one row for each signature.
+def _signature_batch(signature: np.ndarray, cls: np.ndarray, size: np.ndarray, most: int) -> pa.RecordBatch:
+    """Rows (signature, class, size, whole) of a batch: lists of more than ``most`` classes are linked here.
 
-    Where several classes share one, all are linked to the least: a link is two rows under a
-    signature of its own.
+    All of such a list are linked to its least class; a link is two rows under a signature of
+    its own, and one row, not ``whole``, says that the list is linked as such.
     """
     order = np.lexsort((cls, signature))
-    signature, cls = signature[order], cls[order]
+    signature, cls, size = signature[order], cls[order], size[order]
     fresh = np.ones(len(signature), bool)
     fresh[1:] = signature[1:] != signature[:-1]
-    least = cls[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-    links = np.unique(np.stack([least, cls], 1)[cls != least], axis=0)
+    starts = np.flatnonzero(fresh)
+    group = np.cumsum(fresh) - 1
+    long = (np.diff(np.append(starts, len(signature))) > most)[group]
+    least = cls[starts[group]]
+    links = np.unique(np.stack([least, cls], 1)[long & (cls != least)], axis=0)
     own = mix(mix(links[:, 0].view(np.uint64)) * _MARK + links[:, 1].view(np.uint64))
-    return np.concatenate([signature[fresh], own, own]), np.concatenate([cls[fresh], links[:, 0], links[:, 1]])
-
-
-def _signature_batch(signature: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
-    signature, cls = _linked_rows(signature, cls)
-    return pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(cls)], ["signature", "cls"])
+    sent = ~long | fresh
+    none = np.zeros(2 * len(links), np.int64)
+    columns = (
+        np.concatenate([signature[sent], own, own]).view(np.int64),
+        np.concatenate([cls[sent], links[:, 0], links[:, 1]]),
+        np.concatenate([size[sent], none]).astype(np.int64),
+        np.concatenate([~long[sent], none.astype(bool)]),
+    )
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["signature", "cls", "n", "whole"])
 
 
 def _light(like: Likeness):
@@ -164,7 +197,9 @@ def _light(like: Likeness):
             sets = dict(zip(batch.column("cls").to_pylist(), batch.column("small").to_pylist(), strict=True))
             found = {cls: _subset_signatures(s := np.frombuffer(raw, np.uint64), like.lacking(len(s))) for cls, raw in sets.items()}
             if found:
-                yield _signature_batch(np.concatenate(list(found.values())), np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()]))
+                # equal subsets are nearly proof, so all are linked
+                cls = np.repeat(np.array(list(found), np.int64), [len(x) for x in found.values()])
+                yield _signature_batch(np.concatenate(list(found.values())), cls, np.zeros(len(cls), np.int64), 0)
 
     return signatures
 
@@ -219,20 +254,20 @@ def _postings(like: Likeness, edge: int, bits: int):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["bucket", "chunk", "known", "packed"])
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, held, shingles, places, seen, chunk = 0, 0, [], [], set(), -1
+        addresses, held, shingles, places, seen, chunk = Addresses(), 0, [], [], set(), -1
         for batch in batches:
             for s in shingle_sets(batch.column("text"), like.width):
-                if _chunk(row) != chunk or held > PACKED:
+                now, place = addresses.next(len(s))
+                if now != chunk or held > PACKED:
                     if shingles:
                         yield sent(list(packed(chunk, shingles, places)))
-                    held, shingles, places, chunk = 0, [], [], _chunk(row)
+                    held, shingles, places, chunk = 0, [], [], now
                     seen.clear()
                 if len(s) >= like.least and 100 * len(s) >= like.percent * edge and (cls := set_class(s)) not in seen:
                     seen.add(cls)
                     shingles.append(mix(s + _MARK))
-                    places.append(row % CHUNK)
+                    places.append(place)
                     held += len(s)
-                row += 1
         if shingles:
             yield sent(list(packed(chunk, shingles, places)))
 
@@ -271,11 +306,12 @@ def _counted(postings: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(blobs, pa.binary())})
 
 
-def _listed(like: Likeness):
-    """A chunk's sets under their rarest shingles: (signature, cls)."""
+def _listed(like: Likeness, most: int):
+    """A chunk's sets under their rarest shingles: (signature, cls, n, whole)."""
 
     def listed(sets: pa.Table, shared: pa.Table) -> pa.Table:
-        empty = pa.table({"signature": pa.array([], pa.int64()), "cls": pa.array([], pa.int64())})
+        none = np.zeros(0, np.int64)
+        empty = pa.Table.from_batches([_signature_batch(none.view(np.uint64), none, none, most)])
         if not len(sets) or not len(shared):
             return empty
         size, cls = np.zeros(CHUNK, np.int64), np.zeros(CHUNK, np.int64)
@@ -295,29 +331,61 @@ def _listed(like: Likeness):
         starts = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         rank = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
         kept = rank < need[at]
-        return pa.Table.from_batches([_signature_batch(mix(key[kept] ^ _MARK), cls[at[kept]])])
+        return pa.Table.from_batches([_signature_batch(mix(key[kept] ^ _MARK), cls[at[kept]], size[at[kept]], most)])
 
     return listed
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (least class, other class) of each list, from rows sorted by signature and class."""
-    last, least = None, 0
-    for batch in batches:
-        signature, cls = batch.column("signature").to_numpy(), batch.column("cls").to_numpy()
-        if not len(signature):
-            continue
+def _scan(like: Likeness, most: int):
+    """Of lists, from rows sorted by signature and class: links (least class, class) with ``shared`` 0, and pairs with the lists that they share and must share."""
+
+    def linked(signature: np.ndarray, cls: np.ndarray, n: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
         fresh = np.ones(len(signature), bool)
         fresh[1:] = signature[1:] != signature[:-1]
-        fresh[0] = signature[0] != last
-        first = np.where(fresh, cls, 0)
-        if not fresh[0]:
-            first[0] = least
-            fresh[0] = True
-        leader = first[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
-        last, least = signature[-1], leader[-1]
-        links = np.unique(np.stack([leader, cls], 1)[leader != cls], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+        starts = np.flatnonzero(fresh)
+        group = np.cumsum(fresh) - 1
+        counted = ((np.diff(np.append(starts, len(signature))) <= most) & np.logical_and.reduceat(whole, starts))[group]
+        leader = cls[starts[group]]
+        links = np.unique(np.stack([leader, cls], 1)[~counted & (leader != cls)], axis=0)
+        parts = []
+        for step in range(1, most):
+            i = np.flatnonzero(counted[:-step] & (group[:-step] == group[step:]))
+            if not len(i):
+                break
+            low, high = np.minimum(n[i], n[i + step]), np.maximum(n[i], n[i + step])
+            fits = 100 * low >= like.percent * high
+            parts.append(np.stack([cls[i], cls[i + step], like.common(low, high)], 1)[fits])
+        pairs, often = np.unique(np.concatenate(parts), axis=0, return_counts=True) if parts else (np.zeros((0, 3), np.int64), np.zeros(0, np.int64))
+        none = np.zeros(len(links), np.int64)
+        columns = (np.append(links[:, 0], pairs[:, 0]), np.append(links[:, 1], pairs[:, 1]), np.append(none, often), np.append(none, pairs[:, 2]))
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["a", "b", "shared", "least"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: list[np.ndarray] | None = None
+        for batch in batches:
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("signature", "cls", "n", "whole")]
+            if not len(rows[0]):
+                continue
+            if tail:
+                rows = [np.concatenate([t, r]) for t, r in zip(tail, rows, strict=True)]
+            once = np.ones(len(rows[0]), bool)
+            once[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            # a list that isn't whole stays so
+            whole = np.logical_and.reduceat(rows[3], np.flatnonzero(once))
+            rows = [*(r[once] for r in rows[:3]), whole]
+            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            tail = [r[last:] for r in rows]
+            if last:
+                yield linked(*(r[:last] for r in rows))
+            if len(tail[0]) > most or not tail[3].all():
+                # its least class stands for what has been linked of it
+                tail[3][0] = False
+                yield linked(*tail)
+                tail = [t[:1] for t in tail]
+        if tail:
+            yield linked(*tail)
+
+    return scan
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -380,6 +448,9 @@ def _verified(like: Likeness):
     return verify
 
 
+_LISTS = "signature long, cls long, n long, whole boolean"
+
+
 def _candidates(docs: DataFrame, described: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) of classes that may be similar; what is similar is in one component of them."""
     spark = docs.sparkSession
@@ -388,12 +459,16 @@ def _candidates(docs: DataFrame, described: DataFrame, like: Likeness) -> DataFr
     edge = like.boundary({r["n_shingles"]: r["n"] for r in sizes})
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     bits = max((4 * n - 1).bit_length(), (total // BUCKET).bit_length())
-    light = described.filter((F.col("n_shingles") >= like.least) & (F.col("n_shingles") < edge)).select("cls", "small").mapInArrow(_light(like), "signature long, cls long")
+    light = described.filter((F.col("n_shingles") >= like.least) & (F.col("n_shingles") < edge)).select("cls", "small").mapInArrow(_light(like), _LISTS)
     postings = docs.mapInArrow(_postings(like, edge, bits), "bucket int, chunk long, known boolean, packed binary")
     shared = postings.groupBy("bucket").applyInArrow(_counted, "chunk long, packed binary")
     sets = described.filter(F.col("n_shingles") >= like.least).select("chunk", "place", "cls", "n_shingles")
-    heavy = sets.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_listed(like), "signature long, cls long")
-    return light.unionByName(heavy).repartition(n, "signature").sortWithinPartitions("signature", "cls").mapInArrow(_scan, "a long, b long")
+    heavy = sets.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_listed(like, LISTED), _LISTS)
+    lists = light.unionByName(heavy).repartition(n, "signature").sortWithinPartitions("signature", "cls")
+    found = lists.mapInArrow(_scan(like, LISTED), "a long, b long, shared long, least long")
+    # a link says that two sets may be similar, whatever they share besides
+    pairs = found.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+    return pairs.filter("shared >= least").select("a", "b")
 
 
 def _proved(tasks: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:

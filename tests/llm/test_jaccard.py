@@ -59,9 +59,10 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("like", [Likeness(3, 90), Likeness(5, 80)])
-@pytest.mark.parametrize("block", [128, 4])
-def test_groups_are_those_of_brute_force(spark, monkeypatch, like, block):
+@pytest.mark.parametrize(("block", "listed"), [(128, 32), (4, 3), (16, 1)])
+def test_groups_are_those_of_brute_force(spark, monkeypatch, like, block, listed):
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LISTED", listed)
     monkeypatch.setattr(jaccard, "STANDING", max(1, block // 8))
     rows = corpus(block)
     docs = materialised(spark.createDataFrame(rows, SCHEMA).repartition(3))
@@ -97,3 +98,46 @@ def test_ids_that_are_missing_or_repeat_cost_no_text(spark):
     kept = one_of_each(spark.createDataFrame(rows, SCHEMA), Likeness(width=5, percent=80)).collect()
     assert sorted(r["text"] for r in kept) == sorted([near, words("b"), words("c"), words("d"), words("e")])
     assert sorted(str(r["doc_id"]) for r in kept) == ["3", "7", "7", "None", "None"]
+
+
+def test_unlike_texts_of_common_words_are_no_candidates(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    rows = [(i, " ".join(rng.choices(vocabulary, weights, k=150))) for i in range(3000)]
+    near = rows[7][1].split()
+    rows.append((len(rows), " ".join([*near[:70], "changed", *near[71:]])))
+    docs = materialised(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    like = Likeness()
+    described = materialised(docs.selectExpr("*", "xxhash64(text) AS text_key").mapInArrow(jaccard._described(like), "doc_id long, text_key long, cls long, n_shingles long, chunk long, place long, small binary"))
+    pairs = jaccard._candidates(docs, described, like).count()
+    assert 1 <= pairs < 30
+    groups = Counter(r["component_id"] for r in similar_groups(docs, like).collect())
+    assert [k for k, n in groups.items() if n > 1] == [7]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_the_bound_of_shared_rarest_shingles_loses_nothing(percent):
+    rng = random.Random(percent)
+    like = Likeness(3, percent)
+    for _ in range(3000):
+        n = rng.randint(5, 60)
+        x = set(range(n))
+        y = set(x)
+        for _ in range(rng.randint(0, n // 5)):
+            y.discard(rng.randrange(n))
+            if rng.random() < 0.6:
+                y.add(rng.randrange(n, 2 * n))
+        if 100 * len(x & y) < percent * len(x | y):
+            continue
+        order = rng.sample(range(2 * n), 2 * n)
+        rarest = [sorted(s, key=order.index)[: len(s) - -(-percent * len(s) // 100) + 1] for s in (x, y)]
+        assert len(set(rarest[0]) & set(rarest[1])) >= int(like.common(len(x), len(y)))
+
+
+def test_a_chunk_is_bounded_by_its_shingles(monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK_SHINGLES", 10)
+    monkeypatch.setattr(jaccard, "CHUNK", 3)
+    monkeypatch.setattr(jaccard.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 2})())
+    addresses = jaccard.Addresses()
+    assert [(c - (2 << 32), p) for c, p in map(addresses.next, [4, 6, 1, 99, 0, 1, 1, 1, 1])] == [(0, 0), (0, 1), (1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (4, 0)]
