@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialised
 
-ROUNDS = 60
+#: More rounds than any graph takes (their number grows with the logarithm of the longest path); beyond them something is wrong.
+ROUNDS = 200
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -46,5 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components are not settled after {ROUNDS} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
