@@ -1,25 +1,28 @@
 """Mixing sources to target weights by min-cost flow.
 
-Documents are aggregated by membership pattern, the set of sources they belong to.  A small
-network carries words from patterns to the quotas of their sources; using a pattern a second
-time costs more than using it once (convex repetition costs), so the flow repeats documents
-only where a quota can't be met otherwise.  What a pattern has to give is then drawn from
-its documents in seeded hash order: whole passes first, and for the rest a hash below which
+Documents are aggregated by membership pattern, the set of sources they belong to.  A network
+carries words from patterns to the quotas of their sources; using a pattern a second time
+costs more than using it once (convex repetition costs), so the flow repeats documents only
+where a quota can't be met otherwise.  What a pattern has to give is then drawn from its
+documents in seeded hash order: whole passes first, and for the rest a hash below which
 documents are taken, with a few further documents that fill what the last one left.
 
-Patterns, not documents, come to the driver; more than MAX_PATTERNS of them are refused.
-No pattern is ever gathered into one task: only documents of the hash bucket in which the
-cut lies are, some thousand of them.
+Sources and patterns stay tables, however many they are.  Where a source is in no pattern
+with another, its flow is known: its quota, as far as its words go.  The others are solved by
+connected part of the network, each in a task; a part has patterns, not documents.  No
+pattern is ever gathered into one task: only documents of the hash bucket in which the cut
+lies are, some thousand of them.
 
 Defined results: a null source is a source of its own, after all others; null and empty
 texts have size 0 and are never counted; rows that agree in id and text are taken alike; a
-source without words has target 0; an empty table gives an empty table; other columns
-travel along (those that begin with ``_mix_`` are refused).
+document without sources isn't taken; a source without words has target 0; an empty table
+gives an empty table; other columns travel along (those that begin with ``_mix_`` are
+refused).
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import deque
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -27,88 +30,175 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialised, table, word_count
+from .common import materialised, partitions, table, word_count
+from .graph import components
 
 SEED = 20240601
 #: The part of all words that the mix takes, and the weights of the sources in turn.
 BUDGET, WEIGHTS = 1.5, (5.0, 2.0, 1.0)
 #: How often a document may be taken, and what each further time costs.
 MAX_COPIES, REPEAT_COSTS = 2, (0, 1)
-MAX_PATTERNS = 10_000
+#: Tables of no more rows (patterns or sources) are broadcast; beyond that, they are joined.
+FEW = 20_000
 #: Documents of a pattern in one hash bucket, about; and how many documents fill up at the cut.
 BUCKET, FILL = 1024, 16
 
 Key = tuple[str | None, ...]
 
 
-def by_code_point(sources: Sequence[str | None]) -> list[str | None]:
-    return sorted(sources, key=lambda s: (s is None, s or ""))
+def _numbered(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``number``, from 0 in order of code point, null last: counted by ranges, not by one task."""
+    spark = sources.sparkSession
+    ranged = sources.repartitionByRange(partitions(spark), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    held = materialised(ranged)
+    counts = sorted((r["part"], r["n"]) for r in held.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row for each partition
+    starts, at = [], 0
+    for part, n in counts:
+        starts.append((part, at))
+        at += n
+    begun = F.broadcast(spark.createDataFrame(starts, "part int, begun long"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return held.join(begun, "part").select("source", "size", (F.col("begun") + place - 1).alias("number"))
 
 
-def weighted_targets(sizes: dict[str | None, int], budget: float = BUDGET, weights: Sequence[float] = WEIGHTS, most: float = MAX_COPIES) -> dict[str | None, float]:
-    """Shares of ``budget`` times all sizes by weight; none above ``most`` times its source's size."""
-    order = by_code_point(list(sizes))
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(order)}
-    left, open_, target = budget * sum(sizes.values()), list(order), dict.fromkeys(order, 0.0)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        if not full:
-            return target | {s: left * weight[s] / total for s in open_}
-        for s in full:
-            target[s] = most * sizes[s]
-        left -= sum(target[s] for s in full)
-        open_ = [s for s in open_ if s not in full]
-    return target
+def weighted_targets(sources: DataFrame, budget: float = BUDGET, weights: Sequence[float] = WEIGHTS, most: float = MAX_COPIES) -> DataFrame:
+    """``sources`` (source, size) with ``target``: shares of ``budget`` times all sizes by weight, none above ``most`` times its size.
+
+    What is cut off is shared again by weight, until none is above; each round is an aggregate.
+    """
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("number") % len(weights) + 1).cast("int"))
+    weighed = materialised(_numbered(sources).select("source", "size", weight.alias("weight")))
+    full = F.lit(False)
+    total = weighed.agg(F.sum("size")).first()[0] or 0
+    count = 0
+    while True:
+        open_ = weighed.filter(~full).agg(F.sum("weight")).first()[0]
+        given = weighed.filter(full).agg(F.sum(most * F.col("size"))).first()[0] or 0
+        left = budget * float(total) - float(given)
+        share = F.lit(left) * F.col("weight") / F.lit(open_ or 1.0)
+        # a source that was full stays so: the share of the others only grows
+        full = full | (share > most * F.col("size"))
+        now = weighed.filter(full).count()
+        if now == count or not open_:
+            break
+        count = now
+        full = F.lit(left) * F.col("weight") / F.lit(open_) > most * F.col("size")
+    return weighed.select("source", "size", F.when(full, most * F.col("size")).otherwise(share).cast("double").alias("target"))
 
 
 def route(capacity: dict[Key, int], quota: dict[str | None, int], costs: Sequence[int] = REPEAT_COSTS) -> dict[Key, dict[str | None, int]]:
-    """The cheapest flow of most words from patterns to quotas, by successive cheapest paths."""
-    graph: dict[object, dict[object, list[list[int]]]] = defaultdict(lambda: defaultdict(list))
-
-    def arc(a: object, b: object, room: int, cost: int) -> list[int]:
-        there, back = [room, cost], [0, -cost]
-        there.append(back)  # type: ignore[arg-type]
-        back.append(there)  # type: ignore[arg-type]
-        graph[a][b].append(there)
-        graph[b][a].append(back)
-        return there
-
-    flows = {}
-    for p, room in capacity.items():
-        for cost in costs:
-            arc("from", ("p", p), room, cost)
-        for s in set(p):
-            flows[p, s] = arc(("p", p), ("s", s), room * len(costs), 0)
-    for s, room in quota.items():
-        arc(("s", s), "to", room, 0)
-    given = {k: v[0] for k, v in flows.items()}
+    """The cheapest flow of most words from patterns to quotas.
+
+    Primal-dual: in each round the arcs on cheapest paths are saturated as a network of their
+    own, level by level, so there are as many rounds as costs of paths, not as paths.
+    """
+    patterns, sources = list(capacity), list(quota)
+    place = {("s", x): 2 + len(patterns) + i for i, x in enumerate(sources)}
+    heads: list[int] = []
+    room: list[int] = []
+    cost: list[int] = []
+    out: list[list[int]] = [[] for _ in range(2 + len(patterns) + len(sources))]
+
+    def arc(a: int, b: int, most: int, price: int) -> int:
+        for end, n, c, start in ((b, most, price, a), (a, 0, -price, b)):
+            out[start].append(len(heads))
+            heads.append(end)
+            room.append(n)
+            cost.append(c)
+        return len(heads) - 2
+
+    carried: dict[tuple[Key, str | None], int] = {}
+    for i, p in enumerate(patterns):
+        for price in costs:
+            arc(0, 2 + i, capacity[p], price)
+        for x in set(p):
+            carried[p, x] = arc(2 + i, place["s", x], capacity[p] * len(costs), 0)
+    for x in sources:
+        arc(place["s", x], 1, quota[x], 0)
     while True:
-        dist, came, waiting, queued = {"from": 0}, {}, deque(["from"]), {"from"}
+        far: list[int | None] = [None] * len(out)
+        far[0] = 0
+        waiting = deque([0])
         while waiting:
             a = waiting.popleft()
-            queued.discard(a)
-            for b, arcs in graph[a].items():
-                for x in arcs:
-                    if x[0] > 0 and dist[a] + x[1] < dist.get(b, 1 << 60):
-                        dist[b], came[b] = dist[a] + x[1], (a, x)
-                        if b not in queued:
-                            waiting.append(b)
-                            queued.add(b)
-        if "to" not in came:
+            for e in out[a]:
+                b, reached = heads[e], far[a] + cost[e]
+                if room[e] and (far[b] is None or reached < far[b]):
+                    far[b] = reached
+                    waiting.append(b)
+        if far[1] is None:
             break
-        path, b = [], "to"
-        while b != "from":
-            b, x = came[b]
-            path.append(x)
-        amount = min(x[0] for x in path)
-        for x in path:
-            x[0] -= amount
-            x[2][0] += amount
-    out: dict[Key, dict[str | None, int]] = {p: {} for p in capacity}
-    for (p, s), x in flows.items():
-        out[p][s] = given[p, s] - x[0]
-    return out
+        while True:
+            level: list[int | None] = [None] * len(out)
+            level[0] = 0
+            waiting = deque([0])
+            while waiting:
+                a = waiting.popleft()
+                for e in out[a]:
+                    b = heads[e]
+                    if room[e] and level[b] is None and far[b] == far[a] + cost[e]:
+                        level[b] = level[a] + 1
+                        waiting.append(b)
+            if level[1] is None:
+                break
+            next_ = [0] * len(out)
+            path: list[int] = []
+            a = 0
+            while True:
+                if a == 1:
+                    amount = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= amount
+                        room[e ^ 1] += amount
+                    short = next(i for i, e in enumerate(path) if not room[e])
+                    a = heads[path[short] ^ 1]
+                    del path[short:]
+                while next_[a] < len(out[a]):
+                    e = out[a][next_[a]]
+                    b = heads[e]
+                    if room[e] and level[b] == level[a] + 1 and far[b] == far[a] + cost[e]:
+                        break
+                    next_[a] += 1
+                else:
+                    if not path:
+                        break
+                    a = heads[path.pop() ^ 1]
+                    next_[a] += 1
+                    continue
+                path.append(e)
+                a = b
+    found: dict[Key, dict[str | None, int]] = {p: {} for p in patterns}
+    for (p, x), e in carried.items():
+        found[p][x] = room[e ^ 1]
+    return found
+
+
+def _routed(costs: Sequence[int]):
+    def routed(rows: pd.DataFrame) -> pd.DataFrame:
+        """What each pattern of one part of the network gives."""
+        sources = [[None if x is None else str(x) for x in p] for p in rows["_mix_pattern"]]
+        patterns = [tuple(p) for p in sources]
+        quota = {x: int(q) for p, qs in zip(patterns, rows["quotas"], strict=True) for x, q in zip(p, qs, strict=True)}
+        flow = route(dict(zip(patterns, (int(n) for n in rows["size"]), strict=True)), quota, costs)
+        return pd.DataFrame({"_mix_id": rows["_mix_id"], "used": [sum(flow[p].values()) for p in patterns]})
+
+    return routed
+
+
+def _flow(patterns: DataFrame, costs: Sequence[int]) -> DataFrame:
+    """(_mix_id, used) of patterns with ``quotas``, their sources'."""
+    several = patterns.filter(F.size("_mix_pattern") > 1)
+    alone = F.when(F.size("_mix_pattern") == 1, F.least(F.col("quotas")[0], F.col("size") * len(costs))).otherwise(F.lit(0)).cast("long")
+    if not several.head(1):
+        return patterns.select("_mix_id", alone.alias("used"))
+    each = patterns.select("_mix_id", F.explode("_mix_pattern").alias("source"), F.size("_mix_pattern").alias("n")).withColumn("node", F.xxhash64(F.lit("source"), "source"))
+    touched = each.filter("n > 1").select("node").distinct()
+    # patterns and sources are the nodes of a network's parts
+    tied = each.join(touched, "node").select(F.xxhash64(F.lit("pattern"), "_mix_id").alias("a"), F.col("node").alias("b"), "_mix_id")
+    part = components(tied.select("a", "b")).select(F.col("node").alias("a"), F.col("component").alias("part"))
+    parts = materialised(tied.select("_mix_id", "a").distinct().join(part, "a").select("_mix_id", "part"))
+    solved = patterns.join(parts, "_mix_id").select("_mix_id", "_mix_pattern", "size", "quotas", "part").groupBy("part").applyInPandas(_routed(costs), "_mix_id long, used long")
+    return patterns.join(parts, "_mix_id", "left_anti").select("_mix_id", alone.alias("used")).unionByName(solved)
 
 
 def _cut(rows: pd.DataFrame) -> pd.DataFrame:
@@ -132,7 +222,7 @@ def _cut(rows: pd.DataFrame) -> pd.DataFrame:
 
 def mixed(
     df: DataFrame,
-    targets: Callable[[dict[str | None, int]], dict[str | None, float]],
+    targets: Callable[[DataFrame], DataFrame],
     sources: Column,
     size: Column,
     draw: Column,
@@ -141,36 +231,31 @@ def mixed(
     """``df`` with ``copies``, the times a row is taken, ``source_sizes`` and ``targets`` by source.
 
     ``sources`` is an array, ``size`` a long, ``draw`` a seeded 64-bit hash of the row.
-    ``targets`` turns the sizes of the sources into words wanted of each; a document of
-    several sources counts in the size of each of them.
+    ``targets`` adds words wanted, ``target``, to rows (source, size); a document of several
+    sources counts in the size of each of them.
     """
     if any(c.startswith("_mix_") for c in df.columns):
         raise ValueError("columns that begin with _mix_ can't be mixed")
-    spark: SparkSession = df.sparkSession
-    pattern = F.array_sort(F.array_distinct(sources))
+    pattern = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
     marked = df.select("*", pattern.alias("_mix_pattern"), size.cast("long").alias("_mix_size"), draw.alias("_mix_draw"))
     narrow = materialised(marked.select("_mix_pattern", F.col("_mix_size").alias("size"), F.col("_mix_draw").alias("draw")))
-    found = narrow.groupBy("_mix_pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    capacity = {tuple(r["_mix_pattern"]): int(r["size"]) for r in found}
-    sizes: dict[str | None, int] = defaultdict(int)
-    for p, n in capacity.items():
-        for s in p:
-            sizes[s] += n
-    wanted = targets(dict(sizes))
-    flow = route(capacity, {s: int(np.floor(wanted[s] + 0.5)) for s in sizes}, costs)
-    plan = []
-    for i, r in enumerate(sorted(found, key=lambda r: [(s is None, s or "") for s in r["_mix_pattern"]])):
-        p = tuple(r["_mix_pattern"])
-        used = sum(flow[p].values())
-        passes, left = divmod(used, capacity[p]) if capacity[p] else (0, 0)
-        plan.append((i, list(p), passes, left, max(0, (int(r["n"]) // BUCKET).bit_length() - 1), [int(sizes[s]) for s in p], [float(wanted[s]) for s in p]))
-    # a row for each pattern, MAX_PATTERNS at most
-    plans = F.broadcast(spark.createDataFrame(plan, "_mix_id int, _mix_pattern array<string>, passes long, left long, bits int, source_sizes array<long>, targets array<double>"))
+    patterns = narrow.groupBy("_mix_pattern").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    patterns = materialised(patterns.withColumn("_mix_id", F.monotonically_increasing_id()))
+    each = patterns.select("_mix_id", F.posexplode("_mix_pattern").alias("place", "source"), F.col("size").alias("own"))
+    wanted = materialised(targets(each.groupBy("source").agg(F.sum("own").alias("size"))))
+    named = each.join(wanted, each["source"].eqNullSafe(wanted["source"])).select("_mix_id", "place", wanted["size"], "target")
+    listed = named.groupBy("_mix_id").agg(F.array_sort(F.collect_list(F.struct("place", "size", "target"))).alias("l"))  # as many as a pattern has sources
+    of_sources = listed.select("_mix_id", F.col("l.size").alias("source_sizes"), F.col("l.target").alias("targets"), F.transform("l.target", lambda t: F.floor(t + 0.5)).alias("quotas"))
+    known = materialised(patterns.join(of_sources, "_mix_id", "left"))
+    bits = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.floor(F.col("n") / BUCKET), F.lit(1))))).cast("int")
+    given = known.join(_flow(known, costs), "_mix_id")
+    whole = F.when(F.col("size") > 0, F.floor(F.col("used") / F.col("size"))).otherwise(0).cast("long")
+    left = F.when(F.col("size") > 0, F.col("used") % F.col("size")).otherwise(0).cast("long")
+    plans = materialised(given.select("_mix_id", "_mix_pattern", whole.alias("passes"), left.alias("left"), bits.alias("bits"), "source_sizes", "targets"))
+    beside = F.broadcast if plans.count() <= FEW else lambda side: side
     # the sign bit is flipped, so buckets ascend with the hash
     bucket = F.expr("IF(bits = 0, 0L, shiftrightunsigned(draw ^ (-9223372036854775807L - 1L), 64 - bits))")
-    open_ = narrow.join(plans.filter("left > 0"), "_mix_pattern").withColumn("bucket", bucket)
+    open_ = narrow.join(beside(plans.filter("left > 0")), "_mix_pattern").withColumn("bucket", bucket)
     sums = open_.groupBy("_mix_id", "left", "bucket").agg(F.sum("size").alias("size"))
     upto = Window.partitionBy("_mix_id").orderBy("bucket")  # 2^bits rows at most
     at = (
@@ -178,16 +263,16 @@ def mixed(
         .filter("sum - size < left AND left <= sum")
         .select("_mix_id", "bucket", (F.col("left") - F.col("sum") + F.col("size")).alias("left"))
     )
-    inside = open_.drop("left").join(F.broadcast(at), ["_mix_id", "bucket"])
+    inside = open_.drop("left").join(beside(at), ["_mix_id", "bucket"])
     cuts = (
         inside.groupBy("_mix_id", "left", "draw")
         .agg(F.sum("size").alias("size"))
         .groupBy("_mix_id")
-        .applyInPandas(_cut, "_mix_id int, below long, fill array<long>")
+        .applyInPandas(_cut, "_mix_id long, below long, fill array<long>")
     )
-    ends = cuts.join(F.broadcast(at.select("_mix_id", F.col("bucket").alias("_mix_bucket"))), "_mix_id")
+    ends = cuts.join(at.select("_mix_id", F.col("bucket").alias("_mix_bucket")), "_mix_id")
     decisions = materialised(plans.join(ends, "_mix_id", "left").drop("_mix_id"))
-    joined = marked.join(F.broadcast(decisions), "_mix_pattern")
+    joined = marked.join(beside(decisions), "_mix_pattern")
     here = F.expr("IF(bits = 0, 0L, shiftrightunsigned(_mix_draw ^ (-9223372036854775807L - 1L), 64 - bits))")
     below = F.coalesce(F.col("_mix_draw") < F.col("below"), F.lit(True))
     more = (here < F.col("_mix_bucket")) | ((here == F.col("_mix_bucket")) & (below | F.array_contains("fill", F.col("_mix_draw"))))

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -16,10 +17,75 @@ def run(spark, rows, sources=None):
     return mix.collect()
 
 
-def test_targets():
-    assert mixing.weighted_targets({"a": 100, "b": 100, "c": 100}) == pytest.approx({"a": 200, "b": 500 / 3, "c": 250 / 3})
-    assert mixing.weighted_targets({"b": 100, "a": 1, None: 9}) == pytest.approx({"a": 2, "b": 145, None: 18})
-    assert mixing.weighted_targets({}) == {}
+def targets_of(spark, sizes):
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    return {r["source"]: r["target"] for r in mixing.weighted_targets(df).collect()}
+
+
+def brute_targets(sizes, budget=1.5, weights=(5.0, 2.0, 1.0), most=2):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, open_, target = budget * sum(sizes.values()), list(order), {}
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        if not full:
+            return target | {s: left * weight[s] / total for s in open_}
+        target |= {s: most * sizes[s] for s in full}
+        left -= sum(target[s] for s in full)
+        open_ = [s for s in open_ if s not in full]
+    return target
+
+
+def test_targets(spark):
+    assert targets_of(spark, {"a": 100, "b": 100, "c": 100}) == pytest.approx({"a": 200, "b": 500 / 3, "c": 250 / 3})
+    assert targets_of(spark, {"b": 100, "a": 1, None: 9}) == pytest.approx({"a": 2, "b": 145, None: 18})
+    assert targets_of(spark, {}) == {} and targets_of(spark, {"a": 0}) == {"a": 0}
+    rng = random.Random(5)
+    for _ in range(3):
+        sizes = {rng.choice(["é", "z", "\U0001f600", "a", "B"]) + str(i): int(10 ** rng.uniform(0, 5)) for i in range(40)} | {None: 7}
+        assert targets_of(spark, sizes) == pytest.approx(brute_targets(sizes))
+
+
+def test_twenty_thousand_sources(spark):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 20_500:05d}") for i in range(30_000)]
+    found = run(spark, rows)
+    assert len(found) == len(rows)
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    wanted = brute_targets(sizes)
+    assert all(r["targets"][0] == pytest.approx(wanted[r["source"]]) and r["source_sizes"][0] == sizes[r["source"]] for r in found)
+
+
+def test_overlapping_sources_end_to_end(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(1, 30), rng.choice(["a", "b", "c", "a b", "b c", "d e", "f", "f"])) for i in range(3000)]
+    found = run(spark, rows, F.split("source", " "))
+    capacity, sizes = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        capacity[tuple(s.split())] += len(t.split())
+        for x in s.split():
+            sizes[x] += len(t.split())
+    wanted = brute_targets(sizes)
+    flow = mixing.route(dict(capacity), {s: int(n + 0.5) for s, n in wanted.items()})
+    taken = defaultdict(int)
+    for r in found:
+        taken[tuple(r["source"].split())] += len(r["text"].split()) * r["copies"]
+        assert dict(zip(sorted(r["source"].split()), r["targets"], strict=True)) == pytest.approx({x: wanted[x] for x in r["source"].split()})
+    assert abs(sum(taken.values()) - sum(sum(f.values()) for f in flow.values())) <= 20
+    for part in ({"a", "b", "c"}, {"d", "e"}, {"f"}):
+        used = sum(n for p, n in taken.items() if set(p) <= part)
+        assert abs(used - sum(sum(f.values()) for p, f in flow.items() if set(p) <= part)) <= 10
+
+
+def test_a_large_network_is_routed_in_time():
+    rng = random.Random(7)
+    capacity = {(f"s{i}", f"s{rng.randrange(i + 1, 2001)}"): rng.randrange(1, 100) for i in range(2000)}
+    began = time.perf_counter()
+    flow = mixing.route(capacity, {f"s{i}": rng.randrange(100) for i in range(2001)})
+    assert time.perf_counter() - began < 20
+    assert all(0 <= n for f in flow.values() for n in f.values())
 
 
 def test_the_flow_repeats_only_where_it_must():
@@ -76,5 +142,7 @@ def test_repeats_empty_tables_and_clashes(spark):
     df = spark.createDataFrame([(1, "a", "x", 7)], "doc_id long, text string, source string, copies int")
     mix = mixing.mixed(df, mixing.weighted_targets, F.array("source"), word_count(F.col("text")), mixing.document_draw())
     assert mix.columns == ["doc_id", "text", "source", "copies", "source_sizes", "targets"]
+    nothing = mixing.mixed(df, mixing.weighted_targets, F.array().cast("array<string>"), F.lit(1), F.lit(1))
+    assert [r["copies"] for r in nothing.collect()] == [0]
     with pytest.raises(ValueError):
         mixing.mixed(df.withColumn("_mix_id", F.lit(1)), mixing.weighted_targets, F.array("source"), F.lit(1), F.lit(1))
