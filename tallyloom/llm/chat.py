@@ -6,10 +6,13 @@ In DataFrame functions only.  A message's text is plain, or a JSON object:
   object, or a string that holds one) and, if a call needs others' results, ``after``: ids;
 * a tool's has ``tool_call_id`` and ``content``;
 * a system's may have ``tools``: objects with ``name`` and ``parameters`` in the manner of
-  JSON schema (``properties`` with a ``type``, ``required``).
+  JSON schema.  ``type``, ``properties``, ``required``, ``additionalProperties`` (if false),
+  ``items``, ``enum``, ``minimum``, ``maximum``, ``minLength`` and ``maxLength`` are held
+  against the arguments, at any depth; other keywords aren't.
 
 Calls and results meet in a hash join on conversation and id.  Calls are ordered by level:
-one above the highest call they come after, found by joining levels until none changes; a
+one above the highest call they come after, found by joining the last level with what waits
+for it until none is added, however deep; a
 message's calls are written in that order.  A conversation in order of (anchor_turn, level,
 turn), nulls last, has every result after its call, and results in the order in which the
 calls need them; messages are never gathered by conversation, so one of any length is no
@@ -20,20 +23,23 @@ Defined results: null texts are messages with null content; texts that aren't su
 not of a fitting role, are plain; of calls with one id in a conversation the first counts
 and the rest are repeats without links; a result without its call is an orphan and keeps its
 turn; calls in a cycle have no level; a call to a tool without a schema isn't validated; a call doesn't wait for calls of later messages or for
-unknown ids;
+unknown ids; arguments that are missing or null count as an empty object; numbers keep the
+digits they are written with;
 rows that are alike come out alike; an empty table gives an empty table; other columns are
 not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialised, table
+from .common import materialised, table
 
-#: Calls after calls after calls: so many rounds of joins at most; deeper ones have no level.
-DEPTH = 64
+#: Levels that are read together again as one table, so that a deep chain's plan stays small.
+COMPACT = 32
 
 _JSON_TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT", "null": "VOID"}
 
@@ -55,11 +61,13 @@ def _shape(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
 
 
-def _of_type(v: Column, name: Column) -> Column:
+def _of_types(v: Column, names: Column) -> Column:
+    """Whether a variant is of one of the types of JSON schema; unknown names are no type."""
     shape = _shape(v)
     number = shape.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
+    whole = number & (F.expr("try_variant_get(value, '$', 'double')") % 1 == 0)
     known = F.create_map(*[F.lit(x) for pair in _JSON_TYPES.items() for x in pair])
-    return F.coalesce(F.when(name == "number", number).otherwise(shape == F.element_at(known, name)), F.lit(True))
+    return F.exists(names, lambda n: F.when(n == "number", number).when(n == "integer", whole).otherwise(F.coalesce(shape == F.element_at(known, n), F.lit(False))))
 
 
 def _calls(messages: DataFrame) -> DataFrame:
@@ -79,35 +87,87 @@ def _calls(messages: DataFrame) -> DataFrame:
     )
 
 
+#: A step to the items of an array; keys are written as in JSON pointers.
+_ITEMS = "/\x00"
+
+
+def _step(key: str) -> Column:
+    return F.concat(F.col("path"), F.lit("/"), F.replace(F.replace(F.col(key), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1")))
+
+
+def _nested(first: DataFrame, deeper) -> DataFrame:
+    """``first`` and all that ``deeper`` finds below it, level by level."""
+    now = materialised(first)
+    found = now
+    while now.head(1):
+        now = materialised(deeper(now))
+        found = found.unionByName(now)
+    return found
+
+
 def _schemas(systems: DataFrame) -> DataFrame:
-    """A row for each parameter of a conversation's tools: type and whether it is required."""
+    """A row for each place in the schema of a conversation's tool, with what holds there."""
     tools = systems.select("conv_id", F.expr("explode(try_variant_get(body, '$.tools', 'array<variant>'))").alias("tool"))
     named = tools.select(
         "conv_id",
         F.expr("try_variant_get(tool, '$.name', 'string')").alias("name"),
-        F.expr("coalesce(try_variant_get(tool, '$.parameters.properties', 'map<string,variant>'), map())").alias("properties"),
-        F.expr("coalesce(try_variant_get(tool, '$.parameters.required', 'array<string>'), array())").alias("required"),
+        F.lit("").alias("path"),
+        F.expr("to_json(coalesce(try_variant_get(tool, '$.parameters', 'variant'), parse_json('{}')))").alias("schema"),
     ).dropDuplicates(["conv_id", "name"])
-    keys = F.array_union(F.map_keys("properties"), F.col("required"))
-    return named.select("conv_id", "name", F.explode_outer(keys).alias("parameter"), "properties", "required").select(
+
+    def deeper(rows: DataFrame) -> DataFrame:
+        read = rows.withColumn("v", F.try_parse_json("schema"))
+        properties = read.select("conv_id", "name", "path", F.expr("explode(try_variant_get(v, '$.properties', 'map<string,variant>'))").alias("key", "below"))
+        items = read.select("conv_id", "name", F.concat("path", F.lit(_ITEMS)).alias("path"), F.expr("try_variant_get(v, '$.items', 'variant')").alias("below")).filter("below IS NOT NULL")
+        both = properties.select("conv_id", "name", _step("key").alias("path"), "below").unionByName(items)
+        return both.select("conv_id", "name", "path", F.to_json("below").alias("schema"))
+
+    get = lambda path, kind: F.expr(f"try_variant_get(v, '$.{path}', '{kind}')")
+    root = F.when(F.col("path") == "", F.array(F.lit("object")))
+    closed = F.coalesce(get("additionalProperties", "boolean") == F.lit(False), F.lit(False))
+    return _nested(named, deeper).withColumn("v", F.try_parse_json("schema")).select(
         "conv_id",
         "name",
-        "parameter",
-        F.expr("try_variant_get(element_at(properties, parameter), '$.type', 'string')").alias("type"),
-        F.array_contains("required", F.col("parameter")).alias("required"),
+        "path",
+        F.coalesce(get("type", "array<string>"), F.when(_shape(F.expr("try_variant_get(v, '$.type', 'variant')")) == "STRING", F.array(get("type", "string"))), root).alias("types"),
+        F.coalesce(get("required", "array<string>"), F.array().cast("array<string>")).alias("required"),
+        F.when(closed, F.coalesce(F.map_keys(get("properties", "map<string,variant>")), F.array().cast("array<string>"))).alias("allowed"),
+        F.transform(get("enum", "array<variant>"), lambda x: F.to_json(x)).alias("enum"),
+        *[get(k, "double").alias(k) for k in ("minimum", "maximum", "minLength", "maxLength")],
     )
 
 
 def _invalid(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(key, index, faults) of calls to tools with a schema: missing, unknown or mistyped arguments."""
+    """(key, index, faults) of calls to tools with a schema: places of the arguments at which they break it."""
     known = calls.join(schemas.select("conv_id", "name").distinct(), ["conv_id", "name"], "left_semi")
-    given = known.select("conv_id", "key", "index", "name", F.expr("explode(coalesce(try_variant_get(arguments, '$', 'map<string,variant>'), map()))").alias("parameter", "value"))
-    matched = given.join(schemas, ["conv_id", "name", "parameter"], "left")
-    wrong = matched.filter(F.col("required").isNull() | ~_of_type(F.col("value"), F.col("type"))).select("key", "index")
-    required = known.join(schemas.filter("required"), ["conv_id", "name"]).select("key", "index", "parameter")
-    missing = required.join(given.select("key", "index", "parameter"), ["key", "index", "parameter"], "left_anti").select("key", "index")
-    found = wrong.unionByName(missing).groupBy("key", "index").agg(F.count("*").alias("faults"))
-    return known.select("key", "index").distinct().join(found, ["key", "index"], "left").select("key", "index", F.coalesce("faults", F.lit(0)).alias("faults"))
+    given = F.when(F.coalesce(_shape(F.col("arguments")), F.lit("VOID")) == "VOID", F.lit("{}")).otherwise(F.to_json("arguments"))
+    roots = known.select("conv_id", "key", "index", "name", F.lit("").alias("path"), given.alias("value"))
+
+    def deeper(rows: DataFrame) -> DataFrame:
+        read = rows.withColumn("v", F.parse_json("value"))
+        fields = read.select("conv_id", "key", "index", "name", "path", F.expr("explode(try_variant_get(v, '$', 'map<string,variant>'))").alias("step", "below"))
+        items = read.select("conv_id", "key", "index", "name", F.concat("path", F.lit(_ITEMS)).alias("path"), F.expr("explode(try_variant_get(v, '$', 'array<variant>'))").alias("below"))
+        both = fields.select("conv_id", "key", "index", "name", _step("step").alias("path"), "below").unionByName(items)
+        # what no schema speaks of needn't be looked into
+        return both.select("conv_id", "key", "index", "name", "path", F.to_json("below").alias("value")).join(schemas.select("conv_id", "name", "path"), ["conv_id", "name", "path"], "left_semi")
+
+    places = _nested(roots, deeper).join(schemas, ["conv_id", "name", "path"]).withColumn("written", F.col("value")).withColumn("value", F.parse_json("written"))
+    keys = F.map_keys(F.expr("try_variant_get(value, '$', 'map<string,variant>')"))
+    shape = _shape(F.col("value"))
+    number = F.when(~shape.isin("STRING", "OBJECT", "ARRAY", "BOOLEAN", "VOID"), F.expr("try_variant_get(value, '$', 'double')"))
+    length = F.when(shape == "STRING", F.length(F.expr("try_variant_get(value, '$', 'string')")))
+    broken = [
+        ~_of_types(F.col("value"), F.col("types")),
+        (shape == "OBJECT") & (F.size(F.array_except("required", keys)) > 0),
+        (shape == "OBJECT") & (F.size(F.array_except(keys, F.col("allowed"))) > 0),
+        ~F.array_contains("enum", F.col("written")),
+        (number < F.col("minimum")) | (number > F.col("maximum")),
+        (length < F.col("minLength")) | (length > F.col("maxLength")),
+    ]
+    wrong = F.lit(False)
+    for b in broken:
+        wrong = wrong | F.coalesce(b, F.lit(False))
+    return places.groupBy("key", "index").agg(F.count_if(wrong).alias("faults"))
 
 
 def _levels(calls: DataFrame) -> DataFrame:
@@ -116,23 +176,23 @@ def _levels(calls: DataFrame) -> DataFrame:
     needs = calls.select("conv_id", "id", "turn", F.explode("after").alias("need"))
     known = calls.select("conv_id", F.col("id").alias("need"), F.col("turn").alias("need_turn"))
     waits = materialised(needs.join(known, ["conv_id", "need"]).filter("need_turn <= turn").select("conv_id", "id", "need").distinct())
-    done = materialised(ids.join(waits, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level")))
-    count = done.count()
-    for _ in range(DEPTH if waits.head(1) else 0):
-        ready = waits.join(done.select("conv_id", F.col("id").alias("need"), "level"), ["conv_id", "need"], "left")
-        ready = ready.groupBy("conv_id", "id").agg(F.max("level").alias("level"), F.every(F.col("level").isNotNull()).alias("all"))
-        after = done.unionByName(ready.filter("all").join(done, ["conv_id", "id"], "left_anti").select("conv_id", "id", (F.col("level") + 1).alias("level")))
-        before, done = done, materialised(after)
-        discard(before)
-        if (more := done.count()) == count:
-            break
-        count = more
-    return ids.join(done, ["conv_id", "id"], "left")
+    waiting = waits.groupBy("conv_id", "id").agg(F.count("*").alias("open"))
+    # calls that wait for so many others, and the level that they have reached
+    state = materialised(ids.join(waiting, ["conv_id", "id"], "left").select("conv_id", "id", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0).alias("level")))
+    done = [state.filter("open = 0").drop("open")]
+    while done[-1].head(1) and state.filter("open > 0").head(1):
+        met = waits.join(done[-1].withColumnRenamed("id", "need"), ["conv_id", "need"]).groupBy("conv_id", "id").agg(F.count("*").alias("met"), F.max("level").alias("highest"))
+        rest = state.filter("open > 0").join(met, ["conv_id", "id"], "left")
+        state = materialised(rest.select("conv_id", "id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"), F.greatest("level", F.coalesce(F.col("highest") + 1, F.lit(0))).alias("level")))
+        done.append(state.filter("open = 0").drop("open"))
+        if len(done) > COMPACT:
+            done = [materialised(reduce(DataFrame.unionByName, done[:-1])), done[-1]]
+    return ids.join(reduce(DataFrame.unionByName, done), ["conv_id", "id"], "left")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
     """A row for each message (conv_id, turn, role, text) with its JSON, place and links."""
-    body = F.when(F.col("text").startswith("{"), F.try_parse_json("text"))
+    body = F.when(F.col("text").rlike(r"^\s*\{"), F.try_parse_json("text"))
     has = lambda path, kind: F.expr(f"try_variant_get(body, '{path}', '{kind}')").isNotNull()
     kind = (
         F.when((F.col("role") == "assistant") & has("$.tool_calls", "array<variant>"), "call")
@@ -217,7 +277,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
 def _by_message(linked: DataFrame) -> DataFrame:
     """A message's calls; their number is bounded by the length of its text."""
     return linked.groupBy("key").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(DEPTH + 1)).alias("level"), "index", "one"))).alias("list"),
+        F.sort_array(F.collect_list(F.struct(F.col("level").isNull().alias("none"), "level", "index", "one"))).alias("list"),
         F.count("*").alias("n_calls"),
         F.sum(F.when(F.col("own").isNotNull(), F.coalesce("answered", F.lit(0))).otherwise(0)).alias("n_linked"),
         F.count_if(F.col("faults") > 0).alias("n_invalid"),

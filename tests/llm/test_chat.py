@@ -1,4 +1,7 @@
 import json
+import random
+
+import pytest
 
 from tallyloom.llm.chat import formatted, op3_tool_call_links
 
@@ -73,3 +76,100 @@ def test_all_conversations(spark):
     rows = spark.read.parquet(f"{folder}/conversations.parquet").collect()
     found = {(r["conv_id"], r["turn"]): json.loads(r["message"]) for r in op3_tool_call_links(spark, folder).collect()}
     assert found == {(r["conv_id"], r["turn"]): {"role": r["role"], "content": r["text"]} for r in rows}
+
+
+def test_a_chain_deeper_than_any_bound(spark):
+    n = 70
+    rows = [(1, 0, "assistant", call(*[(f"c{i}", "f", {}, [f"c{i - 1}"] if i else []) for i in reversed(range(n))])), *[(1, 1 + i, "tool", result(f"c{i}")) for i in range(n)]]
+    found = run(spark, rows)
+    assert [found[1, 1 + i]["level"] for i in range(n)] == [i + 1 for i in range(n)]
+    assert [c["id"] for c in json.loads(found[1, 0]["message"])["tool_calls"]] == [f"c{i}" for i in range(n)]
+
+
+def test_white_space_before_an_object(spark):
+    found = run(spark, [(1, 0, "assistant", " \n\t" + call(("a", "f", {}))), (1, 1, "tool", "\n" + result("a"))])
+    assert (found[1, 0]["kind"], found[1, 1]["kind"], found[1, 0]["n_linked"]) == ("call", "result", 1)
+
+
+def brute_levels(calls):
+    """Of one conversation's calls (turn, id, after), in order: level by id."""
+    first = {}
+    for turn, i, after in calls:
+        first.setdefault(i, (turn, after))
+    level = {}
+    while True:
+        more = {}
+        for i, (turn, after) in first.items():
+            needs = [n for n in after if n in first and first[n][0] <= turn]
+            if i not in level and all(n in level for n in needs):
+                more[i] = max((level[n] + 1 for n in needs), default=0)
+        if not more:
+            return level, first
+        level |= more
+
+
+def test_links_and_levels_are_those_of_brute_force(spark):
+    rng = random.Random(3)
+    rows, wanted = [], {}
+    for conv in range(40):
+        calls = []
+        for turn in range(rng.randrange(1, 5)):
+            made = []
+            for _ in range(rng.randrange(1, 5)):
+                i = f"c{rng.randrange(9)}"
+                after = [f"c{rng.randrange(9)}" for _ in range(rng.randrange(3))]
+                if i not in [m[0] for m in made]:
+                    made.append((i, "f", {}, after))
+                    calls.append((turn, i, after))
+            rows.append((conv, turn, "assistant", call(*made)))
+        level, first = brute_levels(calls)
+        for k in range(9):
+            rows.append((conv, 10 + k, "tool", result(f"c{k}")))
+            i = f"c{k}"
+            wanted[conv, 10 + k] = ("result", first[i][0], level[i] + 1 if i in level else None) if i in first else ("orphan", 10 + k, 0)
+    found = run(spark, rows)
+    assert {k: (found[k]["kind"], found[k]["anchor_turn"], found[k]["level"]) for k in wanted} == wanted
+
+
+SCHEMA_TOOLS = {
+    "type": "object",
+    "properties": {
+        "place": {"type": "object", "properties": {"city": {"type": "string", "minLength": 2}, "at": {"type": "array", "items": {"type": "number", "minimum": 0, "maximum": 9}}}, "required": ["city"], "additionalProperties": False},
+        "unit": {"enum": ["c", "f", 1]},
+        "many": {"type": ["integer", "null"]},
+        "a/b": {"type": "boolean"},
+    },
+    "required": ["unit"],
+}
+
+
+@pytest.mark.parametrize("tool", [SCHEMA_TOOLS])
+def test_arguments_are_held_against_nested_schemas(spark, tool):
+    cases = [
+        ({"unit": "c"}, 0),
+        ({"unit": "c", "unknown": 1}, 0),
+        ({"unit": "x"}, 1),
+        ({}, 1),
+        ({"unit": 1, "many": None, "a/b": True}, 0),
+        ({"unit": 1, "many": 1.5}, 1),
+        ({"unit": "f", "a/b": 1}, 1),
+        ({"unit": "f", "place": {"city": "Rome", "at": [1, 2.5]}}, 0),
+        ({"unit": "f", "place": {"at": []}}, 1),
+        ({"unit": "f", "place": {"city": "Rome", "zip": 1}}, 1),
+        ({"unit": "f", "place": {"city": "R"}}, 1),
+        ({"unit": "f", "place": {"city": "Rome", "at": [1, 10]}}, 1),
+        ({"unit": "f", "place": {"city": "Rome", "at": [1, "2"]}}, 1),
+        ({"unit": "f", "place": "Rome"}, 1),
+        ([1], 1),
+    ]
+    rows = [(1, 0, "system", json.dumps({"tools": [{"name": "t", "parameters": tool}, {"name": "free"}]}))]
+    rows += [(1, 1 + i, "assistant", call((f"c{i}", "t", a))) for i, (a, _) in enumerate(cases)] + [(1, 99, "assistant", call(("z", "free", {"any": [1]})))]
+    found = run(spark, rows)
+    assert [found[1, 1 + i]["n_invalid"] for i in range(len(cases))] == [n for _, n in cases]
+    assert found[1, 99]["n_invalid"] == 0
+
+
+def test_null_conversations_and_very_long_texts(spark):
+    long = "x" * 3_000_000
+    found = formatted(spark.createDataFrame([(None, 0, "user", long), (None, None, "assistant", call(("a", "f", {"x": long}))), (None, 2, "tool", result("a"))], SCHEMA)).collect()
+    assert len(found) == 3 and max(len(r["message"]) for r in found) > 3_000_000
