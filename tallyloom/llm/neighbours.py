@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: a graph by NN-descent, and greedy search on it.
 
 Equal vectors are one node.  The graph begins with neighbours found in the leaves of a few
-random hyperplane trees.  Each round of NN-descent then joins every node with its neighbours
+random hyperplane trees, whose planes part a sample of SAMPLE nodes in halves, level by level,
+so leaves are alike in size wherever the vectors lie.  Each round of NN-descent then joins every node with its neighbours
 and the nodes that have it as a neighbour; within such a neighbourhood every pair is
-measured, and each member is told of those nearer than the farthest it knows.  So a node
-meets its neighbours' neighbours, until hardly anything changes.  Rounds measure vectors of
+measured, unless both were there before, and each member is told of those nearer than the
+farthest it knows; neighbourhoods without a new member rest.  So a node meets its neighbours'
+neighbours, until hardly anything changes.  Rounds measure vectors of
 one byte a component.
 
 A query starts at nodes of the leaves it falls into, and keeps the EF nearest nodes seen, by
@@ -24,6 +26,8 @@ counts; an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,10 @@ K, TREES, LEAF, PART = 24, 6, 128, 256
 ROUNDS, SETTLED = 5, 0.02
 #: Nearer nodes that a member is told of in one neighbourhood.
 TOLD = 6
-#: Nodes that a query keeps, expands in a round, and takes from each leaf to begin with; rounds at most.
-EF, EXPANDED, STARTS, SEARCH_ROUNDS = 128, 32, 16, 40
+#: Nodes that a query keeps, expands in a round, and takes from each leaf to begin with.
+EF, EXPANDED, STARTS = 128, 32, 16
+#: Nodes by which trees are fitted, and how many of them a half must have to be halved by its own.
+SAMPLE, HALVED = 4096, 16
 SEED = 7
 
 
@@ -58,16 +64,54 @@ def _planes(dims: int, bits: int) -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((dims, TREES * bits))
 
 
-def _leaves(vectors: np.ndarray, bits: int) -> np.ndarray:
-    """The leaf of each vector in each tree: a column for each tree."""
-    if not bits:
-        return np.tile(np.arange(TREES, dtype=np.int64), (len(vectors), 1))
-    side = (vectors @ _planes(vectors.shape[1], bits) > 0).reshape(len(vectors), TREES, bits)
-    numbers = (side * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
-    return numbers * TREES + np.arange(TREES)
-
-
-def _placed(bits: int, carried: str):
+@dataclass(frozen=True)
+class Forest:
+    """TREES trees of ``bits`` levels: where each cell is parted along the plane of each level.
+
+    Deeper than ``levels`` the sample says no more, and all that is below a cell is parted alike.
+    """
+
+    bits: int
+    levels: int
+    #: For each level, by tree and cell.
+    borders: tuple[np.ndarray, ...]
+
+    def cells(self, vectors: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each tree, the cells in which ``levels`` put the vectors, and their places along all planes."""
+        along = (vectors @ _planes(vectors.shape[1], self.bits)).reshape(len(vectors), TREES, self.bits)
+        for t in range(TREES):
+            cell = np.zeros(len(vectors), np.int64)
+            for level in range(self.levels):
+                cell = 2 * cell + (along[:, t, level] > self.borders[level][t][cell])
+            yield t, cell, along[:, t]
+
+    def leaves(self, vectors: np.ndarray) -> np.ndarray:
+        """The leaf of each vector in each tree: a column for each tree."""
+        out = np.zeros((len(vectors), TREES), np.int64)
+        for t, cell, along in self.cells(vectors) if self.bits else ():
+            leaf = cell
+            for level in range(self.levels, self.bits):
+                leaf = 2 * leaf + (along[:, level] > self.borders[level][t][cell])
+            out[:, t] = leaf
+        return out * TREES + np.arange(TREES)
+
+
+def grown(sample: np.ndarray, bits: int) -> Forest:
+    """Trees whose planes part the sample's cells in halves."""
+    levels = min(bits, max(0, (len(sample) // HALVED).bit_length() - 1))
+    borders: list[np.ndarray] = []
+    for level in range(bits):
+        known = Forest(bits, min(level, levels), tuple(borders))
+        at = np.zeros((TREES, 1 << known.levels))
+        for t, cell, along in known.cells(sample):
+            at[t] = np.median(along[:, level])
+            for c in np.unique(cell):
+                at[t, c] = np.median(along[cell == c, level])
+        borders.append(at)
+    return Forest(bits, levels, tuple(borders))
+
+
+def _placed(forest: Forest, carried: str):
     """Rows (leaf, order, carried columns) for each tree."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +119,7 @@ def _placed(bits: int, carried: str):
             if not batch.num_rows:
                 continue
             vectors = _matrix(batch.column("vector"))
-            leaf = _leaves(vectors, bits)
+            leaf = forest.leaves(vectors)
             order = vectors @ np.random.default_rng(SEED + 1).standard_normal((vectors.shape[1], TREES))
             for t in range(TREES):
                 kept = [batch.column(c) for c in carried.split()]
@@ -161,8 +205,11 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     held = 0
     for group in runs(_cut(batches, "centre", PART), "part"):
         node, x, known = group["node"].to_numpy(), _restored(group), group["farthest"].to_numpy()
+        new = group["new"].to_numpy()
+        if not new.any():
+            continue
         far = _distances(x)
-        far[far >= known[:, None]] = np.inf
+        far[(far >= known[:, None]) | ~(new[:, None] | new[None, :])] = np.inf
         k = min(TOLD, len(node) - 1)
         if k < 1:
             continue
@@ -187,23 +234,27 @@ def _top(edges: DataFrame) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= K)
 
 
-def graph(nodes: DataFrame, bits: int) -> DataFrame:
+def graph(nodes: DataFrame, forest: Forest) -> DataFrame:
     """Edges (node, near, far, rank) of the neighbour graph of ``nodes`` (node, vector)."""
     n = partitions(nodes.sparkSession)
     small = materialised(nodes.mapInArrow(_bytes, "node long, small binary, scale float"))
-    leaves = nodes.join(small, "node").mapInArrow(_placed(bits, "node small scale"), "leaf long, sort double, node long, small binary, scale float")
+    leaves = nodes.join(small, "node").mapInArrow(_placed(forest, "node small scale"), "leaf long, sort double, node long, small binary, scale float")
     first = leaves.repartition(n, "leaf").sortWithinPartitions("leaf", "sort").mapInArrow(_within_leaves, "node long, near long, far float")
-    edges = materialised(_top(first))
+    edges = materialised(_top(first).withColumn("new", F.lit(True)))
     total = edges.count()
     for _ in range(ROUNDS):
         back = edges.withColumn("place", F.row_number().over(Window.partitionBy("near").orderBy("far", "node"))).filter(F.col("place") <= K)
-        links = edges.select(F.col("node").alias("centre"), F.col("near").alias("node")).unionByName(back.select(F.col("near").alias("centre"), "node")).distinct()
+        links = edges.select(F.col("node").alias("centre"), F.col("near").alias("node"), "new").unionByName(back.select(F.col("near").alias("centre"), "node", "new"))
+        links = links.groupBy("centre", "node").agg(F.max("new").alias("new"))
+        links = links.join(edges.filter("new").select(F.col("node").alias("centre")).unionByName(back.filter("new").select(F.col("near").alias("centre"))).distinct(), "centre", "left_semi")
         farthest = edges.groupBy("node").agg(F.when(F.count("*") >= K, F.max("far")).otherwise(float("inf")).cast("float").alias("farthest"))
         known = small.join(farthest, "node", "left").withColumn("farthest", F.coalesce("farthest", F.lit(float("inf")).cast("float")))
-        members = links.join(known, "node").select("centre", "node", "small", "scale", "farthest")
+        members = links.join(known, "node").select("centre", "node", "small", "scale", "farthest", "new")
         told = members.repartition(n, "centre").sortWithinPartitions("centre").mapInArrow(_neighbourhoods, "node long, near long, far float")
-        after = materialised(_top(edges.select("node", "near", "far").unionByName(told)))
-        changed = after.join(edges, ["node", "near"], "left_anti").count()
+        before = edges.select("node", "near", F.lit(False).alias("old"))
+        top = _top(edges.select("node", "near", "far").unionByName(told)).join(before, ["node", "near"], "left")
+        after = materialised(top.withColumn("new", F.coalesce("old", F.lit(True))).drop("old"))
+        changed = after.filter("new").count()
         discard(edges)
         edges = after
         if changed <= SETTLED * total:
@@ -235,18 +286,18 @@ def _moved(state: pa.Table, found: pa.Table) -> pa.Table:
 _STATE = "query long, vector array<double>, nodes array<long>, far array<double>, done array<boolean>, now array<boolean>"
 
 
-def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, forest: Forest) -> DataFrame:
     """(query, node, far) of the EF nearest nodes found for each of ``queries`` (query, vector)."""
     wide = queries.select("query", F.col("vector").cast("array<double>").alias("vector"))
-    asked = wide.mapInArrow(_placed(bits, "query"), "leaf long, sort double, query long").select("leaf", "query").distinct()
-    leaves = nodes.mapInArrow(_placed(bits, "node"), "leaf long, sort double, node long")
+    asked = wide.mapInArrow(_placed(forest, "query"), "leaf long, sort double, query long").select("leaf", "query").distinct()
+    leaves = nodes.mapInArrow(_placed(forest, "node"), "leaf long, sort double, node long")
     starts = leaves.withColumn("place", F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("node", "leaf"), "node"))).filter(F.col("place") <= STARTS)
     seeds = asked.join(starts.select("leaf", "node"), "leaf").select("query", "node").distinct()
     near = edges.select("node", F.col("near").alias("next"))
     none = [F.array().cast(t).alias(c) for c, t in (("nodes", "array<long>"), ("far", "array<double>"), ("done", "array<boolean>"), ("now", "array<boolean>"))]
     state = wide.select("query", "vector", *none)
     found = seeds
-    for turn in range(SEARCH_ROUNDS):
+    for turn in count():  # a query expands a node once, so this ends
         measured = found.join(nodes, "node").select(F.col("query").alias("asked"), F.col("node").alias("met"), F.col("vector").alias("place"))
         moved = materialised(state.groupBy("query").cogroup(measured.groupBy("asked")).applyInArrow(_moved, _STATE))
         if turn:
@@ -273,10 +324,11 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # of equal vectors the k + 1 smallest ids can be among the k nearest
     members = materialised(rows.withColumn("place", place).filter(F.col("place") <= k + 1))
     nodes = materialised(members.filter("place = 1").select("node", "vector"))
-    count = nodes.count()
-    bits = max(0, (count // LEAF).bit_length() - 1) if count else 0
-    edges = graph(nodes, bits)
-    found = search(asked.select("query", "vector"), nodes, edges, bits)
+    bits = max(0, (nodes.count() // LEAF).bit_length() - 1)
+    drawn = nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(SAMPLE).select("vector").collect() if bits else []  # SAMPLE rows at most
+    forest = grown(np.array([r["vector"] for r in drawn], np.float64), bits)
+    edges = graph(nodes, forest)
+    found = search(asked.select("query", "vector"), nodes, edges, forest)
     few = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("far", "node"))).filter(F.col("place") <= k + 1)
     named = few.join(members.select("node", "vec_id"), "node").filter(F.col("vec_id") != F.col("query"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy("far", "vec_id"))

@@ -1,6 +1,9 @@
 import numpy as np
 
-from tallyloom.llm.neighbours import nearest, op6_nn_descent
+import pytest
+
+from tallyloom.llm import neighbours
+from tallyloom.llm.neighbours import grown, nearest, op6_nn_descent
 
 SCHEMA = "vec_id long, embedding array<float>"
 
@@ -53,3 +56,21 @@ def test_no_vectors(spark):
     assert nearest(empty, empty).count() == 0
     alone = spark.createDataFrame([(0, [1.0])], SCHEMA)
     assert nearest(alone, alone).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["far off", "clusters"])
+def test_leaves_are_alike_in_size_and_recall_holds_anywhere(spark, kind):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((3000, 12))
+    x += 6 if kind == "far off" else 40 * rng.integers(0, 3, (3000, 1)) ** 2
+    forest = grown(x[:1500], 4)
+    sizes = [np.unique(forest.leaves(x)[:, t], return_counts=True)[1] for t in range(neighbours.TREES)]
+    assert all(len(s) == 16 and s.max() < 2 * 3000 / 16 for s in sizes)
+    rows = [(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {}
+    for r in nearest(df, df.filter("vec_id % 100 = 0")).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    vectors = dict(rows)
+    hits = sum(len(found[q] & {i for i, _ in exact(vectors, q, 10)}) for q in found)
+    assert len(found) == 30 and hits >= 0.9 * 300
