@@ -13,21 +13,22 @@ document's words never leave the stage that reads it.
 Defined results: null and empty texts and those without a letter or digit, of documents and
 of items, match nothing;
 items with equal words count as the one with the smallest id; an item without an id counts
-as any other, and its pairs have a null item_id; items too short for a mask
-are looked for whole, word by word; rows that agree in text get the same decision; empty
+as any other, and its pairs have a null item_id; items of up to ten words
+have masks of their own, so nothing that SHARE allows is missed; rows that agree in text get the same decision; empty
 tables give no pairs; other columns travel along in ``decontaminated``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialised, table
 
-#: 1 looks, 0 ignores; five words are looked at.
+#: 1 looks, 0 ignores; five words are looked at.  Whatever words of a window of 11, 12 or 13 are substituted, as many as SHARE allows, one of these fits.
 MASKS = ("1101011", "11100011", "101100101")
 WINDOW, SHARE = 13, 80
 BLOCK_ROWS = 1 << 20
@@ -36,6 +37,37 @@ BLOCK_ROWS = 1 << 20
 LETTERS = r"\p{L}\p{M}\p{N}"
 
 
+def _fits(mask: str, wrong: tuple[int, ...], length: int) -> bool:
+    looked = [o for o, c in enumerate(mask) if c == "1"]
+    return any(all(at + o not in wrong for o in looked) for at in range(length - len(mask) + 1))
+
+
+@cache
+def masks_for(length: int) -> tuple[str, ...]:
+    """Masks for items of a length: one of them fits, whatever words are substituted, as many as SHARE allows.
+
+    For windows of full length these are MASKS.  Shorter items take the masks, of as many words as
+    go, that fit most of the patterns left, one after the other.
+    """
+    if length > 10:
+        return MASKS
+    allowed = length - -(-SHARE * length // 100)
+    left = list(combinations(range(length), allowed))
+    chosen: list[str] = []
+    for weight in range(min(5, length - allowed), 0, -1):
+        tried = [m for m in ("".join("1" if o in p else "0" for o in range(p[-1] + 1)) for p in combinations(range(length), weight) if p[0] == 0)]
+        while left and len(chosen) < 4:
+            counts = [sum(_fits(m, w, length) for w in left) for m in tried]
+            if not max(counts):
+                break
+            chosen.append(tried[counts.index(max(counts))])
+            left = [w for w in left if not _fits(chosen[-1], w, length)]
+        if not left:
+            return tuple(chosen)
+        chosen, left = [], list(combinations(range(length), allowed))
+    return tuple(chosen)
+
+
 def words(text: Column) -> Column:
     """The words of a text in lower case, without punctuation; none for null."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{LETTERS}]+"), lambda w: w != "")
@@ -46,16 +78,16 @@ def _hashes(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
-    """``rows`` (with ``hashes``) once for each place and mask that fits: ``at``, ``span``, ``seed``."""
+    """``rows`` (with ``hashes``) once for each place and mask that fits: ``at``, ``mask`` (its number), ``span``, ``seed``."""
 
     def seed(k: int, mask: str) -> Column:
         looked = [F.get("hashes", F.col("at") + o) for o, c in enumerate(mask) if c == "1"]
         fits = F.col("at") + len(mask) <= F.size("hashes")
-        return F.struct(F.lit(len(mask)).alias("span"), F.when(fits, F.xxhash64(F.lit(k), *looked)).alias("seed"))
+        return F.struct(F.lit(k).alias("mask"), F.lit(len(mask)).alias("span"), F.when(fits, F.xxhash64(F.lit(k), *looked)).alias("seed"))
 
     placed = rows.filter(F.size("hashes") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
     each = placed.select("*", F.explode(F.array(*[seed(k, m) for k, m in enumerate(masks)])).alias("s"))
-    return each.select(*rows.columns, "at", F.col("s.span").alias("span"), F.col("s.seed").alias("seed")).filter(F.col("seed").isNotNull())
+    return each.select(*rows.columns, "at", F.col("s.mask").alias("mask"), F.col("s.span").alias("span"), F.col("s.seed").alias("seed")).filter(F.col("seed").isNotNull())
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -68,18 +100,19 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def overlaps(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pairs (id, text_key, item_id) of ``df`` and ``benchmark`` (item_id, text), with the most words that agree in a window."""
     items = materialised(_items(benchmark))
-    shortest = min(len(m) for m in MASKS)
-    short = [r[0] for r in items.filter(F.size("item") < shortest).select(F.size("item")).distinct().collect()]  # fewer than `shortest`
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
-    # a mask of a short item's own length sees that item whole
+    lengths = F.least(F.size("item"), F.lit(WINDOW))
+    found_lengths = sorted(r[0] for r in items.select(lengths).distinct().collect())  # WINDOW at most
+    masks = list(dict.fromkeys(m for n in found_lengths for m in masks_for(n)))
+    # which masks look at items of a length
+    looks = F.array(*[F.array(*[F.lit(masks.index(m)) for m in masks_for(n)]) if n in found_lengths else F.array().cast("array<int>") for n in range(WINDOW + 1)])
     seeds = materialised(
-        _seeds(items.withColumnRenamed("item", "hashes"), masks)
-        .filter((F.size("hashes") >= shortest) & F.col("span").isin([len(m) for m in MASKS]) | (F.size("hashes") == F.col("span")))
+        _seeds(items.withColumnRenamed("item", "hashes"), masks or list(MASKS))
+        .filter(F.array_contains(F.get(looks, F.least(F.size("hashes"), F.lit(WINDOW))), F.col("mask")))
         .select("item_key", F.col("at").alias("item_at"), "span", "seed")
     )
     blocks = max(1, -(-seeds.count() // BLOCK_ROWS))
     docs = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"), _hashes(F.col(text_column)).alias("hashes"))
-    probes = _seeds(docs, masks)
+    probes = _seeds(docs, masks or list(MASKS))
 
     def hits(block: int) -> DataFrame:
         # whole items, of BLOCK_ROWS seeds together, about; an item has no more words than seeds and a mask's length

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import duckdb
 import pytest
@@ -13,7 +14,7 @@ def words(text):
 
 
 def brute(docs, items):
-    """Pairs with a window that agrees and a seed under which that window was found."""
+    """All pairs with a window that agrees, without masks."""
     first = {}
     for i, t in items:
         w = tuple(words(t))
@@ -23,31 +24,32 @@ def brute(docs, items):
     for doc, text in docs:
         x = words(text)
         for y, item in first.items():
-            masks = d.MASKS if len(y) >= 7 else ("1" * len(y),)
             window, best = min(len(y), d.WINDOW), 0
-            for m in masks:
-                for p in range(len(x) - len(m) + 1):
-                    for q in range(len(y) - len(m) + 1):
-                        if all(c == "0" or x[p + o] == y[q + o] for o, c in enumerate(m)):
-                            lag = p - q
-                            low, high = max(0, q + len(m) - window, -lag), min(len(y), q + window, len(x) - lag)
-                            for s in range(low, high - window + 1):
-                                best = max(best, sum(x[lag + k] == y[k] for k in range(s, s + window)))
+            for p in range(len(x) - window + 1):
+                for q in range(len(y) - window + 1):
+                    best = max(best, sum(x[p + k] == y[q + k] for k in range(window)))
             if best * 100 >= window * d.SHARE and best:
                 out[doc, item] = max(best, out.get((doc, item), 0))
     return out
 
 
+@pytest.mark.parametrize("length", range(1, d.WINDOW + 1))
+def test_masks_miss_nothing_that_the_share_allows(length):
+    allowed = length - -(-d.SHARE * length // 100)
+    for wrong in combinations(range(length), allowed):
+        assert any(all(at + o not in wrong for o, c in enumerate(m) if c == "1") for m in d.masks_for(length) for at in range(length - len(m) + 1)), wrong
+
+
 def corpus():
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 8, 13, 20])))) for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 5, 6, 7, 8, 10, 12, 13, 20])))) for i in range(22)]
     docs = []
     for i in range(60):
         text = [rng.choice(vocabulary) for _ in range(30)]
         if i % 2:
             leak = words(rng.choice(items)[1])
-            for _ in range(rng.randrange(4)):
+            for _ in range(rng.randrange(4) * len(leak) // 10):
                 leak[rng.randrange(len(leak))] = "ZZ"
             text[10:10] = leak
         docs.append((i, " ".join(text)))
@@ -110,3 +112,9 @@ def test_an_item_without_an_id_counts(spark):
     items = spark.createDataFrame([(None, "one two three"), (None, "four five six"), (9, "seven eight")], "item_id long, text string")
     assert sorted((r["id"], r["item_id"], r["matched"]) for r in d.overlaps(docs, items).collect()) == [(1, None, 3), (2, None, 3)]
     assert [r["doc_id"] for r in d.decontaminated(docs, items).collect()] == [3]
+
+
+def test_repeated_rows_and_items_are_single_pairs(spark):
+    docs = spark.createDataFrame([(1, "x one two three y")] * 3, "doc_id long, text string")
+    items = spark.createDataFrame([(9, "one two three"), (4, "One, two three"), (9, "one two three")], "item_id long, text string")
+    assert [(r["id"], r["item_id"], r["matched"]) for r in d.overlaps(docs, items).collect()] == [(1, 4, 3)]
