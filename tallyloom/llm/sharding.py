@@ -6,9 +6,10 @@ narrow aggregation, and then puts new probes only around the borders that are fu
 their goal than the tolerance.  When every border is near enough, the rows are exchanged
 once, by key range.
 
-The first digit is the hash of the text, so equal texts are neighbours; only in a group of
-equal texts that is heavier than the tolerance does a border fall on the second digit, the
-hash of the row's id.  Only probes and their counts come to the driver, a number that the
+The first digit is the hash of the text, so equal texts are neighbours, and probes lie
+between texts.  Only in a group of equal texts whose ends are both further from a border's
+goal than GROUP of a share do probes fall on the second digit, the hash of the row's id; so
+equal texts lie in one shard unless they are many.  Only probes and their counts come to the driver, a number that the
 parameters set.
 
 Defined results: null and empty texts weigh one byte and are rows like any other; a null id
@@ -31,11 +32,14 @@ from .common import byte_count, discard, materialised, table
 SHARDS = 16
 #: A shard's border may be off by this part of a shard's share; a border inside a shard by INNER.
 TOLERANCE, INNER = 0.001, 0.05
+#: A border doesn't part equal texts if the end of their group is off by no more than this part of a share.
+GROUP = 0.01
 #: Probes in the first round (at least), and for each unsettled border in later ones.
 FIRST, LATER = 4096, 64
 #: Ranges in a shard, so that no shard is sorted by one task: RANGES, or more of about RANGE_BYTES, up to MOST_RANGES.
 RANGES, RANGE_BYTES, MOST_RANGES = 16, 512 << 20, 1024
-ROUNDS = 24
+#: More rounds than 128 bits of key take.
+ROUNDS = 64
 
 _HALF, _DIGIT = 1 << 63, 1 << 64
 
@@ -90,8 +94,8 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> Splitters:
     goals = [(total * i / parts, share * (tolerance if i % inside == 0 else INNER)) for i in range(1, parts)]
     chosen: dict[int, int] = {}
     first = max(FIRST, 4 * parts)
-    probes = [(_DIGIT * _DIGIT * i) // first for i in range(1, first)]
-    known: dict[int, int] = {0: 0}
+    probes = [(_DIGIT * i // first) << 64 for i in range(1, first)]
+    parted: set[int] = set()
     rounds = 0
     while total and len(chosen) < len(goals) and rounds < ROUNDS:
         rounds += 1
@@ -114,12 +118,22 @@ def splitters(keys: DataFrame, shards: int, tolerance: float) -> Splitters:
                 continue
             start, end, low, high = spans[int(np.searchsorted(ends, goal, "left"))]
             near, border = min((goal - start, low), (end - goal, high + 1))
+            first_text, last_text = low >> 64, high >> 64
             if near <= slack or low == high:
-                chosen[i], known[border] = border, 0
+                chosen[i] = border
+            elif first_text != last_text:
+                wanted.update((first_text + (last_text - first_text) * j // LATER) << 64 for j in range(1, LATER + 1))
+                wanted.update((first_text << 64, (first_text + 1) << 64, (last_text + 1) << 64))
+            elif near <= GROUP * share and i not in parted:
+                # all rows of one text, as no probe has parted them
+                chosen[i] = border
             else:
+                parted.add(i)
                 wanted.update(low + (high - low) * j // LATER for j in range(1, LATER + 1))
                 wanted.update((low, high + 1))
         probes = sorted(wanted)
+    if total and len(chosen) < len(goals):
+        raise RuntimeError(f"borders are not settled after {ROUNDS} rounds")
     borders = [chosen.get(i, 0) for i in range(len(goals))]
     borders = np.maximum.accumulate(np.array(borders, dtype=object)).tolist() if borders else []
     counts = {r["at"]: r["n"] for r in keys.groupBy(_position(borders).alias("at")).agg(F.count("*").alias("n")).collect()} if total else {}

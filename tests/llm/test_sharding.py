@@ -44,6 +44,25 @@ def test_equal_texts_are_neighbours(spark):
         assert all(b[0] > a[0] or b[1] == a[1] + 1 for a, b in zip(places, places[1:]))
 
 
+def test_small_groups_of_equal_texts_lie_in_one_shard(spark):
+    rng = random.Random(4)
+    rows = [(i, f"text {i % 3000} " * (1 + i % 3000 % 5)) for i in range(9000)]
+    rng.shuffle(rows)
+    found = rows_of(spark, rows)
+    total = sum(len(t) + 1 for _, t in rows)
+    check(rows, found, 16, 0.011 * total / 16)
+    shards = defaultdict(set)
+    for r in found:
+        shards[r["text"]].add(r["shard"])
+    assert {len(s) for s in shards.values()} == {1}
+
+
+def test_a_very_long_text_counts_whole(spark):
+    rows = [(1, "x" * 2_000_000)] + [(i, "y" * 100) for i in range(2, 2000)]
+    found = rows_of(spark, rows, shards=2)
+    assert Counter((r["doc_id"], r["size"]) for r in found) == Counter((i, len(t) + 1) for i, t in rows)
+
+
 def test_a_text_that_is_a_third_of_all_is_split(spark):
     rows = [(i, "same" * 20) for i in range(1000)] + [(i, f"{i:080d}") for i in range(1000, 3000)]
     found = rows_of(spark, rows)
