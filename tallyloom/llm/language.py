@@ -6,8 +6,8 @@ language that contains it.  A text's n-grams are looked up, hits are counted per
 each language's count is corrected for the false positives that its own fill makes likely,
 and the language with the largest corrected count is the answer.
 
-The filter is fitted on about SAMPLE whole texts of each language, drawn by a hash of the
-text (all, where there are fewer).  An n-gram belongs to a language if at least MIN_TEXTS
+The filter is fitted on about SAMPLE whole texts of each language, drawn by a hash of the row
+(all, where there are fewer), so a text with many copies counts by its share.  An n-gram belongs to a language if at least MIN_TEXTS
 of its texts hold it, and at a rate of at least SHARE of the language that holds it most,
 so stray passages in another language don't teach it.  The filter has SLOTS slots, whatever
 the corpus; that is what reaches driver and executors.
@@ -130,14 +130,15 @@ def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame) -> LanguageFilter:
-    """The filter for the ``lang`` values of rows (text, lang), neither of them null."""
+    """The filter for the ``lang`` values of rows (text, lang, and doc_id if there is one), none of them null."""
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageFilter([], np.zeros((0, SLOTS), np.uint8))
     spark = labelled.sparkSession
     rates = F.broadcast(spark.createDataFrame([(k, min(1.0, SAMPLE / counts[k]), i // 8, 1 << (i % 8)) for i, k in enumerate(languages)], "lang string, rate double, word int, bit int"))
-    drawn = labelled.join(rates.select("lang", "rate"), "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
+    own = [c for c in ("doc_id", "text") if c in labelled.columns]
+    drawn = labelled.join(rates.select("lang", "rate"), "lang").filter(F.pmod(F.xxhash64(*own), F.lit(1 << 30)) < F.col("rate") * (1 << 30))
     drawn = drawn.select("text", "lang")
     sampled = drawn.groupBy("lang").agg(F.count("*").alias("sampled"))
     frequency = drawn.mapInArrow(_frequencies, "lang string, gram long, texts long").groupBy("gram", "lang").agg(F.sum("texts").alias("texts"))
@@ -191,7 +192,7 @@ def predicted(df: DataFrame, model: LanguageFilter, text_column: str = "text") -
 
 def labelled_rows(docs: DataFrame) -> DataFrame:
     """Texts and languages to learn from: those not held out."""
-    return docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    return docs.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
 
 def op5_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
