@@ -16,31 +16,42 @@ from tallyloom.llm.common import materialised, table, word_count
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those that are undetermined go."""
+    """Documents in which a language can be told; those that are undetermined go.
+
+    A document without a ``lang`` gets the one that was told; labels that are there stay.
+    Null texts and texts without a letter are undetermined; other columns travel along.
+    """
     model = language.fit(language.labelled_rows(docs))
-    told = language.predicted(docs, model)
-    return told.filter(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+    told = language.predicted(docs, model).filter(F.col("lang_pred") != language.UNDETERMINED)
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles agree in 0.8 or more, the one with the smallest id."""
+    """Of each group of documents whose five-word shingles agree in 0.8 or more, the one with the smallest id.
+
+    Texts without words are like nothing and stay; ids that are null or repeat name no group.
+    """
     return jaccard.one_of_each(docs, jaccard.Likeness(width=5, percent=80))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold nothing of the benchmark."""
+    """Documents that hold nothing of the benchmark; null and empty texts hold nothing."""
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once, or more often."""
+    """Documents as often as the mix takes them: not at all, once, or more often.
+
+    A null source is a source like any other; texts without words have nothing to give to the
+    mix and are taken as often as their hash says.
+    """
     mix = mixing.mixed(docs, mixing.weighted_targets, F.array("source"), word_count(F.col("text")), mixing.document_draw())
     taken = mix.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
     return taken.select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ``size``, ``shard`` and ``slot``."""
+    """Documents with ``size``, ``shard`` and ``slot``; null texts weigh one byte."""
     return sharding.histogram_sort(docs)
 
 
