@@ -1,7 +1,11 @@
 import shutil
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from tallyloom.llm.common import materialised
+from tallyloom.llm.jaccard import Likeness
+from tests.llm.test_jaccard import brute
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -42,3 +46,23 @@ def test_empty_documents(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/documents.parquet").limit(0).write.parquet(str(folder / "documents.parquet"))
     shutil.copy(f"{FOLDER}/benchmark.parquet", folder / "benchmark.parquet")
     assert pipeline.run(spark, str(folder)).count() == 0
+
+
+def test_language_fills_missing_labels_and_keeps_others(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    known = {r["doc_id"]: r["lang"] for r in docs.filter("lang IS NOT NULL AND length(text) > 400").limit(40).collect()}
+    bare = docs.withColumn("lang", F.when(F.col("doc_id").isin(list(known)), None).otherwise(F.col("lang"))).withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit(1))
+    told = pipeline.identify_language(spark, bare, FOLDER)
+    assert told.columns == bare.columns
+    got = {r["doc_id"]: r["lang"] for r in told.collect()}
+    assert sum(got.get(i) == lang for i, lang in known.items()) >= 0.9 * len(known)
+    assert all(got[r["doc_id"]] == r["lang"] for r in docs.filter("lang IS NOT NULL").collect() if r["doc_id"] in got and r["doc_id"] not in known)
+
+
+def test_near_copies_and_leaks_are_those_of_brute_force(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    groups = {i: g for i, _, g in brute(rows, Likeness(5, 80))}
+    wanted = {i for i, t in rows if groups[i] == i or not (t or "").split()}
+    kept = {r["doc_id"] for r in pipeline.drop_near_copies(spark, materialised(docs), FOLDER).collect()}
+    assert kept == wanted
