@@ -7,8 +7,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import hamming_hex
-
 BITS = 64
 
 
@@ -44,26 +42,33 @@ def near_pairs(df: DataFrame, distance: int, within: list[str] | None = None) ->
     return joined.withColumn("hamming", far).filter(F.col("hamming") <= distance).select(*keys, F.col("id").alias("id_a"), "id_b", "hamming").distinct()
 
 
-def earliest_duplicate(df: DataFrame, distance: int, order: str = "ord") -> DataFrame:
-    """For each row (id, hash, ord) the earliest row before it within ``distance`` bits.
+def earliest_duplicate(df: DataFrame, distance: int, order: str = "ord", within: list[str] | None = None) -> DataFrame:
+    """For each row (id, hash, ord) the earliest row before it within ``distance`` bits, and with equal ``within``.
 
     Of equal hashes the earliest stands for all when others are compared with them.
     """
-    first = df.groupBy("hash").agg(F.min_by("id", order).alias("id"), F.min(order).alias(order))
+    by = within or []
+    first = df.groupBy("hash", *by).agg(F.min_by("id", order).alias("prior_id"), F.min(order).alias("prior_ord"))
     keys = F.explode(bands(F.col("hash"), distance)).alias("b")
-    prior = first.select(F.col("id").alias("prior_id"), F.col("hash").alias("prior_hash"), F.col(order).alias("prior_ord"), keys)
-    classes = df.select("hash").distinct().select("hash", keys)
-    near = (F.bit_count(F.col("hash").bitwiseXOR(F.col("prior_hash"))) <= distance) & (classes["b"] == prior["b"])
+    prior = first.select(*by, "prior_id", F.col("hash").alias("prior_hash"), "prior_ord", keys)
+    classes = df.select("hash", *by).distinct().select("hash", *by, keys)
     # which classes are near, and since when, is found once for each hash
-    known = classes.join(prior, near).groupBy("hash").agg(F.min_by("prior_id", "prior_ord").alias("prior_id"), F.min("prior_ord").alias("prior_ord"))
-    return df.join(known, "hash").filter(F.col("prior_ord") < F.col(order)).select("id", "prior_id")
+    met = classes.join(prior, [*by, "b"]).filter(F.bit_count(F.col("hash").bitwiseXOR(F.col("prior_hash"))) <= distance)
+    known = met.groupBy("hash", *by).agg(F.min_by("prior_id", "prior_ord").alias("prior_id"), F.min("prior_ord").alias("prior_ord"))
+    return df.join(known, ["hash", *by]).filter(F.col("prior_ord") < F.col(order)).select(*by, "id", "prior_id")
+
 
+def frame_distance(frames: DataFrame, distance: int) -> DataFrame:
+    """(id, prior_id, n, median, least, most) over frames (id, position, hash: long) of clips at equal positions.
 
-def frame_distance(frames: DataFrame, priors: DataFrame) -> DataFrame:
-    """(id, prior_id, n, median, least, most) over frames (id, position, hash) at equal planned positions."""
-    joined = frames.join(priors.select(F.col("id").alias("prior_id"), "position", F.col("hash").alias("prior_hash")), "position")
-    far = joined.withColumn("far", hamming_hex("hash", "prior_hash")).filter("far IS NOT NULL")
-    return far.groupBy("id", "prior_id").agg(F.count("*").alias("n"), F.median("far").alias("median"), F.min("far").alias("least"), F.max("far").alias("most"))
+    A clip is held against the earliest clips that are within ``distance`` bits of it at a
+    position: bands find them, so clips without a near frame never meet.
+    """
+    near = earliest_duplicate(frames.withColumn("ord", F.col("id")), distance, within=["position"]).select("id", "prior_id").distinct()
+    own = near.join(frames, "id").select("id", "prior_id", "position", "hash")
+    priors = frames.select(F.col("id").alias("prior_id"), "position", F.col("hash").alias("prior_hash"))
+    far = own.join(priors, ["prior_id", "position"]).select("id", "prior_id", F.bit_count(F.col("hash").bitwiseXOR(F.col("prior_hash"))).alias("far"))
+    return far.filter("far IS NOT NULL").groupBy("id", "prior_id").agg(F.count("*").alias("n"), F.median("far").alias("median"), F.min("far").alias("least"), F.max("far").alias("most"))
 
 
 def exact_groups(df: DataFrame, key: Column, least: int = 2) -> DataFrame:

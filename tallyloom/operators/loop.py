@@ -87,9 +87,20 @@ def covered_cells(cells: DataFrame, assets: DataFrame) -> DataFrame:
     A cover is counted, not compared pair by pair: facets and assets meet in an equi-join.
     A gap without known facets is covered by nothing here.
     """
-    wanted = cells.select("gap_id", F.explode("facets").alias("facet", "value"), F.size("facets").alias("need"))
+    named = cells.select("gap_id", _cell().alias("cell"), "facets")
+    return named.select("gap_id", "cell").join(_covers(named, assets), "cell").select("gap_id", "id")
+
+
+def _cell() -> Column:
+    """One text for equal facets."""
+    return F.to_json(F.array_sort(F.map_entries("facets")))
+
+
+def _covers(named: DataFrame, assets: DataFrame) -> DataFrame:
+    """(cell, id) of gaps (cell, facets): a cell is looked for once, however many gaps have its facets."""
+    wanted = named.dropDuplicates(["cell"]).select("cell", F.explode("facets").alias("facet", "value"), F.size("facets").alias("need"))
     met = wanted.join(assets.select("id", "facet", "value").distinct(), ["facet", "value"])
-    return met.groupBy("gap_id", "id", "need").agg(F.count("*").alias("met")).filter(F.col("met") == F.col("need")).select("gap_id", "id")
+    return met.groupBy("cell", "id", "need").agg(F.count("*").alias("met")).filter(F.col("met") == F.col("need")).select("cell", "id")
 
 
 def closures(gaps: DataFrame, items: DataFrame, confirmed: DataFrame, assets: DataFrame) -> DataFrame:
@@ -101,6 +112,7 @@ def closures(gaps: DataFrame, items: DataFrame, confirmed: DataFrame, assets: Da
     by_item = items.join(confirmed, "item_id").groupBy(F.col("origin_gap_id").alias("gap_id")).agg(F.count_distinct("id").alias("n"))
     human = gaps.join(by_item, "gap_id").select("gap_id", F.lit("confirmed").alias("path"), "n")
     rest = gaps.join(human.select("gap_id"), "gap_id", "left_anti")
-    counts = covered_cells(rest, assets).groupBy("gap_id").agg(F.count("*").alias("n"))
-    matched = rest.join(counts, "gap_id").filter(F.col("n") >= F.coalesce("target", F.lit(1))).select("gap_id", F.lit("matched").alias("path"), "n")
+    named = rest.withColumn("cell", _cell())
+    counts = _covers(named, assets).groupBy("cell").agg(F.count("*").alias("n"))
+    matched = named.join(counts, "cell").filter(F.col("n") >= F.coalesce("target", F.lit(1))).select("gap_id", F.lit("matched").alias("path"), "n")
     return human.unionByName(matched)

@@ -183,18 +183,18 @@ def running_offsets(t: Tables) -> DataFrame:
 @plans.add(
     "q66_token_chain",
     """
-WITH t AS (SELECT sha256('invite-' || o_orderkey) AS hash, o_orderkey, o_orderstatus = 'P' AS revoked FROM orders WHERE o_orderkey % 2 = 0),
-asked AS (SELECT event_id, sha256('invite-' || (event_id % 4000)) AS hash FROM events)
+WITH t AS (SELECT sha256('invite-' || o_orderkey) AS hash, o_orderkey, o_orderstatus = 'P' AS revoked FROM orders),
+asked AS (SELECT event_id, sha256('invite-' || (event_id % 20000)) AS hash FROM events)
 SELECT a.event_id, CASE WHEN t.hash IS NULL THEN 'unknown' WHEN t.revoked OR c.c_custkey IS NULL THEN 'refused' ELSE 'ok' END AS outcome, CASE WHEN NOT t.revoked THEN c.c_custkey END AS creator_id
 FROM asked a LEFT JOIN t USING (hash) LEFT JOIN orders o ON o.o_orderkey = t.o_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey
 """,
 )
 def token_chain(t: Tables) -> DataFrame:
     name = lambda c: F.sha2(F.concat(F.lit("invite-"), c.cast("string")), 256)
-    tokens = t.orders.filter("o_orderkey % 2 = 0").select(name(F.col("o_orderkey")).alias("token_hash"), F.col("o_orderkey").alias("collab_id"), F.when(F.col("o_orderstatus") == "P", 1).alias("revoked_at"))
+    tokens = t.orders.select(name(F.col("o_orderkey")).alias("token_hash"), F.col("o_orderkey").alias("collab_id"), F.when(F.col("o_orderstatus") == "P", 1).alias("revoked_at"))
     collabs = t.orders.select(F.col("o_orderkey").alias("collab_id"), F.col("o_custkey").alias("creator_id"))
     creators = t.customer.select(F.col("c_custkey").alias("creator_id"))
-    asked = t.events.select("event_id", name(F.col("event_id") % 4000).alias("token_hash"))
+    asked = t.events.select("event_id", name(F.col("event_id") % 20000).alias("token_hash"))
     return lifecycle.opened(asked, tokens, collabs, creators).select("event_id", "outcome", "creator_id")
 
 
@@ -308,13 +308,13 @@ def clip_sheet(t: Tables) -> DataFrame:
     "q75_stale_decisions",
     """
 SELECT CASE WHEN o_orderstatus = c.rev THEN 'taken' ELSE 'stale' END AS outcome, count(*) AS n
-FROM orders JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS rev FROM orders) c ON k = o_orderkey WHERE o_orderkey % 3 = 0 GROUP BY 1
+FROM orders JOIN (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS rev FROM orders) c ON k = o_orderkey GROUP BY 1
 """,
 )
 def stale_decisions(t: Tables) -> DataFrame:
     seen = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("rev"))
     current = seen.withColumn("rev", F.when(F.col("id") % 5 == 0, "X").otherwise(F.col("rev")))
-    decisions = seen.filter("id % 3 = 0").select("id", F.lit("approve").alias("decision"))
+    decisions = seen.select("id", F.lit("approve").alias("decision"))
     return boards.decided(seen, current, decisions).groupBy("outcome").agg(F.count("*").alias("n"))
 
 

@@ -140,9 +140,9 @@ def tiered_topk(t: Tables) -> DataFrame:
 @plans.add(
     "q13_close_detection",
     """
-WITH gaps AS (SELECT p_partkey AS gap_id, p_brand, CAST(p_size AS VARCHAR) AS size, 1 + p_partkey % 3 AS target FROM part WHERE p_partkey % 19 = 0),
+WITH gaps AS (SELECT p_partkey AS gap_id, p_brand, CAST(p_size AS VARCHAR) AS size, 1 + p_partkey % 3 AS target FROM part),
 human AS (SELECT s_suppkey * 19 AS gap_id, count(DISTINCT l_orderkey * 10 + l_linenumber) AS n FROM supplier JOIN lineitem ON l_suppkey = s_suppkey
-          WHERE l_returnflag = 'A' AND s_suppkey % 2 = 0 GROUP BY 1),
+          WHERE l_returnflag = 'A' GROUP BY 1),
 closed AS (SELECT g.gap_id, 'confirmed' AS path, h.n FROM gaps g JOIN human h USING (gap_id)),
 model AS (SELECT g.gap_id, g.target, count(*) AS n FROM gaps g JOIN part p ON p.p_brand = g.p_brand AND CAST(p.p_size AS VARCHAR) = g.size
           WHERE g.gap_id NOT IN (SELECT gap_id FROM closed) GROUP BY 1, 2)
@@ -151,8 +151,8 @@ SELECT * FROM closed UNION ALL SELECT gap_id, 'matched', n FROM model WHERE n >=
 )
 def close_detection(t: Tables) -> DataFrame:
     size = F.col("p_size").cast("string")
-    gaps = t.part.filter("p_partkey % 19 = 0").select(F.col("p_partkey").alias("gap_id"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), size).alias("facets"), (1 + F.col("p_partkey") % 3).alias("target"))
-    items = t.supplier.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("item_id"), (F.col("s_suppkey") * 19).alias("origin_gap_id"))
+    gaps = t.part.select(F.col("p_partkey").alias("gap_id"), F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), size).alias("facets"), (1 + F.col("p_partkey") % 3).alias("target"))
+    items = t.supplier.select(F.col("s_suppkey").alias("item_id"), (F.col("s_suppkey") * 19).alias("origin_gap_id"))
     confirmed = t.lineitem.filter("l_returnflag = 'A'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("item_id"))
     long = F.explode(F.array(F.struct(F.lit("brand").alias("facet"), F.col("p_brand").alias("value")), F.struct(F.lit("size").alias("facet"), size.alias("value"))))
     facets = t.part.select(F.col("p_partkey").alias("id"), long.alias("x")).select("id", "x.facet", "x.value")

@@ -56,19 +56,18 @@ def bit(place: Column) -> Column:
 
 
 def frames(t: Tables) -> DataFrame:
-    """Hashes of takes: every third vector is a frame, and the next two are takes of it with a bit or two changed."""
-    first = (F.col("vec_id") - F.col("vec_id") % 3).alias("first")
-    hashes = t.embeddings.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("first"), sign_hash("embedding").alias("own"))
-    one, two = bit(F.col("vec_id") % 64), bit((F.col("vec_id") + 7) % 64)
-    changed = F.when(F.col("vec_id") % 3 == 0, F.lit(0).cast("long")).when(F.col("vec_id") % 3 == 1, one).otherwise(one.bitwiseXOR(two))
-    joined = t.embeddings.select("vec_id", first).join(hashes, "first")
-    return joined.select(F.col("vec_id").alias("id"), F.col("own").bitwiseXOR(changed).alias("hash"), F.col("vec_id").alias("ord"))
+    """Hashes of three takes of every vector: its own, and two with a bit or two changed."""
+    own = sign_hash("embedding")
+    takes = t.embeddings.select("vec_id", own.alias("own"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("take")).withColumn("id", 3 * F.col("vec_id") + F.col("take"))
+    one, two = bit(F.col("id") % 64), bit((F.col("id") + 7) % 64)
+    changed = F.when(F.col("take") == 0, F.lit(0).cast("long")).when(F.col("take") == 1, one).otherwise(one.bitwiseXOR(two))
+    return takes.select("id", F.col("own").bitwiseXOR(changed).alias("hash"), F.col("id").alias("ord"), "vec_id", "take")
 
 
 _ZEROS = f"'{'0' * 64}'::BIT"
-_FRAMES_SQL = f"""h AS (SELECT vec_id AS first, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS own FROM embeddings WHERE vec_id % 3 = 0),
-f AS (SELECT vec_id AS id, CASE vec_id % 3 WHEN 0 THEN own WHEN 1 THEN xor(own, set_bit({_ZEROS}, CAST(vec_id % 64 AS INTEGER), 1))
-  ELSE xor(own, set_bit(set_bit({_ZEROS}, CAST(vec_id % 64 AS INTEGER), 1), CAST((vec_id + 7) % 64 AS INTEGER), 1)) END AS hash FROM embeddings JOIN h ON first = vec_id - vec_id % 3)"""
+_FRAMES_SQL = f"""h AS (SELECT 3 * vec_id + take AS id, vec_id, take, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '')::BIT AS own FROM embeddings, (VALUES (0), (1), (2)) k(take)),
+f AS (SELECT id, vec_id, take, CASE take WHEN 0 THEN own WHEN 1 THEN xor(own, set_bit({_ZEROS}, CAST(id % 64 AS INTEGER), 1))
+  ELSE xor(own, set_bit(set_bit({_ZEROS}, CAST(id % 64 AS INTEGER), 1), CAST((id + 7) % 64 AS INTEGER), 1)) END AS hash FROM h)"""
 
 
 @plans.add(
@@ -278,14 +277,17 @@ def durations(t: Tables) -> DataFrame:
     "q58_frame_distance",
     f"""
 WITH {_FRAMES_SQL},
-n AS (SELECT id // 4 AS clip, id % 4 AS position, hash FROM f),
-d AS (SELECT a.clip AS id, b.clip AS prior_id, bit_count(xor(a.hash, b.hash)) AS far FROM n a JOIN n b ON a.position = b.position AND b.clip < 3 AND a.clip >= 3)
+n AS (SELECT 3 * (vec_id // 4) + take AS clip, vec_id % 4 AS position, hash FROM f),
+c AS (SELECT DISTINCT id, prior_id FROM (
+  SELECT a.clip AS id, a.position, min(b.clip) AS prior_id FROM n a JOIN n b ON a.position = b.position AND b.clip < a.clip WHERE bit_count(xor(a.hash, b.hash)) <= {DISTANCE} GROUP BY 1, 2)),
+d AS (SELECT c.id, c.prior_id, bit_count(xor(a.hash, b.hash)) AS far FROM c JOIN n a ON a.clip = c.id JOIN n b ON b.clip = c.prior_id AND a.position = b.position)
 SELECT id, prior_id, count(*) AS n, median(far) AS median, CAST(min(far) AS INTEGER) AS least, CAST(max(far) AS INTEGER) AS most FROM d GROUP BY 1, 2
 """,
 )
 def frame_distance(t: Tables) -> DataFrame:
-    hashed = frames(t).select(F.floor(F.col("id") / 4).alias("id"), (F.col("id") % 4).alias("position"), F.lpad(F.lower(F.hex("hash")), 16, "0").alias("hash"))
-    return duplicates.frame_distance(hashed.filter("id >= 3"), hashed.filter("id < 3"))
+    """Takes of four vectors each are clips; each is held against the earliest clips that are near it at a position."""
+    clips = frames(t).select((3 * F.floor(F.col("vec_id") / 4) + F.col("take")).alias("id"), (F.col("vec_id") % 4).alias("position"), "hash")
+    return duplicates.frame_distance(clips, DISTANCE)
 
 
 @plans.add(
