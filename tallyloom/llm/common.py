@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch while something is materialised.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 _ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _written: list[tuple[SparkSession, str]] = []

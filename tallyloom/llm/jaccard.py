@@ -56,7 +56,7 @@ CAP = 64
 #: Sets of a list whose pairs are counted; the pairs of a longer one aren't.
 LISTED = 32
 #: Documents in a chunk, and its shingles (about, but of one document); shingles that are packed at once; and those of a bucket, about.
-CHUNK, CHUNK_SHINGLES, PACKED, BUCKET = 4096, 1 << 21, 1 << 19, 1 << 20
+CHUNK, CHUNK_SHINGLES, PACKED, BUCKET = 4096, 1 << 20, 1 << 18, 1 << 19
 #: What a packed posting costs beside a plain row.
 POSTING = 0.4
 
@@ -402,7 +402,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     total = np.zeros((len(left), len(right)), np.float32)
-    width = max(256, min(8192, (1 << 23) // (len(left) + len(right))))
+    width = max(256, min(8192, (1 << 22) // (len(left) + len(right))))
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, [at, at + width])
         dense = np.zeros((len(sizes), width), np.float32)
