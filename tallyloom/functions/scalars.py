@@ -71,10 +71,28 @@ def duration_bounds(text: Column | str) -> Column:
     return F.struct(seconds("over|longer than|at least").alias("min_s"), seconds("under|less than|shorter than").alias("max_s"))
 
 
+#: What tries to give orders to a reader, in the order in which it is looked for.
+INJECTIONS = (
+    r"ignore (all )?(previous|prior|above) instructions?",
+    r"disregard (the )?(previous|prior|above)",
+    r"you (are|must) now",
+    r"system prompt",
+    r"\bscore\s*[:=]?\s*(100|99|98|97|96|95)\b",
+    r"(mark|set|rate)\s+(this|the)\s+creator\s+as",
+    r"perfect fit",
+)
+
+
 def injected(text: Column | str) -> Column:
-    """The sentence that tries to give orders to a reader, at most 300 characters; null if none."""
-    order = r"(?i)[^.!?\n]*\b(?:ignore (?:all |any )?(?:previous|prior|above)|disregard (?:the|all|any)|system prompt|you are now|act as)\b[^.!?\n]*[.!?]?"
-    return F.nullif(F.substring(F.trim(F.regexp_extract(c(text), order, 0)), 1, 300), F.lit(""))
+    """The sentence, full stop to full stop, of the first of INJECTIONS that a text has; 300 characters at most, null if none."""
+
+    def sentence(pattern: str) -> Column:
+        # sentences are tried from their start only, so a long text is read once
+        return F.nullif(F.regexp_extract(c(text), rf"(?i)(?:^|(?<=\.))[^.]*?(?:{pattern})[^.]*\.?", 0), F.lit(""))
+
+    first = F.coalesce(*[sentence(p) for p in INJECTIONS])
+    clean = F.regexp_replace(first, r"^\s+|\s+$", "")
+    return F.when(c(text).rlike("(?i)" + "|".join(INJECTIONS)), F.substring(clean, 1, 300))
 
 
 def visit_window(day: Column | str, margin_hours: float) -> Column:
@@ -97,11 +115,17 @@ def quicktime_seconds(x: Column | str) -> Column:
 
 
 def iso8601(text: Column | str) -> Column:
-    """(at_ms, has_offset) of a date and time, with or without an offset; null if it isn't one."""
-    shape = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:\.(\d{1,3})\d*)?\s*(Z|[+-]\d{2}:?\d{2})?$"
+    """(at_ms, has_offset) of a date, alone or with a time and an offset; null if it isn't one.
+
+    Seconds may be left out, and of a date its day, or day and month; without an offset it is UTC.
+    """
+    shape = r"^\s*(\d{4})(?:-(\d{2})(?:-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?(?:\.(\d{1,3})\d*)?\s*(Z|[+-]\d{2}:?\d{2})?)?)?)?\s*$"
     part = lambda i: F.regexp_extract(c(text), shape, i)
-    base = F.unix_millis(F.try_to_timestamp(F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), part(4), F.lit(":"), part(5), F.lit(":"), part(6)), F.lit("yyyy-MM-dd HH:mm:ss")))
-    milli = F.coalesce(F.nullif(F.rpad(part(7), 3, "0"), F.lit("000")).cast("int"), F.lit(0))
+    given = lambda i, least: F.when(part(i) == "", least).otherwise(part(i))
+    day = F.concat_ws("-", part(1), given(2, "01"), given(3, "01"))
+    time = F.concat_ws(":", given(4, "00"), given(5, "00"), given(6, "00"))
+    base = F.unix_millis(F.try_to_timestamp(F.concat_ws(" ", day, time), F.lit("yyyy-MM-dd HH:mm:ss")))
+    milli = F.rpad(part(7), 3, "0").cast("int")
     zone = F.replace(part(8), F.lit(":"), F.lit(""))
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     minutes = F.when(zone.isin("", "Z"), 0).otherwise(sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 4, 2).cast("int")))
@@ -110,23 +134,28 @@ def iso8601(text: Column | str) -> Column:
 
 
 def iso6709(text: Column | str) -> Column:
-    """(lat, lng) in degrees of a sexagesimal position; null off the globe and at 0, 0."""
-    shape = r"^([+-])(\d{2})(\d{2})?(\d{2})?(\.\d+)?([+-])(\d{3})(\d{2})?(\d{2})?(\.\d+)?(?:[+-][\d.]+)?(?:CRS.*)?/?$"
+    """(lat, lng, alt_m) of a position in degrees, or degrees with minutes, or with seconds too.
+
+    Null off the globe and at 0, 0; degrees to six places, metres to three, null without a height.
+    """
+    number = r"([+-]\d+(?:\.\d+)?)"
+    shape = rf"^\s*{number}{number}{number}?/?\s*$"
     part = lambda i: F.regexp_extract(c(text), shape, i)
 
-    def degrees(sign: int) -> Column:
-        d, m, s, f = part(sign + 1), part(sign + 2), part(sign + 3), part(sign + 4)
-        fraction = F.when(f == "", 0.0).otherwise(F.concat(F.lit("0"), f).cast("double"))
+    def degrees(token: Column, digits: int) -> Column:
+        size = F.length(F.substring_index(token, ".", 1)) - 1
+        value = F.abs(token.cast("double"))
         whole = (
-            F.when(s != "", d.cast("double") + m.cast("double") / 60 + (s.cast("double") + fraction) / 3600)
-            .when(m != "", d.cast("double") + (m.cast("double") + fraction) / 60)
-            .otherwise(d.cast("double") + fraction)
+            F.when(size <= digits, value)
+            .when(size == digits + 2, F.floor(value / 100) + value % 100 / 60)
+            .when(size == digits + 4, F.floor(value / 10000) + F.floor(value % 10000 / 100) / 60 + value % 100 / 3600)
         )
-        return F.when(part(sign) == "-", -whole).otherwise(whole)
+        return F.when(token.startswith("-"), -whole).otherwise(whole)
 
-    lat, lng = degrees(1), degrees(6)
+    lat, lng = degrees(part(1), 2), degrees(part(2), 3)
     plausible = (F.abs(lat) <= 90) & (F.abs(lng) <= 180) & ~((lat == 0) & (lng == 0))
-    return F.when(c(text).rlike(shape) & plausible, F.struct(lat.alias("lat"), lng.alias("lng")))
+    height = F.round(F.nullif(part(3), F.lit("")).cast("double"), 3)
+    return F.when(c(text).rlike(shape) & plausible, F.struct(F.round(lat, 6).alias("lat"), F.round(lng, 6).alias("lng"), height.alias("alt_m")))
 
 
 def haversine_m(lat1: Column | str, lng1: Column | str, lat2: Column | str, lng2: Column | str) -> Column:

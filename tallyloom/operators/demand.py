@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import ascii_words
+from tallyloom.functions.scalars import ascii_words, rate
 
 #: What a signal weighs; browsing counts by its logarithm.
 WEIGHTS = {"zero_result": 3.0, "refined": 2.5, "reached_past": 1.0, "requested": 4.0, "dead_end": 1.5}
@@ -27,6 +27,40 @@ def scored(log: DataFrame, cell: list[str]) -> DataFrame:
     return sums.filter((F.col("requests") >= 1) | ((F.col("signals") >= 2) & (F.col("sessions") >= 2))).select(*cell, "demand")
 
 
+#: Days after which supply is stale, and the least that it counts by then; clips that cover a cell in full.
+FRESH_DAYS, STALEST, FULL = 180, 0.3, 3
+
+
+def supply(assets: DataFrame, cell: list[str], today: Column, hero_bonus: float = 0.5) -> DataFrame:
+    """What each cell has to offer, from assets (cell columns, review_status, is_published, deleted_at, quality, is_hero, used_count, approved_on).
+
+    ``usable`` counts what is approved, published and not deleted, ``quality_supply`` weighs it;
+    a high ``rejection_rate`` speaks for another brief, a high ``concentration`` for one clip that is always taken.
+    """
+    usable = (F.col("review_status") == "approved") & F.coalesce("is_published", F.lit(False)) & F.col("deleted_at").isNull()
+    used = F.when(usable, F.coalesce("used_count", F.lit(0)))
+    weight = F.least(F.lit(1.0), F.coalesce("quality", F.lit(0.0))) + F.when(F.col("is_hero"), hero_bonus).otherwise(0.0)
+    sums = assets.groupBy(*cell).agg(
+        F.count_if(usable).alias("usable"),
+        F.coalesce(F.sum(F.when(usable, weight)), F.lit(0.0)).alias("quality_supply"),
+        F.datediff(today, F.max(F.when(usable, F.col("approved_on")))).alias("days_since_newest"),
+        rate(F.count_if(F.col("review_status") == "rejected"), F.count("*")).alias("rejection_rate"),
+        rate(F.max(used), F.sum(used)).alias("concentration"),
+        (F.count_if(used > 0) + 0.5 * F.count_if(used == 0)).alias("effective_count"),
+    )
+    fresh = F.greatest(F.lit(STALEST), F.least(F.lit(1.0), 1 - F.col("days_since_newest") / FRESH_DAYS))
+    covered = F.least(F.lit(1.0), F.col("effective_count") / FULL)
+    return sums.withColumn("supply_effective", F.coalesce(F.col("quality_supply") * fresh * covered, F.lit(0.0)))
+
+
+def deficits(demands: DataFrame, supplies: DataFrame, cell: list[str]) -> DataFrame:
+    """``deficit`` and ``severity`` of each cell with ``demand``; a cell without supply has all of it to make up for."""
+    joined = demands.join(supplies, cell, "left").withColumn("deficit", F.col("demand") / (1 + F.coalesce("supply_effective", F.lit(0.0))))
+    d = F.col("deficit")
+    severity = F.when((d >= 8) & (F.col("demand") >= 5), "critical").when(d >= 4, "high").when(d >= 2, "medium").otherwise("low")
+    return joined.withColumn("severity", severity)
+
+
 def top_per_branch(cells: DataFrame, branch: str, tie: str, k: int) -> DataFrame:
     """The ``k`` cells of each branch with the most demand, and how many were left out."""
     every = Window.partitionBy(branch)

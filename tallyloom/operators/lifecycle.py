@@ -47,6 +47,19 @@ def codec_family(fourcc: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in CODECS.items() for x in pair]), F.lower(fourcc)), F.lit("unknown"))
 
 
+def graded_tier(cores: Column, memory_gb: Column, coarse_pointer: Column, has_worker: Column) -> Column:
+    """The tier of a device by the mean of three grades from 0 to 2; what is unknown has grade 1, and without a worker none is ample."""
+
+    def size(x: Column) -> Column:
+        known = x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
+        return F.when(~known, 1).when(x >= 8, 2).when(x >= 4, 1).otherwise(0)
+
+    pointer = F.when(coarse_pointer.isNull(), 1).when(coarse_pointer, 0).otherwise(2)
+    mean = (size(cores) + size(memory_gb) + pointer) / 3
+    tier = F.when(mean >= 1.6, TIERS[0]).when(mean >= 0.9, TIERS[1]).otherwise(TIERS[2])
+    return F.when((tier == TIERS[0]) & ~F.coalesce(has_worker, F.lit(False)), TIERS[1]).otherwise(tier)
+
+
 def ingest_tier(tier: Column, files: Column) -> Column:
     """A large batch goes one tier down; a tier never goes up."""
     place = F.array_position(F.array(*[F.lit(t) for t in TIERS]), tier)

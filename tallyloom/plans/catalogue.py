@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import changes, finding, insight, people, quality
+from . import changes, facts, finding, insight, people, quality
 from .registry import Query
 
-MODULES = (people, finding, changes, quality, insight)
+MODULES = (people, finding, changes, quality, insight, facts)
 
 
 def queries() -> dict[str, Query]:
