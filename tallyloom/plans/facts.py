@@ -98,7 +98,7 @@ def times_told(t: Tables) -> DataFrame:
     """
 WITH p AS (SELECT c_custkey, c_custkey % 60 AS m, c_custkey % 90 AS d, c_custkey % 180 AS e FROM customer)
 SELECT c_custkey, round(CASE c_custkey % 3 WHEN 0 THEN d + 0.25 WHEN 1 THEN d + m / 60 ELSE d + m / 60 + 30.5 / 3600 END, 6) AS lat, -round(CASE c_custkey % 3 WHEN 0 THEN e + 0.5 WHEN 1 THEN e + m / 60 ELSE e + m / 60 + 15 / 3600 END, 6) AS lng,
-  CASE WHEN c_custkey % 2 = 0 THEN d + 0.5 END AS alt_m FROM p WHERE c_custkey % 3 <> 1 OR d + m > 0 OR e > 0
+  CASE WHEN c_custkey % 2 = 0 THEN CAST(d + 0.5 AS DOUBLE) END AS alt_m FROM p WHERE c_custkey % 3 <> 1 OR d + m > 0 OR e > 0
 UNION ALL SELECT c_custkey, NULL, NULL, NULL FROM p WHERE NOT (c_custkey % 3 <> 1 OR d + m > 0 OR e > 0)
 """,
 )
