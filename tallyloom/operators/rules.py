@@ -142,3 +142,50 @@ def verdict(rolled: Column) -> Column:
         .when((rolled["pass"] == 0) & (rolled["unknown"] > 0), "unknown")
         .otherwise("ok")
     )
+
+
+#: What a rule says it rests on, by the atom of a position, and sources of a time under the names that are stored.
+GPS_EVIDENCE = {"udta_loci_3gpp": "udta_loci", "udta_c_xyz_iso6709": "udta_c_xyz", "apple_quicktime_iso6709": "apple_quicktime"}
+STORED_SOURCES = {"udta_day": "udta", "mvhd": "mvhd", "apple_quicktime": "apple_quicktime", "creator_stated": "creator_stated"}
+#: Fields of a rule that are stored.
+STORED_FIELDS = ("status", "evidence", "reason", "blocking", "value")
+
+
+def _named(value: Column, names: dict[str, str], otherwise: str) -> Column:
+    return F.coalesce(*[F.when(value == k, v) for k, v in names.items()], F.lit(otherwise))
+
+
+def resolution_evidence(is_photo: Column, coded: Column, presentation: Column) -> Column:
+    """What a resolution rests on; ``coded`` and ``presentation`` are null where a clip doesn't tell them."""
+    told = F.when(coded.isNotNull() & presentation.isNotNull(), "tkhd+stsd").when(coded.isNotNull(), "stsd").otherwise("tkhd")
+    return F.when(is_photo, "image_dims").otherwise(told)
+
+
+def capture_absence(is_photo: Column, sources: Column) -> Column:
+    """(reason, also): why no time of capture is known; ``sources`` of a clip's candidates are null if its container can't be read."""
+    reason = F.when(is_photo, "no_exif_parser_for_still_images").when(sources.isNull(), "container_facts_unavailable").otherwise("mvhd_creation_time_zero")
+    also = F.when(~is_photo & ~F.array_contains(sources, "udta_day"), F.array(F.lit("no_udta_day_atom")))
+    return F.struct(reason.alias("reason"), also.alias("also"))
+
+
+def position_absence(is_photo: Column, never_decodes: Column) -> Column:
+    clip = F.when(never_decodes, "no_gps_atom_camera_has_no_receiver").otherwise("no_gps_atom_metadata_stripped")
+    return F.when(is_photo, "no_gps_atom_not_written_by_encoder").otherwise(clip)
+
+
+def position_evidence(atom: Column) -> Column:
+    return _named(atom, GPS_EVIDENCE, "none")
+
+
+def stored_rules(results: Column) -> Column:
+    """A map of rules to their results with STORED_FIELDS alone; evidence ``none`` is stored as null."""
+
+    def stored(_: Column, rule: Column) -> Column:
+        return F.struct(*[(F.nullif(rule[f], F.lit("none")) if f == "evidence" else rule[f]).alias(f) for f in STORED_FIELDS])
+
+    return F.transform_values(results, stored)
+
+
+def stored_source(source: Column) -> Column:
+    """The stored name of a source of a capture time; names that aren't stored are ``unknown``."""
+    return _named(source, STORED_SOURCES, "unknown")

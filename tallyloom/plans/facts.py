@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import scalars
-from tallyloom.operators import demand, lifecycle
+from tallyloom.operators import demand, lifecycle, rules
 
 from .analogues import REVIEW_SQL, review
 from .registry import Registry, Tables
@@ -111,3 +111,34 @@ def positions_told(t: Tables) -> DataFrame:
     height = F.when(key % 2 == 0, F.concat(F.lit("+"), (key % 90).cast("string"), F.lit(".5"))).otherwise("")
     text = F.concat(F.element_at(F.array(*texts), (key % 3 + 1).cast("int")), height, F.lit("/"))
     return t.customer.select("c_custkey", scalars.iso6709(text).alias("p")).select("c_custkey", "p.lat", "p.lng", "p.alt_m")
+
+
+@plans.add(
+    "q86_absences",
+    """
+WITH a AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'A' AS photo, l_linenumber % 3 AS n, l_suppkey % 4 AS m FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN photo THEN 'image_dims' WHEN n = 0 THEN 'tkhd' WHEN m = 0 THEN 'tkhd+stsd' ELSE 'stsd' END AS resolution,
+  CASE WHEN photo THEN 'no_exif_parser_for_still_images' WHEN n = 1 THEN 'container_facts_unavailable' ELSE 'mvhd_creation_time_zero' END AS capture, CASE WHEN NOT photo AND n = 2 AND m <> 1 THEN 'no_udta_day_atom' WHEN NOT photo AND n = 0 THEN 'no_udta_day_atom' ELSE '' END AS also,
+  CASE WHEN photo THEN 'no_gps_atom_not_written_by_encoder' WHEN m = 3 THEN 'no_gps_atom_camera_has_no_receiver' ELSE 'no_gps_atom_metadata_stripped' END AS position,
+  CASE m WHEN 0 THEN 'udta_loci' WHEN 1 THEN 'apple_quicktime' ELSE 'none' END AS evidence, CASE m WHEN 0 THEN 'udta_loci' WHEN 1 THEN 'apple_quicktime' END AS stored_evidence,
+  CASE m WHEN 0 THEN 'mvhd' WHEN 1 THEN 'udta' ELSE 'unknown' END AS stored_source FROM a
+""",
+)
+def absences(t: Tables) -> DataFrame:
+    photo, n, m = F.col("l_returnflag") == "A", F.col("l_linenumber") % 3, F.col("l_suppkey") % 4
+    sources = F.when(n == 0, F.array(F.lit("mvhd"))).when(n == 2, F.array(F.when(m == 1, "udta_day").otherwise("mvhd")))
+    evidence = rules.position_evidence(F.when(m == 0, "udta_loci_3gpp").when(m == 1, "apple_quicktime_iso6709"))
+    result = F.struct(F.lit("absent").alias("status"), evidence.alias("evidence"), F.lit("why").alias("reason"), F.lit(False).alias("blocking"), F.lit("").alias("value"), n.alias("tried"))
+    told = t.lineitem.select(
+        "l_orderkey",
+        "l_linenumber",
+        rules.resolution_evidence(photo, F.when(n > 0, n), F.when(m == 0, m)).alias("resolution"),
+        rules.capture_absence(photo, sources).alias("c"),
+        rules.position_absence(photo, m == 3).alias("position"),
+        evidence.alias("evidence"),
+        rules.stored_rules(F.create_map(F.lit("gps"), result)).alias("stored"),
+        rules.stored_source(F.when(m == 0, "mvhd").when(m == 1, "udta_day").when(m == 2, "filesystem")).alias("stored_source"),
+    )
+    also = F.coalesce(F.array_join("c.also", " "), F.lit(""))
+    kept = ("l_orderkey", "l_linenumber", "resolution", F.col("c.reason").alias("capture"), also.alias("also"), "position", "evidence", "stored_source")
+    return told.select(*kept, F.col("stored")["gps"]["evidence"].alias("stored_evidence"))

@@ -69,6 +69,21 @@ def test_supply_of_cells(spark):
     assert told == {"a": (5.455, "high"), "b": (3.0, "medium"), "c": (8.0, "critical"), "d": (1.0, "low")}
 
 
+def test_absences_and_stored_rules(spark):
+    no, yes, none = F.lit(False), F.lit(True), F.lit(None)
+    rule = F.struct(F.lit("ok").alias("status"), F.lit("none").alias("evidence"), F.lit("r").alias("reason"), yes.alias("blocking"), F.lit(3).alias("value"), F.lit("x").alias("extra"))
+    sources = F.array(F.lit("mvhd"))
+    row = one(
+        spark, rules.capture_absence(yes, sources), rules.capture_absence(no, none.cast("array<string>")), rules.capture_absence(no, sources), rules.capture_absence(no, F.array(F.lit("udta_day"))),
+        rules.stored_rules(F.create_map(F.lit("gps"), rule)), rules.stored_source(F.lit("udta_day")), rules.stored_source(F.lit("filesystem")), rules.stored_source(none.cast("string")), rules.position_evidence(none.cast("string")),
+    )
+    assert [tuple(r) for r in row[:4]] == [
+        ("no_exif_parser_for_still_images", None), ("container_facts_unavailable", None), ("mvhd_creation_time_zero", ["no_udta_day_atom"]), ("mvhd_creation_time_zero", None),
+    ]
+    assert row[4]["gps"].asDict() == {"status": "ok", "evidence": None, "reason": "r", "blocking": True, "value": 3}
+    assert list(row[5:]) == ["udta", "unknown", "unknown", "none"]
+
+
 def test_positions(spark):
     row = one(spark, s.iso6709(F.lit("+37.3382-121.8863/")), s.iso6709(F.lit("+3720.25-12153.5/")), s.iso6709(F.lit("+00.0+000.0/")))
     assert (row[0]["lat"], row[0]["lng"]) == pytest.approx((37.3382, -121.8863))
