@@ -6,8 +6,8 @@ below, from above, or both.  ``judged`` turns any table of rules into columns; a
 meets another one, so there is no shuffle, and all of it is built-in expressions.
 
 Repeated words are those in some window of three words that the text holds twice or more.
-Windows are sorted within their text, by a hash first so that most comparisons are of two
-numbers, and by the words themselves, so that equal hashes of unlike windows change nothing.
+Windows are sorted within their text as numbers, half hash and half position; only those that
+share their hash with another one are then compared by their words, so hashes decide nothing.
 
 Defined results: null and empty texts, and those of white space, have no words and no lines;
 a rule on a share passes where the whole is 0; repeated rows are judged one by one; an empty
@@ -49,39 +49,72 @@ def _count(items: Column) -> Column:
     return F.size(items).cast("long")
 
 
-def repeated_words(words: Column, width: int = 3) -> Column:
-    """How many of ``words`` lie in a window of ``width`` words that is there twice or more."""
+def _twins(found: Column, key: Callable[[Column], Column]) -> Column:
+    """The places in a sorted array, not empty, whose ``key`` is that of a neighbour."""
 
-    def window(i: Column) -> Column:
-        own = [F.get(words, i + k) for k in range(width)]
-        return F.struct(F.xxhash64(*own).alias("h"), F.concat_ws(" ", *own).alias("w"), i.alias("i"))
+    def again(j: Column) -> Column:
+        own = key(F.get(found, j))
+        return F.coalesce(own == key(F.get(found, j - 1)), F.lit(False)) | F.coalesce(own == key(F.get(found, j + 1)), F.lit(False))
+
+    return F.filter(F.sequence(F.lit(0), F.size(found) - 1), again)
+
+
+#: Bits of a packed window for its position.
+PLACE = 31
 
-    def covered(found: Column) -> Column:
-        def again(j: Column) -> Column:
-            own = F.get(found, j)["w"]
-            return F.coalesce(own == F.get(found, j - 1)["w"], F.lit(False)) | F.coalesce(own == F.get(found, j + 1)["w"], F.lit(False))
 
-        at = F.filter(F.sequence(F.lit(0), F.size(found) - 1), again)
-        return _count(F.array_distinct(F.flatten(F.transform(at, lambda j: F.sequence(F.get(found, j)["i"], F.get(found, j)["i"] + (width - 1))))))
+def repeated_words(words: Column, width: int = 3) -> Column:
+    """How many of ``words`` lie in a window of ``width`` words that is there twice or more."""
+
+    def own(i: Column) -> list[Column]:
+        return [F.get(words, i + k) for k in range(width)]
 
-    windows = F.transform(F.sequence(F.lit(0), F.size(words) - width), window)
-    return F.when(F.size(words) > width, let(F.array_sort(windows), covered)).otherwise(F.lit(0)).cast("long")
+    def packed(i: Column) -> Column:
+        short = F.xxhash64(*own(i)).bitwiseAND(F.lit((1 << 32) - 1))
+        return F.shiftleft(short, PLACE).bitwiseOR(i.cast("long"))
 
+    def suspects(found: Column) -> Column:
+        at = _twins(found, lambda x: F.shiftright(x, PLACE))
+        return F.transform(at, lambda j: F.get(found, j).bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"))
 
-def measures(text: Column) -> dict[str, Column]:
-    """The measures of a text by name, over the columns ``words`` and ``lines`` that ``_parts`` adds."""
-    words, lines = F.col("_qr_words"), F.col("_qr_lines")
-    return {
-        "n_words": _count(words),
-        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
-        "n_lines": _count(lines),
-        "n_dup_lines": _count(lines) - _count(F.array_distinct(lines)),
-        "n_repeat_words": repeated_words(words),
-        "n_stop_words": _count(F.filter(words, lambda w: F.lower(F.btrim(w, F.lit(AROUND))).isin(STOP_WORDS))),
-        "n_letter_words": _count(F.filter(words, lambda w: w.rlike(r"\p{L}"))),
-        "n_shouted_words": _count(F.filter(words, lambda w: w.rlike(SHOUTED))),
-    }
+    def covered(found: Column) -> Column:
+        at = F.transform(_twins(found, lambda x: x["w"]), lambda j: F.get(found, j)["i"])
+        return F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + (width - 1))))))
+
+    def exact(at: Column) -> Column:
+        named = F.sort_array(F.transform(at, lambda i: F.struct(F.concat_ws(" ", *own(i)).alias("w"), i.alias("i"))))
+        return F.when(F.size(at) > 0, let(named, covered)).otherwise(F.lit(0))
+
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - width), packed)
+    found = let(let(F.sort_array(windows), suspects), exact)
+    return F.when(F.size(words) > width, found).otherwise(F.lit(0)).cast("long")
+
+
+def measures(text: Column) -> Column:
+    """A struct of all measures of a text that isn't null.
+
+    Words and lines are bound once, inside the expression: a filter on a measure that Spark
+    moves below this projection then computes it again, but never once for each word.
+    """
+
+    def counted(parts: Column) -> Column:
+        words, lines = parts["words"], parts["lines"]
+        found = {
+            "n_words": _count(words),
+            "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
+            "n_lines": _count(lines),
+            "n_dup_lines": _count(lines) - _count(F.array_distinct(lines)),
+            "n_repeat_words": let(words, lambda w: repeated_words(w)),
+            "n_stop_words": _count(F.filter(words, lambda w: F.lower(F.btrim(w, F.lit(AROUND))).isin(STOP_WORDS))),
+            "n_letter_words": _count(F.filter(words, lambda w: w.rlike(r"\p{L}"))),
+            "n_shouted_words": _count(F.filter(words, lambda w: w.rlike(SHOUTED))),
+        }
+        return F.struct(*(c.alias(n) for n, c in found.items()))
+
+    words = F.filter(F.split(text, BLANK), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
+    return let(F.struct(words.alias("words"), lines.alias("lines")), counted)
 
 
 @dataclass(frozen=True)
@@ -124,11 +157,7 @@ RULES = (
 
 def judged(df: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE) -> DataFrame:
     """``doc_id``, all measures, ``base_failed``, ``kept`` and ``broken`` (names of broken rules, by commas) of each row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    full = F.filter(F.split(text, BLANK), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    parts = df.select("doc_id", text.alias("_qr_text"), full.alias("_qr_words"), lines.alias("_qr_lines"))
-    measured = parts.select("doc_id", *(c.alias(n) for n, c in measures(F.col("_qr_text")).items()))
+    measured = df.select("doc_id", measures(F.coalesce(F.col("text"), F.lit(""))).alias("_qr")).select("doc_id", "_qr.*")
     names = F.array_compact(F.array(*(F.when(r.broken(), F.lit(r.name)) for r in (*base, *rules))))
     failed = F.lit(False)
     for r in base:
