@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html, jaccard, language, mixing, neighbours, passages, quality, sharding, tokens
+from . import chat, decontamination, html, jaccard, language, mixing, negatives, neighbours, passages, quality, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_heavy_light_jaccard": jaccard.op8_heavy_light_jaccard,
         "op9_line_blocks": html.op9_line_blocks,
         "op10_spaced_seeds": decontamination.op10_spaced_seeds,
+        "op11_voronoi_negatives": negatives.op11_voronoi_negatives,
         "op12_quality_rules": quality.op12_quality_rules,
     }
 
@@ -32,5 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_tool_call_links": chat.ORACLE_SQL,
         "op8_heavy_light_jaccard": jaccard.ORACLE_SQL,
         "op10_spaced_seeds": decontamination.ORACLE_SQL,
+        "op11_voronoi_negatives": negatives.ORACLE_SQL,
         "op12_quality_rules": quality.ORACLE_SQL,
     }
