@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, html, jaccard, language, mixing, negatives, neighbours, passages, quality, sharding, tokens
+from . import alignment, chat, decontamination, html, jaccard, language, mixing, negatives, neighbours, passages, quality, sharding, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Query]:
         "op10_spaced_seeds": decontamination.op10_spaced_seeds,
         "op11_voronoi_negatives": negatives.op11_voronoi_negatives,
         "op12_quality_rules": quality.op12_quality_rules,
+        "op13_striped_alignment": alignment.op13_striped_alignment,
     }
 
 
