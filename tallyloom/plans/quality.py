@@ -273,21 +273,59 @@ def durations(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", duration_bounds(text).alias("d")).select("p_partkey", "d.max_s", "d.min_s")
 
 
+def clips(t: Tables) -> DataFrame:
+    """Takes of four vectors are clips; every fifth has three frames only, and some frames have no hash."""
+    own = frames(t).select((3 * F.floor(F.col("vec_id") / 4) + F.col("take")).alias("id"), (F.col("vec_id") % 4).alias("position"), "hash", "vec_id", "take")
+    kept = own.filter((F.col("id") % 5 != 0) | (F.col("position") < 3))
+    return kept.select("id", "position", F.when(F.col("vec_id") % 97 != 13, F.col("hash")).alias("hash"))
+
+
+_CLIPS_SQL = f"""{_FRAMES_SQL},
+k AS (SELECT 3 * (vec_id // 4) + take AS id, vec_id % 4 AS position, CASE WHEN vec_id % 97 <> 13 THEN hash END AS hash FROM f),
+n AS (SELECT * FROM k WHERE id % 5 <> 0 OR position < 3),
+z AS (SELECT id, count(*) AS size FROM n GROUP BY 1)"""
+_PAIRS_SQL = """d AS (SELECT a.id, b.id AS other, count(*) AS n, count(a.hash) AS own, count(b.hash) AS theirs, median(bit_count(xor(a.hash, b.hash))) AS median,
+  CAST(min(bit_count(xor(a.hash, b.hash))) AS INTEGER) AS least, CAST(max(bit_count(xor(a.hash, b.hash))) AS INTEGER) AS most
+  FROM n a JOIN n b ON a.id <> b.id AND a.position = b.position JOIN z p ON p.id = a.id JOIN z q ON q.id = b.id WHERE a.position < least(p.size, q.size) {where} GROUP BY 1, 2),
+w AS (SELECT * FROM d WHERE own = n AND theirs = n)"""
+
+
 @plans.add(
     "q58_frame_distance",
     f"""
-WITH {_FRAMES_SQL},
-n AS (SELECT 3 * (vec_id // 4) + take AS clip, vec_id % 4 AS position, hash FROM f),
-c AS (SELECT DISTINCT id, prior_id FROM (
-  SELECT a.clip AS id, a.position, min(b.clip) AS prior_id FROM n a JOIN n b ON a.position = b.position AND b.clip < a.clip WHERE bit_count(xor(a.hash, b.hash)) <= {DISTANCE} GROUP BY 1, 2)),
-d AS (SELECT c.id, c.prior_id, bit_count(xor(a.hash, b.hash)) AS far FROM c JOIN n a ON a.clip = c.id JOIN n b ON b.clip = c.prior_id AND a.position = b.position)
-SELECT id, prior_id, count(*) AS n, median(far) AS median, CAST(min(far) AS INTEGER) AS least, CAST(max(far) AS INTEGER) AS most FROM d GROUP BY 1, 2
+WITH {_CLIPS_SQL}, {_PAIRS_SQL.format(where="AND b.id < a.id")}
+SELECT id, other AS prior_id, n, median, least, most FROM w WHERE median <= {DISTANCE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY other) = 1
 """,
 )
 def frame_distance(t: Tables) -> DataFrame:
-    """Takes of four vectors each are clips; each is held against the earliest clips that are near it at a position."""
-    clips = frames(t).select((3 * F.floor(F.col("vec_id") / 4) + F.col("take")).alias("id"), (F.col("vec_id") % 4).alias("position"), "hash")
-    return duplicates.frame_distance(clips, DISTANCE)
+    """Each clip with the first clip before it that differs by a median of few bits."""
+    sets = duplicates.frame_sets(clips(t)).withColumn("ord", F.col("id"))
+    return duplicates.first_priors(sets, DISTANCE).withColumn("n", F.col("n").cast("long"))
+
+
+BATCH, STRICT = 8, 2
+
+
+@plans.add(
+    "q87_batch_acceptance",
+    f"""
+WITH RECURSIVE {_CLIPS_SQL}, {_PAIRS_SQL.format(where=f"AND a.id // 3 // {BATCH} = b.id // 3 // {BATCH}")},
+near AS (SELECT id, list(other) AS others FROM w WHERE median <= {STRICT} GROUP BY 1),
+c AS (SELECT z.id, z.id // 3 // {BATCH} AS delivery, z.id % 11 = 5 AS known, coalesce(others, []) AS others,
+  row_number() OVER (PARTITION BY z.id // 3 // {BATCH} ORDER BY z.id % 11 = 5 DESC, (z.id % 3 + 2) % 3 <> 0, z.id) AS step FROM z LEFT JOIN near USING (id)),
+g AS (SELECT DISTINCT delivery, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS taken FROM c
+  UNION ALL SELECT g.delivery, c.step, CASE WHEN c.known OR NOT list_has_any(g.taken, c.others) THEN list_append(g.taken, c.id) ELSE g.taken END FROM g JOIN c ON c.delivery = g.delivery AND c.step = g.step + 1),
+e AS (SELECT delivery, arg_max(taken, step) AS taken FROM g GROUP BY 1)
+SELECT c.delivery, c.id, list_contains(e.taken, c.id) AS accepted, CASE WHEN NOT list_contains(e.taken, c.id) THEN arg_min(p.id, p.step) END AS prior_id
+FROM c JOIN e ON e.delivery = c.delivery LEFT JOIN c p ON p.delivery = c.delivery AND p.step < c.step AND list_contains(c.others, p.id) AND list_contains(e.taken, p.id) GROUP BY c.delivery, c.id, e.taken
+""",
+)
+def batch_acceptance(t: Tables) -> DataFrame:
+    """Eight vectors' takes are a delivery: each clip is held against those alone that were accepted before it."""
+    sets = duplicates.frame_sets(clips(t))
+    delivery = F.floor(F.floor(F.col("id") / 3) / BATCH).alias("delivery")
+    batch = sets.select(delivery, "id", ((F.col("id") % 3 + 2) % 3 != 0).alias("ord"), "hashes", (F.col("id") % 11 == 5).alias("known"))
+    return duplicates.accepted_in_order(batch, STRICT, ["delivery"])
 
 
 @plans.add(
