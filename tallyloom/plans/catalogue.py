@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import changes, facts, finding, insight, people, quality
+from . import changes, facts, finding, insight, people, quality, writes
 from .registry import Query
 
-MODULES = (people, finding, changes, quality, insight, facts)
+MODULES = (people, finding, changes, quality, insight, facts, writes)
 
 
 def queries() -> dict[str, Query]:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyloom.operators.merge import Merged, Policy, merge
+from tallyloom.sources.batches import Batches
+from tallyloom.sources.stages import cut
 from tallyloom.sources.tables import upsert
 
 
@@ -44,20 +46,48 @@ def delivery_state(outbox: DataFrame, delivered: DataFrame) -> DataFrame:
     return joined.select(*kept, state.alias("state"), (F.col("attempts") + F.coalesce("_tried", F.lit(False)).cast("int")).alias("attempts"), F.coalesce("_error", F.when(F.col("_tried").isNull(), F.col("last_error"))).alias("last_error"))
 
 
+#: What a drained change log becomes: rows by id, conflicts, and the outcome of each entry.
+DRAINED = {
+    "rows": ("row_id string, row map<string,string>, rev long, server_updated_at long", "row_id"),
+    "conflicts": ("row_id string, seq long, fields array<string>, policy string, kept string, refused string", None),
+    "entries": ("seq long, error string", "seq"),
+}
+#: Batches after which the rows are written as one folder again.
+COMPACTED = 32
+
+
+def entry_error() -> Column:
+    """Why an entry (row_id, patch) can't be applied; null if it can."""
+    torn = F.filter(F.map_keys("patch"), lambda k: F.try_parse_json(F.coalesce(F.col("patch")[k], F.lit(""))).isNull())
+    return F.when(F.col("row_id").isNull(), "no row").when(F.col("patch").isNull(), "no patch").when(F.size(torn) > 0, F.concat(F.lit("not JSON: "), F.array_join(F.array_sort(torn), ", ")))
+
+
 def drain(source: DataFrame, spark: SparkSession, folder: str, policy: Policy, checkpoint: str, clock) -> StreamingQuery:
-    """A streaming query that merges patches (row_id, seq, updated_at, patch) on the table in ``folder``.
+    """A streaming query that merges patches (row_id, seq, updated_at, patch) on the tables DRAINED in ``folder``.
 
-    Each micro-batch writes a new version of the rows and its conflicts; a batch that is
-    replayed writes the same version again.  ``clock`` gives milliseconds.
+    Each micro-batch is one commit of the rows that changed, their conflicts and what became of each entry, so
+    written bytes grow with the changes; every COMPACTED batches the rows are written whole.  A batch that is
+    replayed is there already.  An entry that can't be applied fails alone.  ``clock`` gives
+    milliseconds; a batch has one instant, later than any before it.
     """
+    book = Batches(spark, folder, DRAINED)
 
     def step(batch: DataFrame, epoch: int) -> None:
-        schema = "row_id string, row map<string,string>, rev long, server_updated_at long"
-        before = batch.sparkSession.createDataFrame([], schema) if epoch == 0 else batch.sparkSession.read.schema(schema).parquet(f"{folder}/rows/{epoch - 1}")
-        merged = apply_batch(before.select("row_id", "row"), batch, policy)
-        changed = stamped(before, merged.rows, next_tick(epoch, clock()))
-        upsert(before, changed, "row_id").write.mode("overwrite").parquet(f"{folder}/rows/{epoch}")
-        merged.conflicts.write.mode("overwrite").parquet(f"{folder}/conflicts/{epoch}")
+        name = f"epoch-{epoch}"
+        if book.has(name):
+            return
+        n, last = book.next_number()
+        tick = next_tick(last, clock())
+        judged = cut(batch.withColumn("error", entry_error()))
+        good = judged.filter("error IS NULL").drop("error")
+        before = book.current("rows").join(good.select("row_id").distinct(), "row_id", "left_semi")
+        merged = apply_batch(before.select("row_id", "row"), good, policy)
+        book.stage(name, n, "rows", stamped(before, merged.rows, tick))
+        book.stage(name, n, "conflicts", merged.conflicts)
+        book.stage(name, n, "entries", judged.select("seq", "error"))
+        book.publish(name, n, list(DRAINED), tick)
+        if n % COMPACTED == COMPACTED - 1:
+            book.compact("rows")
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
