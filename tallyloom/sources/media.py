@@ -109,7 +109,7 @@ def still_facts(content: bytes) -> dict:
     return out | {"ok": True, "reason": None, "width": size[0], "height": size[1]}
 
 
-def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = (), parents: tuple[bytes, ...] = PARENTS) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, payload start, payload end) of all boxes, parents before children."""
     at, end = start, len(data) if end is None else end
     while at + 8 <= end:
@@ -123,12 +123,12 @@ def boxes(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes
             return
         stop = min(at + size, end)
         yield (*path, name), at + head, stop
-        if name in PARENTS:
-            yield from boxes(data, at + head, stop, (*path, name))
+        if name in parents:
+            yield from boxes(data, at + head, stop, (*path, name), parents)
         at += size
 
 
-def _turned(matrix: tuple[int, ...]) -> int:
+def turned(matrix: tuple[int, ...]) -> int:
     a, b, c, d = matrix[0], matrix[1], matrix[3], matrix[4]
     signs = {(1, 0, 0, 1): 0, (0, 1, -1, 0): 90, (-1, 0, 0, -1): 180, (0, -1, 1, 0): 270}
     return signs.get(tuple((x > 0) - (x < 0) for x in (a, b, c, d)), 0)
@@ -161,7 +161,7 @@ def clip_facts(content: bytes) -> dict:
                 track = {}
             elif name == b"tkhd":
                 matrix = struct.unpack_from(">9i", content, at + (52 if wide else 40))
-                track = {"rotation_deg": _turned(matrix)}
+                track = {"rotation_deg": turned(matrix)}
             elif name == b"hdlr" and len(path) > 2:
                 track["kind"] = content[at + 8 : at + 12]
                 out["has_audio"] |= track["kind"] == b"soun"
