@@ -95,7 +95,8 @@ class Pair:
         names = [self.pieces.id_to_piece(i) for i in range(self.pieces.get_piece_size())]
         self.b = [bytes([int(n[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", n) else n.replace("▁", " ").encode() for n in names]
         self.a_size, self.b_size = (np.array([len(t) for t in side], np.int64) for side in (self.a, self.b))
-        self.signs = [f"{i}{end}" for side, ends in ((self.a, ",|"), (self.b, ",;")) for end in ends for i in range(len(side))]
+        # what stands for a token within its group, and at the end of its side; shorter ones are filled up with zero bytes
+        self.signs = np.array([f"{i}{end}".encode() for side, ends in ((self.a, ",|"), (self.b, ",;")) for end in ends for i in range(len(side))])
 
     @staticmethod
     def _ranked(path: str):
@@ -125,11 +126,13 @@ class Pair:
         """Both sides' ids, or None where they don't give the text's bytes."""
         parts = self.stretches(text)
         a = np.concatenate([self.encoded_a(p) for p in parts]).astype(np.int64)
-        b = np.array([i for ids in self.pieces.encode([p[1:] for p in parts], num_threads=1) for i in ids], np.int64)
+        pieces = self.pieces.encode([p[1:] for p in parts], num_threads=1)
+        b = [i for ids in pieces for i in ids] if len(pieces) > 1 else pieces[0]
         want = b" " + text.encode()
-        if b"".join(map(self.a.__getitem__, a.tolist())) != want or b"".join(map(self.b.__getitem__, b.tolist())) != want:
+        if b"".join(map(self.b.__getitem__, b)) != want:
             return None
-        return a, b
+        a_whole = int(self.a_size[a].sum()) == len(want) and (self.fast is not None and _PLAIN.fullmatch(text) or b"".join(map(self.a.__getitem__, a.tolist())) == want)
+        return (a, np.array(b, np.int64)) if a_whole else None
 
     def aligned(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """Tokens of both sides, groups, links, the digest of the groups; distinct pairs as a * |B| + b, and how often each."""
@@ -147,7 +150,7 @@ class Pair:
         a_at, b_at = np.arange(len(a)), np.arange(len(b))
         written[a_at + (b_done - n_b)[of_a]] = a + len(self.a) * (a_at + 1 == a_done[of_a])
         written[b_at + a_done[of_b]] = b + len(self.b) * (b_at + 1 == b_done[of_b]) + 2 * len(self.a)
-        digest = hashlib.sha256("".join(map(self.signs.__getitem__, written.tolist()))[:-1].encode()).hexdigest()
+        digest = hashlib.sha256(self.signs[written].tobytes().translate(None, b"\0")[:-1]).hexdigest()
         few = links <= FEW
         often = np.where(few[of_a], n_b[of_a], 0)
         first = np.repeat((b_done - n_b)[of_a] - (np.cumsum(often) - often), often)
