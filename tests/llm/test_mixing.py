@@ -146,3 +146,94 @@ def test_repeats_empty_tables_and_clashes(spark):
     assert [r["copies"] for r in nothing.collect()] == [0]
     with pytest.raises(ValueError):
         mixing.mixed(df.withColumn("_mix_id", F.lit(1)), mixing.weighted_targets, F.array("source"), F.lit(1), F.lit(1))
+
+
+def owned(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("words", F.struct("text"))
+    mix = mixing.mixed(mixing.held_by(df), mixing.weighted_targets, F.col("held"), word_count(F.col("text")), mixing.document_draw(), own=F.col("source"), alike=F.col("alike"))
+    return mix.collect()
+
+
+def shared_rows(seed):
+    """Texts of their own, and texts that two or three sources hold."""
+    rng = random.Random(seed)
+    rows, n = [], 0
+    for k in range(1200):
+        text = f"t{k} " + "w " * rng.randrange(30)
+        for source in rng.choice([["a"], ["a"], ["b"], ["c"], ["a", "b"], ["b", "c"], ["a", "b", "c"], [None, "a"], ["d"]]):
+            rows.append((n, text, source))
+            n += 1
+    return rows
+
+
+def test_texts_of_several_sources_are_routed(spark):
+    rows = shared_rows(8)
+    found = owned(spark, rows)
+    assert len(found) == len(rows)
+    held, sizes = defaultdict(set), defaultdict(int)
+    for _, t, s in rows:
+        held[t].add(s)
+        sizes[s] += len(t.split())
+    order = lambda sources: tuple(sorted(sources, key=lambda x: (x is None, x or "")))
+    capacity, rooms = defaultdict(int), defaultdict(int)
+    for t, sources in held.items():
+        capacity[order(sources)] += len(t.split())
+    for _, t, s in rows:
+        rooms[order(held[t]), s] += 2 * len(t.split())
+    wanted = brute_targets(sizes)
+    flow = mixing.route(dict(capacity), {s: int(n + 0.5) for s, n in wanted.items()}, rooms=dict(rooms))
+    taken, of_source = defaultdict(int), defaultdict(int)
+    for r in found:
+        n = len(r["text"].split())
+        assert r["copies"] in (0, 1, 2) and r["targets"] == [pytest.approx(wanted[r["source"]])] and r["source_sizes"] == [sizes[r["source"]]]
+        taken[order(held[r["text"]]), r["source"]] += n * r["copies"]
+        of_source[r["source"]] += n * r["copies"]
+    for s, n in wanted.items():
+        assert abs(of_source[s] - n) <= max(40, 0.005 * n), s
+    # what is taken costs what the cheapest flow costs, but for the words that a cut leaves
+    def cost(given):
+        out = 0
+        for p, words in capacity.items():
+            left = sum(n for (q, _), n in given.items() if q == p)
+            for price, step in mixing._tiers(words, (0, 1), sum(n for (q, _), n in rooms.items() if q == p)):
+                out += price * max(0, min(left, step))
+                left -= step
+        return out
+
+    cheapest = cost({(p, s): n for p, f in flow.items() for s, n in f.items()})
+    assert cheapest > 0 and abs(cost(taken) - cheapest) <= max(150, 0.02 * cheapest)
+    once = {(p, s): n / 2 for (p, s), n in rooms.items()}
+    assert cost(taken) < cost({k: n * wanted[k[1]] / sizes[k[1]] for k, n in once.items()})  # cheaper than every source alone, as its words lie
+    again = {r["doc_id"]: r["copies"] for r in owned(spark, rows[::-1])}
+    assert again == {r["doc_id"]: r["copies"] for r in found}
+
+
+def test_the_flow_takes_a_sources_own_texts_before_shared_ones():
+    flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 4}, {"a": 10, "b": 14}, rooms={(("a",), "a"): 20, (("a", "b"), "a"): 20, (("a", "b"), "b"): 20, (("b",), "b"): 8})
+    assert flow["a",]["a"] == 10 and flow["a", "b"] == {"a": 0, "b": 10} and flow["b",]["b"] == 4
+
+
+def test_owned_flow_is_the_cheapest():
+    """Against all splits of small networks, in the cost of what is used again."""
+    rng = random.Random(9)
+    for _ in range(30):
+        capacity = {("a",): rng.randrange(1, 4), ("a", "b"): rng.randrange(1, 4)}
+        rooms = {(("a",), "a"): 2 * capacity["a",], (("a", "b"), "a"): 2 * capacity["a", "b"], (("a", "b"), "b"): 2 * capacity["a", "b"]}
+        quota = {"a": rng.randrange(8), "b": rng.randrange(8)}
+        flow = mixing.route(capacity, quota, rooms=rooms)
+        steps = {p: [c for c, w in mixing._tiers(capacity[p], (0, 1), sum(v for k, v in rooms.items() if k[0] == p)) for _ in range(w)] for p in capacity}
+        price = lambda p, n: sum(steps[p][:n])  # noqa: E731, B023
+        worth = lambda x, y, z: (x + y + z, -price(("a",), x) - price(("a", "b"), y + z))
+        best = max(worth(x, y, z) for x in range(7) for y in range(7) for z in range(7) if x <= rooms[("a",), "a"] and y <= rooms[("a", "b"), "a"] and z <= rooms[("a", "b"), "b"] and x + y <= quota["a"] and z <= quota["b"])
+        assert worth(flow["a",]["a"], flow["a", "b"]["a"], flow["a", "b"]["b"]) == best
+
+
+def test_the_flow_decides_rows_of_the_query(spark):
+    """Without the patterns of equal texts other documents are taken."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert docs.groupBy("text").agg(F.count_distinct("source").alias("n")).filter("n > 1").count() > 0
+    taken = {r["doc_id"]: r["taken"] for r in mixing.op4_min_cost_mix(spark, folder).collect()}
+    size = word_count(F.col("text"))
+    plain = mixing.mixed(docs.select("doc_id", "source", size.alias("size"), mixing.document_draw().alias("draw")), mixing.weighted_targets, F.array("source"), F.col("size"), F.col("draw"))
+    assert {r["doc_id"]: r["size"] * r["copies"] for r in plain.collect()} != taken
