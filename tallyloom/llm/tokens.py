@@ -11,7 +11,8 @@ is encoded once; the counts go back to their blocks and are joined to the freque
 No ids are kept, and nothing but counts leaves a task.
 
 The input is read twice, and blocks are named by partition and batch, so it should be a
-table or a materialised frame, whose partitions come out alike each time.
+table or a materialised frame, whose partitions come out alike each time.  Both readings send
+a checksum of each block's pre-tokens; blocks that differ raise an error.
 
 Defined results: null and empty texts have no bytes and no tokens; repeated rows are
 counted one by one; an empty table gives an empty table; other columns are not read.
@@ -20,6 +21,7 @@ counted one by one; an empty table gives an empty table; other columns are not r
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +50,8 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 _POSITION, _BATCH = 28, 15
 #: Bits of a position with its count for the count.
 _COUNT = 32
+#: The position of a block's checksum, which stands among its counts.
+_MARK = (1 << _POSITION) - 1
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -85,23 +89,35 @@ def _frequencies(texts: list[str | None]) -> tuple[list[str], list[np.ndarray],
     return list(place), at, often
 
 
+def _checksum(tokens: list[str]) -> int:
+    """Of a block's distinct pre-tokens in their order; none of them holds what parts them here."""
+    return zlib.crc32("\n\n".join(tokens).encode("utf-8", "surrogatepass"))
+
+
 def _pre_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, batch in _blocks(batches):
+        if not batch.num_rows:
+            continue
         tokens, _, _ = _frequencies(batch.column("text").to_pylist())
-        places = (block << _POSITION) + np.arange(len(tokens), dtype=np.int64)
+        if len(tokens) >= _MARK:
+            raise ValueError(f"a block of {len(tokens)} pre-tokens")
+        places = (block << _POSITION) + np.append(np.arange(len(tokens), dtype=np.int64), _MARK)
+        tokens.append(str(_checksum(tokens)))
         yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.string()), pa.array(places)], ["pre_token", "place"])
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for block, batch in _blocks(batches):
+        if not batch.num_rows:
+            continue
         texts = batch.column("text")
-        _, at, often = _frequencies(texts.to_pylist())
+        tokens, at, often = _frequencies(texts.to_pylist())
         size = pa.array([len(t.encode()) if t else 0 for t in texts.to_pylist()], pa.int64())
         packed = [_packed(a, b, packer) for a, b in zip(at, often, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), size, pa.array(np.full(len(texts), block, np.int64)), pa.array(packed, pa.binary())],
-            ["doc_id", "n_bytes", "block", "packed"],
+            [batch.column("doc_id"), size, pa.array(np.full(len(texts), block, np.int64)), pa.array(np.full(len(texts), _checksum(tokens), np.int64)), pa.array(packed, pa.binary())],
+            ["doc_id", "n_bytes", "block", "mark", "packed"],
         )
 
 
@@ -120,13 +136,13 @@ def _counted(path: str):
             sizes = [len(ids) - (0 if t[0] in " ▁" else feed) for t, ids in zip(fresh, model.encode(bare, num_threads=1), strict=True)]
             # a lone space is the sign alone, which an empty text would not give
             counts = iter([1 if t in (" ", "▁") else n for t, n in zip(fresh, sizes, strict=True)])
+            places = batch.column("place").to_numpy()
             out, before, n = [], *known
-            for t in tokens:
+            for t, mark in zip(tokens, ((places & _MARK) == _MARK).tolist(), strict=True):
                 if t != before:
                     before, n = t, next(counts)
-                out.append(n)
+                out.append(int(t) if mark else n)
             known = (before, n)
-            places = batch.column("place").to_numpy()
             counted = ((places & ((1 << _POSITION) - 1)) << _COUNT) + np.array(out, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(places >> _POSITION), pa.array(counted)], ["block", "counted"])
 
@@ -136,8 +152,13 @@ def _counted(path: str):
 def _summed(documents: pa.Table, counts: pa.Table) -> pa.Table:
     unpacker = zstandard.ZstdDecompressor()
     counted = counts["counted"].to_numpy()
+    place, number = counted >> _COUNT, counted & ((1 << _COUNT) - 1)
+    marks = {*number[place == _MARK].tolist()}
+    if marks != {*documents["mark"].to_pylist()} or len(np.unique(place)) != len(place):
+        raise ValueError("the input came out differently when it was read again; write it first")
     pieces = np.zeros(len(counts), np.int64)
-    pieces[counted >> _COUNT] = counted & ((1 << _COUNT) - 1)
+    own = place != _MARK
+    pieces[place[own]] = number[own]
     totals = []
     for raw in documents["packed"].to_pylist():
         at, often = _unpacked(raw, unpacker)
@@ -156,7 +177,7 @@ def token_counts(df: DataFrame, path: str | None = None) -> DataFrame:
         .sortWithinPartitions("pre_token")
         .mapInArrow(_counted(path or vocabulary_path()), "block long, counted long")
     )
-    frequencies = docs.mapInArrow(_documents, f"doc_id {kind}, n_bytes long, block long, packed binary")
+    frequencies = docs.mapInArrow(_documents, f"doc_id {kind}, n_bytes long, block long, mark long, packed binary")
     return (
         frequencies.groupBy("block")
         .cogroup(counts.groupBy("block"))

@@ -1,8 +1,10 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from tallyloom.llm.common import materialised
 from tallyloom.llm.tokens import op2_pre_token_counts, token_counts
@@ -50,3 +52,15 @@ def test_repeats_other_columns_and_no_documents(spark):
     docs = materialised(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int"))
     assert [r["n_tokens"] for r in token_counts(docs).collect()] == [2, 2]
     assert token_counts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_an_input_that_changes_between_its_readings_is_refused(spark):
+    shaky = spark.range(300).select("id", F.concat(F.lit("word "), F.floor(F.rand() * 1e9).cast("string")).alias("text")).withColumnRenamed("id", "doc_id")
+    shaky = shaky.mapInArrow(_shaken, SCHEMA)
+    with pytest.raises(Exception, match="came out differently"):
+        token_counts(shaky).collect()
+
+
+def _shaken(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{t} {random.random()}" for t in batch.column(1).to_pylist()])], ["doc_id", "text"])
