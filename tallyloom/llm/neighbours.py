@@ -317,15 +317,16 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ok = F.col("vec_id").isNotNull() & (F.size("embedding") == dims) & _valid(F.col("embedding"))
     # 0.0 and -0.0 are one number
     vector = F.transform("embedding", lambda x: F.when(x == 0, 0).otherwise(x))
-    rows = df.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).withColumn("node", F.xxhash64("vector")).dropDuplicates(["node", "vec_id"])
-    rows = materialised(rows)
-    asked = queries.filter(ok).select(F.col("vec_id").cast("long").alias("query"), vector.alias("vector")).withColumn("own", F.xxhash64("vector")).dropDuplicates(["query"])
-    place = F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))
-    # of equal vectors the k + 1 smallest ids can be among the k nearest
-    members = materialised(rows.withColumn("place", place).filter(F.col("place") <= k + 1))
-    nodes = materialised(members.filter("place = 1").select("node", "vector"))
+    rows = df.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector")).withColumn("hash", F.xxhash64("vector"))
+    asked = queries.filter(ok).select(F.col("vec_id").cast("long").alias("query"), vector.alias("vector")).dropDuplicates(["query"])
+    # equal vectors, not those of equal hashes, are one node; of them the k + 1 smallest ids can be among the k nearest
+    place = F.dense_rank().over(Window.partitionBy("hash", "vector").orderBy("vec_id"))
+    held = materialised(rows.withColumn("place", place).filter(F.col("place") <= k + 1).distinct())
+    apart = materialised(held.filter("place = 1").select(F.monotonically_increasing_id().alias("node"), "hash", "vector"))
+    members = materialised(held.join(apart, ["hash", "vector"]).select("node", "vec_id"))
+    nodes = apart.select("node", "vector")
     bits = max(0, (nodes.count() // LEAF).bit_length() - 1)
-    drawn = nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(SAMPLE).select("vector").collect() if bits else []  # SAMPLE rows at most
+    drawn = apart.orderBy(F.xxhash64("hash", F.lit(SEED)), "hash").limit(SAMPLE).select("vector").collect() if bits else []  # SAMPLE rows at most
     forest = grown(np.array([r["vector"] for r in drawn], np.float64), bits)
     edges = graph(nodes, forest)
     found = search(asked.select("query", "vector"), nodes, edges, forest)
