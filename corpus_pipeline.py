@@ -12,18 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decontamination, jaccard, language, mixing, sharding
-from tallyloom.llm.common import materialised, table, word_count
+from tallyloom.llm.common import materialised, set_apart, table, word_count
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told; those that are undetermined go.
 
     A document without a ``lang`` gets the one that was told; labels that are there stay.
-    Null texts and texts without a letter are undetermined; other columns travel along.
+    Null texts and texts without a letter are undetermined; other columns travel along, whatever their names.
     """
+    docs, back = set_apart(docs, ["doc_id", "text", "lang"])
     model = language.fit(language.labelled_rows(docs))
     told = language.predicted(docs, model).filter(F.col("lang_pred") != language.UNDETERMINED)
-    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,16 +44,20 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once, or more often.
 
     A null source is a source like any other; texts without words have nothing to give to the
-    mix and are taken as often as their hash says.
+    mix and are taken as often as their hash says.  Other columns travel along, whatever their names.
     """
+    docs, back = set_apart(docs, ["doc_id", "text", "source"])
     mix = mixing.mixed(docs, mixing.weighted_targets, F.array("source"), word_count(F.col("text")), mixing.document_draw())
     taken = mix.filter("copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
-    return taken.select(*docs.columns)
+    return taken.select(*back)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ``size``, ``shard`` and ``slot``; null texts weigh one byte."""
-    return sharding.histogram_sort(docs)
+    """Documents with ``size``, ``shard`` and ``slot``, in place of columns of these names; null texts weigh one byte."""
+    added = ("size", "shard", "slot")
+    held, back = set_apart(docs, ["doc_id", "text"])
+    kept = [b for c, b in zip(docs.columns, back, strict=True) if c.lower() not in added]
+    return sharding.histogram_sort(held).select(*kept, *added)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

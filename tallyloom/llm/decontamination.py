@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialised, table
+from .common import materialised, set_apart, table
 
 #: 1 looks, 0 ignores; five words are looked at.  Whatever words of a window of 11, 12 or 13 are substituted, as many as SHARE allows, one of these fits.
 MASKS = ("1101011", "11100011", "101100101")
@@ -142,10 +142,11 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", tex
 
 
 def decontaminated(df: DataFrame, benchmark: DataFrame, text_column: str = "text") -> DataFrame:
-    """``df`` without the rows whose text overlaps with an item."""
+    """``df`` without the rows whose text overlaps with an item; other columns may have any name."""
+    df, back = set_apart(df, [text_column])
     found = overlaps(df.select(F.lit(0).alias("doc_id"), text_column), benchmark, "doc_id", text_column).select(F.col("text_key").alias("_dc_key")).distinct()
     keyed = df.withColumn("_dc_key", F.xxhash64(text_column))
-    return keyed.join(found, "_dc_key", "left_anti").select(*df.columns)
+    return keyed.join(found, "_dc_key", "left_anti").select(*back)
 
 
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

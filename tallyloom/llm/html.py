@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import set_apart, table
 
 WINDOW, SURGE, PEAK = 3, 60, 0.15
 
@@ -311,10 +311,13 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extracted(df: DataFrame, html_column: str = "html") -> DataFrame:
-    """``df`` without its html, with ``text`` and ``n_chars``."""
-    kept = [c for c in df.columns if c not in (html_column, "text", "n_chars")]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema.fields]
-    return df.selectExpr(*[f"`{c}`" for c in kept], f"`{html_column}` AS _lbd_html").mapInArrow(_extract, ", ".join([*fields, "text string", "n_chars long"]))
+    """``df`` without its html, with ``text`` and ``n_chars``, in place of columns of these names; others travel along under any name."""
+    held, back = set_apart(df, [html_column])
+    held = held.withColumnRenamed(html_column, "_lbd_html")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in held.drop("_lbd_html").schema.fields]
+    found = held.mapInArrow(_extract, ", ".join([*fields, "text string", "n_chars long"]))
+    kept = [b for c, b in zip(df.columns, back, strict=True) if c != html_column and c.lower() not in ("text", "n_chars")]
+    return found.select(*kept, "text", "n_chars")
 
 
 def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

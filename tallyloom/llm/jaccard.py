@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, materialised, partitions, runs, table
+from .common import WORD, discard, materialised, partitions, runs, set_apart, table
 from .graph import components
 from .words import mix, shingle_sets
 
@@ -568,8 +568,9 @@ def one_of_each(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     """``df`` with one row of each group of similar texts: the row of the smallest id.
 
     Ids name no group: unlike texts all stay, with equal ids or none.  Rows without words are
-    all kept; of rows that agree in id and text one stays.
+    all kept; of rows that agree in id and text one stays.  Other columns may have any name.
     """
+    df, back = set_apart(df, ["doc_id", "text"])
     groups = similar_groups(df, like).filter("n_shingles > 0")
     # nulls last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")
@@ -578,7 +579,7 @@ def one_of_each(df: DataFrame, like: Likeness = Likeness()) -> DataFrame:
     wordless = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)) == 0
     kept = marked.filter(~wordless).join(keys, F.col("doc_id").eqNullSafe(F.col("_jg_id")) & (F.col("_jg_text") == F.col("_jg_key")), "left_semi")
     single = kept.dropDuplicates(["doc_id", "_jg_text"])
-    return single.unionByName(marked.filter(wordless)).select(*df.columns)
+    return single.unionByName(marked.filter(wordless)).select(*back)
 
 
 def op8_heavy_light_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

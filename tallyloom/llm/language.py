@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import set_apart, table
 from .words import mix
 
 WIDTHS = (1, 2, 3, 4)
@@ -173,7 +173,8 @@ def _told(model: LanguageFilter, wrong: np.ndarray, text: str | None) -> tuple[s
 
 
 def predicted(df: DataFrame, model: LanguageFilter, text_column: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``; nothing but the text is looked at."""
+    """``df`` with ``lang_pred`` and ``score``, which it may not have; nothing but the text is looked at."""
+    held, back = set_apart(df, [text_column], ("lang_pred", "score"))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     # the text alone goes to Python, and only the answer comes back
@@ -185,9 +186,8 @@ def predicted(df: DataFrame, model: LanguageFilter, text_column: str = "text") -
         langs, scores = ([a[i] for a in answers] for i in (0, 1))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    answered = df.select(*kept, told(text_column).alias("_lid_told"))
-    return answered.select(*kept, "_lid_told.lang_pred", "_lid_told.score")
+    answered = held.select("*", told(text_column).alias("_lid_told"))
+    return answered.select(*back, "_lid_told.lang_pred", "_lid_told.score")
 
 
 def labelled_rows(docs: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from tallyloom.llm import decontamination, html, jaccard, language
 from tallyloom.llm.common import materialised
 from tallyloom.llm.jaccard import Likeness
 from tests.llm.test_jaccard import brute
@@ -66,3 +68,32 @@ def test_near_copies_and_leaks_are_those_of_brute_force(spark):
     wanted = {i for i, t in rows if groups[i] == i or not (t or "").split()}
     kept = {r["doc_id"] for r in pipeline.drop_near_copies(spark, materialised(docs), FOLDER).collect()}
     assert kept == wanted
+
+
+CLASHING = "lang_pred score copies source_sizes targets _dc_key _jg_text _jg_id _lid_told _copy _mix_id _hs_text _apart_0 text_key cls LANG_PRED".split()
+
+
+def test_columns_of_any_name_keep_their_values_in_every_stage(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(150)
+    names = CLASHING[:-1]  # names that differ by case alone can't stand in one frame
+    mine = materialised(docs.select("*", *(F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in names)))
+    for name, stage in pipeline.STAGES:
+        mine = materialised(stage(spark, mine, FOLDER))
+        assert mine.columns[: len(docs.columns) + len(names)] == [*docs.columns, *names], name
+        rows = mine.select("doc_id", *names).collect()
+        assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in names), name
+
+
+def test_columns_that_an_operator_adds_are_refused_or_replaced_as_it_says(spark):
+    df = spark.createDataFrame([(1, "a b", "en", 1)], "doc_id long, text string, lang string, Score int")
+    with pytest.raises(ValueError, match="Score"):
+        language.predicted(df, language.fit(language.labelled_rows(df.drop("Score"))))
+    sharded = pipeline.shard(spark, df.withColumn("Size", F.lit("mine")), FOLDER)
+    assert sharded.columns == ["doc_id", "text", "lang", "Score", "size", "shard", "slot"] and sharded.first()["size"] == 4
+    pages = spark.createDataFrame([(1, "<p>a b</p>", "x", "y")], "page_id long, html string, _lbd_html string, n_chars string")
+    assert [tuple(r) for r in html.extracted(pages).collect()] == [(1, "x", "a b", 3)]
+    clash = spark.createDataFrame([(1, "a b c", "k"), (2, "d e f", "l")], "doc_id long, text string, _dc_key string")
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert [tuple(r) for r in decontamination.decontaminated(clash, items).collect()] == [(2, "d e f", "l")]
+    named = clash.withColumnRenamed("_dc_key", "_jg_text")
+    assert sorted(tuple(r) for r in jaccard.one_of_each(named).collect()) == [(1, "a b c", "k"), (2, "d e f", "l")]
