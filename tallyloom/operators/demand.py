@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,6 +90,71 @@ def click_rates(log: DataFrame, half_life_days: float) -> DataFrame:
     return log.groupBy("token", "asset_id").agg((F.sum(F.when(F.col("clicked"), weight)) / F.sum(weight)).alias("rate"), F.count("*").alias("shown"))
 
 
+def counters(log: DataFrame, keys: list[str], half_life_ms: float) -> DataFrame:
+    """(keys, clicks, shown, at) of a batch of events (keys, clicked, at: ms): sums that fade, as they stand at ``at``.
+
+    They halve in a half-life, and merge with those of other batches without a look at the events.
+    """
+    at = log.agg(F.max("at")).first()[0]
+    weight = F.pow(F.lit(0.5), (F.lit(at) - F.col("at")) / half_life_ms)
+    sums = log.groupBy(*keys).agg(F.sum(F.when(F.col("clicked"), weight).otherwise(0.0)).alias("clicks"), F.sum(weight).alias("shown"))
+    return sums.withColumn("at", F.lit(at).cast("long"))
+
+
+def merged_counters(batches: list[DataFrame], keys: list[str], half_life_ms: float) -> DataFrame:
+    """Counters of several batches, in any order and of any times, as one."""
+    every = reduce(DataFrame.unionByName, batches)
+    at = every.agg(F.max("at")).first()[0]
+    faded = F.pow(F.lit(0.5), (F.lit(at) - F.col("at")) / half_life_ms)
+    return every.groupBy(*keys).agg(F.sum(F.col("clicks") * faded).alias("clicks"), F.sum(F.col("shown") * faded).alias("shown")).withColumn("at", F.lit(at).cast("long"))
+
+
+@dataclass(frozen=True)
+class Signals:
+    """How much each signal adds to a score: uses (by their logarithm), clicks for the query's token, the editor's own leanings.
+
+    Shown ``least_shown`` times for a token (as far as that hasn't faded) without ``least_clicks``, an asset's score is multiplied by ``demoted``.
+    """
+
+    uses: float = 1.0
+    clicks: float = 2.0
+    taste: float = 1.0
+    least_shown: float = 5.0
+    least_clicks: float = 0.5
+    demoted: float = 0.5
+
+
+def reranked(results: DataFrame, by_token: DataFrame, by_asset: DataFrame, by_taste: DataFrame, how: Signals = Signals()) -> DataFrame:
+    """``results`` (query_id, user_id, token, asset_id, facet, score) with ``prior``, ``affinity``, ``taste``, ``demoted`` and ``ranked``, best first by ``place``.
+
+    Counters are those of ``counters`` by (token, asset_id), by asset_id, and by (user_id, facet); what has none counts as nothing.
+    """
+    token = by_token.select("token", "asset_id", F.col("clicks").alias("t_clicks"), F.col("shown").alias("t_shown"))
+    asset = by_asset.select("asset_id", F.col("clicks").alias("a_clicks"))
+    own = by_taste.groupBy("user_id").agg(F.sum("clicks").alias("u_all"))
+    taste = by_taste.join(own, "user_id").select("user_id", "facet", (F.col("clicks") / F.nullif(F.col("u_all"), F.lit(0.0))).alias("u_share"))
+    joined = results.join(token, ["token", "asset_id"], "left").join(asset, "asset_id", "left").join(taste, ["user_id", "facet"], "left")
+    some = lambda c: F.coalesce(c, F.lit(0.0))
+    signals = {
+        "prior": how.uses * F.log1p(some("a_clicks")),
+        "affinity": how.clicks * some(F.col("t_clicks") / (F.col("t_shown") + 1)),
+        "taste": how.taste * some("u_share"),
+        "demoted": F.coalesce((F.col("t_shown") >= how.least_shown) & (F.col("t_clicks") < how.least_clicks), F.lit(False)),
+    }
+    scored = joined.withColumns(signals)
+    ranked = (F.col("score") + F.col("prior") + F.col("affinity") + F.col("taste")) * F.when(F.col("demoted"), how.demoted).otherwise(1.0)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("ranked", 9)), "asset_id")
+    return scored.withColumn("ranked", ranked).withColumn("place", F.row_number().over(order)).select(*results.columns, *signals, "ranked", "place")
+
+
+def low_precision_tags(tags: DataFrame, by_asset: DataFrame, least: int, share: float) -> DataFrame:
+    """(run, tag, n, bad) of tags (asset_id, tag, source, rejected, run) that a model gave and whose assets are rejected or never clicked in ``share`` of ``least`` cases and more."""
+    told = tags.filter(F.col("source") == "ai").join(by_asset.select("asset_id", "clicks", "shown"), "asset_id", "left")
+    bad = F.coalesce("rejected", F.lit(False)) | (F.coalesce("shown", F.lit(0.0)) > 0) & (F.coalesce("clicks", F.lit(0.0)) == 0)
+    counted = told.groupBy("run", "tag").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    return counted.filter((F.col("n") >= least) & (F.col("bad") >= share * F.col("n")))
+
+
 def alias_pairs(terms: DataFrame, least: int, similar: float) -> DataFrame:
     """Terms (id, term) that occur on much the same ids: (term_a, term_b, n_both, jaccard).
 
@@ -109,6 +176,43 @@ def token_index(df: DataFrame, weights: dict[str, int]) -> DataFrame:
     return reduce(DataFrame.unionByName, each).groupBy("token", "id").agg(F.sum("w").alias("weight"))
 
 
+def asset_facets(df: DataFrame, names: list[str]) -> DataFrame:
+    """(id, facet, value) of the facets that each row has."""
+    held = F.map_filter(F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))]), lambda _, v: v.isNotNull())
+    return df.select("id", F.explode(held).alias("facet", "value"))
+
+
+def reindex_queue(before: DataFrame, after: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, reason) of rows that an index has to look at again: added, removed, or changed in ``fields``."""
+    mark = F.xxhash64(*[F.struct(F.col(f).isNull(), F.col(f)) for f in fields])
+    told = before.select("id", F.lit(True).alias("was"), mark.alias("old")).join(after.select("id", F.lit(True).alias("here"), mark.alias("new")), "id", "full")
+    reason = F.when(F.col("was").isNull(), "added").when(F.col("here").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
+    return told.select("id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
+def alias_queue(index: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, reason) of rows that hold a word whose alias (alias, term) has changed: without them a merge would not show."""
+    words = aliases.select(F.explode(F.array("alias", "term")).alias("token")).distinct()
+    return index.join(words, "token", "left_semi").select("id", F.lit("alias").alias("reason")).distinct()
+
+
+def index_changes(index: DataFrame, after: DataFrame, queue: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What changes in an index that ``build`` makes of rows: its rows with ``change``, -1 for those that go and 1 for those that come.
+
+    Only rows of the queue are built again; what comes out as it was is no change.
+    """
+    touched = queue.select("id").distinct()
+    old, new = index.join(touched, "id", "left_semi"), build(after.join(touched, "id", "left_semi"))
+    signed = old.withColumn("change", F.lit(-1)).unionByName(new.withColumn("change", F.lit(1)))
+    return signed.groupBy(*index.columns).agg(F.sum("change").cast("int").alias("change")).filter("change <> 0")
+
+
+def index_applied(index: DataFrame, changes: DataFrame) -> DataFrame:
+    """``index`` after ``changes``; its other rows aren't built again."""
+    gone = changes.filter("change < 0").select(*index.columns)
+    return index.join(gone, index.columns, "left_anti").unionByName(changes.filter("change > 0").select(*index.columns))
+
+
 def agreement(df: DataFrame, by: str) -> DataFrame:
     """Precision and recall of ``told`` against ``truth``; null where nothing was told or true."""
     truth, told = F.col("truth"), F.col("told")

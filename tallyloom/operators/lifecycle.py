@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 TRANSFERS = {"not_queued": ("queued",), "queued": ("in_flight", "not_queued"), "in_flight": ("transferred", "failed"), "failed": ("queued",), "transferred": ()}
 BATCH_LIMIT = 60
 TIERS = ("ample", "standard", "constrained")
+MB = 1024 * 1024
+#: What a tier allows.
+PROFILES = {
+    "ample": {"frame_floor": 5, "frame_ceiling": 7, "decode_concurrency": 4, "frame_long_edge": 480, "jpeg_quality": 0.72, "upload_concurrency": 4, "chunk_bytes": 8 * MB, "max_local_original_bytes": 2048 * MB},
+    "standard": {"frame_floor": 4, "frame_ceiling": 6, "decode_concurrency": 2, "frame_long_edge": 480, "jpeg_quality": 0.7, "upload_concurrency": 2, "chunk_bytes": 4 * MB, "max_local_original_bytes": 1024 * MB},
+    "constrained": {"frame_floor": 3, "frame_ceiling": 3, "decode_concurrency": 1, "frame_long_edge": 360, "jpeg_quality": 0.66, "upload_concurrency": 2, "chunk_bytes": 2 * MB, "max_local_original_bytes": 512 * MB},
+}
 CODECS = {"avc1": "h264", "avc3": "h264", "hvc1": "hevc", "hev1": "hevc", "av01": "av1", "vp09": "vp9", "apch": "prores", "apcn": "prores", "mp4v": "mpeg4"}
 
 
@@ -61,10 +68,69 @@ def graded_tier(cores: Column, memory_gb: Column, coarse_pointer: Column, has_wo
 
 
 def ingest_tier(tier: Column, files: Column) -> Column:
-    """A large batch goes one tier down; a tier never goes up."""
+    """A large batch makes an ample device a standard one; a tier never goes up."""
+    return F.when((tier == TIERS[0]) & (F.coalesce(files, F.lit(0)) > BATCH_LIMIT), TIERS[1]).otherwise(tier)
+
+
+def profile(tier: Column, name: str) -> Column:
+    """A number of a tier's profile."""
+    out = F.lit(None)
+    for t in TIERS:
+        out = F.when(tier == t, F.lit(PROFILES[t][name])).otherwise(out)
+    return out
+
+
+def frame_count(duration_s: Column, tier: Column) -> Column:
+    """Three frames and one for each three seconds, as far as the tier allows; its least for a length that isn't known."""
+    known = duration_s.isNotNull() & ~F.isnan(duration_s) & (F.abs(duration_s) != float("inf")) & (duration_s > 0)
+    wished = 3 + F.floor(duration_s / 3 + 0.5)
+    floor, ceiling = profile(tier, "frame_floor"), profile(tier, "frame_ceiling")
+    return F.when(known, F.least(ceiling, F.greatest(floor, wished))).otherwise(floor).cast("int")
+
+
+def sheet_layout(frames: Column) -> Column:
+    """The sheet of so many frames: one row of three to seven."""
+    return F.concat(F.lit("1x"), F.least(F.lit(7), F.greatest(F.lit(3), frames)).cast("string"))
+
+
+def _rung(tier: Column) -> Column:
+    """How far down the ladder a tier is, from 1; null for what is no tier."""
     place = F.array_position(F.array(*[F.lit(t) for t in TIERS]), tier)
-    lower = F.least(place + F.when(files > BATCH_LIMIT, 1).otherwise(0), F.lit(len(TIERS)))
-    return F.element_at(F.array(*[F.lit(t) for t in TIERS]), lower.cast("int"))
+    return F.when(place > 0, place)
+
+
+def downgrades(sessions: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` (session_id, ord, to, reason) with ``before``, ``after`` and ``taken``: a running worst rung over each session.
+
+    A session (session_id, tier, files) begins at its tier, or lower for a large batch; a request is taken if it asks for a lower
+    tier than any before it.  Requests to what is no tier, and those of unknown sessions, aren't taken.
+    """
+    begun = sessions.select("session_id", _rung(ingest_tier(F.col("tier"), F.col("files"))).alias("start"))
+    earlier = Window.partitionBy("session_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    asked = requests.join(begun, "session_id", "left").withColumn("rung", _rung(F.col("to")))
+    worst = F.greatest("start", F.max("rung").over(earlier))
+    told = asked.withColumn("worst", worst).withColumn("taken", F.coalesce(F.col("rung") > F.col("worst"), F.lit(False)))
+    name = lambda place: F.get(F.array(*[F.lit(t) for t in TIERS]), place - 1)
+    return told.select("session_id", "ord", "to", "reason", name(F.col("worst")).alias("before"), name(F.when(F.col("taken"), F.col("rung")).otherwise(F.col("worst"))).alias("after"), "taken")
+
+
+def ingest_policy(sessions: DataFrame, requests: DataFrame) -> DataFrame:
+    """Each session's policy after its requests: the tier, its numbers, and why it went down, in order.
+
+    ``sessions``: session_id, tier, files, has_worker.  A session goes down twice at most, so its notes are few.
+    """
+    down = downgrades(sessions, requests).filter("taken")
+    note = F.concat("before", F.lit(" -> "), "after", F.lit(": "), F.coalesce("reason", F.lit("")))
+    noted = down.groupBy("session_id").agg(F.max_by("after", "ord").alias("lowest"), F.transform(F.array_sort(F.collect_list(F.struct("ord", note.alias("note")))), lambda x: x["note"]).alias("notes"))
+    joined = sessions.join(noted, "session_id", "left")
+    large = (F.col("tier") == TIERS[0]) & (F.coalesce("files", F.lit(0)) > BATCH_LIMIT)
+    first = F.array_compact(F.array(
+        F.when(~F.coalesce("has_worker", F.lit(False)), F.lit("no_worker: extraction runs on the main thread, so concurrency is capped")),
+        F.when(large, F.concat(F.lit("large_batch: "), F.col("files").cast("string"), F.lit(" files, so concurrency is reduced"))),
+    ))
+    tier = F.coalesce("lowest", ingest_tier(F.col("tier"), F.col("files")))
+    out = joined.select("session_id", tier.alias("tier"), F.concat(first, F.coalesce("notes", F.array().cast("array<string>"))).alias("downgrades"))
+    return out.select("session_id", "tier", *[profile(F.col("tier"), n).alias(n) for n in PROFILES[TIERS[0]]], "downgrades")
 
 
 def sample_offsets(runs: DataFrame, key: str) -> DataFrame:

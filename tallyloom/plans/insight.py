@@ -367,3 +367,116 @@ def sessions(t: Tables) -> DataFrame:
 def rebuilt_projection(t: Tables) -> DataFrame:
     runs = t.events.select(F.col("user_id").alias("subject_id"), F.col("event_type").alias("kind"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), "value")
     return rebuilt(runs, ["value"])
+
+
+HALF_LIFE_MS = 30 * 86_400_000.0
+#: The faded sums of all events at the last one's time, and of them by what is asked.
+_LOG_SQL = """
+e AS (SELECT user_id, 'k' || (user_id % 20) AS token, event_id % 25 AS asset_id, 'f' || (event_id % 25 % 4) AS facet, event_type = 'click' AS clicked, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type IN ('click', 'view')),
+w AS (SELECT *, pow(0.5, ((SELECT max(ms) FROM e) - ms) / 2592000000.0) AS weight FROM e)"""
+
+
+def _log(t: Tables) -> DataFrame:
+    asset = F.col("event_id") % 25
+    return t.events.filter(F.col("event_type").isin("click", "view")).select(
+        "user_id", F.concat(F.lit("k"), (F.col("user_id") % 20).cast("string")).alias("token"), asset.alias("asset_id"), F.concat(F.lit("f"), (asset % 4).cast("string")).alias("facet"),
+        (F.col("event_type") == "click").alias("clicked"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), (F.dayofmonth("ts") % 3).alias("batch"),
+    )
+
+
+def _counted(log: DataFrame, keys: list[str]) -> DataFrame:
+    """Counters of three batches of days, merged without a second look at the events."""
+    return demand.merged_counters([demand.counters(log.filter(F.col("batch") == b), keys, HALF_LIFE_MS) for b in (2, 0, 1)], keys, HALF_LIFE_MS)
+
+
+@plans.add(
+    "q90_decayed_counters",
+    f"WITH {_LOG_SQL} SELECT token, asset_id, round(sum(CASE WHEN clicked THEN weight ELSE 0 END), 6) AS clicks, round(sum(weight), 6) AS shown, (SELECT max(ms) FROM e) AS at_ms FROM w GROUP BY 1, 2",
+)
+def decayed_counters(t: Tables) -> DataFrame:
+    return _counted(_log(t), ["token", "asset_id"]).withColumns({c: F.round(c, 6) for c in ("clicks", "shown")}).withColumnRenamed("at", "at_ms")
+
+
+@plans.add(
+    "q91_reranked",
+    f"""
+WITH {_LOG_SQL},
+t AS (SELECT token, asset_id, sum(CASE WHEN clicked THEN weight ELSE 0 END) AS clicks, sum(weight) AS shown FROM w GROUP BY 1, 2),
+a AS (SELECT asset_id, sum(CASE WHEN clicked THEN weight ELSE 0 END) AS clicks FROM w GROUP BY 1),
+u AS (SELECT user_id, facet, sum(CASE WHEN clicked THEN weight ELSE 0 END) AS clicks FROM w GROUP BY 1, 2),
+s AS (SELECT user_id, facet, clicks / nullif(sum(clicks) OVER (PARTITION BY user_id), 0) AS share FROM u),
+r AS (SELECT DISTINCT user_id AS query_id, user_id, token, k AS asset_id, 'f' || (k % 4) AS facet, (k * 7 + user_id) % 10 / 10.0 AS score FROM e, range(25) x(k)),
+j AS (SELECT r.*, ln(1 + coalesce(a.clicks, 0)) AS prior, 2 * coalesce(t.clicks / (t.shown + 1), 0) AS affinity, coalesce(s.share, 0) AS taste, coalesce(t.shown >= 2 AND t.clicks < 0.5, false) AS demoted
+  FROM r LEFT JOIN t USING (token, asset_id) LEFT JOIN a USING (asset_id) LEFT JOIN s ON s.user_id = r.user_id AND s.facet = r.facet),
+k AS (SELECT *, (score + prior + affinity + taste) * CASE WHEN demoted THEN 0.5 ELSE 1 END AS ranked FROM j)
+SELECT query_id, asset_id, demoted, round(ranked, 6) AS ranked, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(ranked, 9) DESC, asset_id) AS INTEGER) AS place FROM k QUALIFY place <= 5
+""",
+)
+def reranked(t: Tables) -> DataFrame:
+    """The five best of 25 assets for each user, by what was clicked for the token, at all, and by that user."""
+    log = _log(t)
+    asked = log.select("user_id", "token").distinct().select(F.col("user_id").alias("query_id"), "user_id", "token", F.explode(F.sequence(F.lit(0), F.lit(24))).alias("asset_id"))
+    results = asked.select("*", F.concat(F.lit("f"), (F.col("asset_id") % 4).cast("string")).alias("facet"), ((F.col("asset_id") * 7 + F.col("user_id")) % 10 / 10.0).alias("score"))
+    ranked = demand.reranked(results, _counted(log, ["token", "asset_id"]), _counted(log, ["asset_id"]), _counted(log, ["user_id", "facet"]), demand.Signals(least_shown=2.0))
+    return ranked.filter("place <= 5").select("query_id", "asset_id", "demoted", F.round("ranked", 6).alias("ranked"), "place")
+
+
+_NAMES_SQL = "SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN p_name || ' ' || p_brand ELSE p_name END AS text, p_type AS kind FROM part WHERE p_partkey % 17 <> 0"
+
+
+@plans.add(
+    "q92_index_upkeep",
+    rf"""
+WITH n AS ({_NAMES_SQL}), w AS (SELECT id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS token, 2 AS weight FROM n UNION ALL SELECT id, unnest(regexp_split_to_array(lower(kind), '[^a-z0-9_]+')), 1 FROM n)
+SELECT token, id, CAST(sum(weight) AS BIGINT) AS weight FROM w WHERE token <> '' GROUP BY 1, 2
+""",
+)
+def index_upkeep(t: Tables) -> DataFrame:
+    """An index of names kept up through two batches of changes: some parts renamed, then some removed."""
+    weights = {"text": 2, "kind": 1}
+    build = lambda rows: demand.token_index(rows, weights)
+    first = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_type").alias("kind"), "p_brand")
+    second = first.withColumn("text", F.when(F.col("id") % 10 == 0, F.concat_ws(" ", "text", "p_brand")).otherwise(F.col("text")))
+    third = second.filter(F.col("id") % 17 != 0)
+    index = build(first)
+    for before, after in ((first, second), (second, third)):
+        queue = demand.reindex_queue(before, after, list(weights))
+        index = demand.index_applied(index, demand.index_changes(index, after, queue, build))
+    return index
+
+
+@plans.add(
+    "q93_facet_upkeep",
+    "WITH n AS (SELECT p_partkey AS id, p_brand, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_type END AS p_type FROM part) SELECT id, 'p_brand' AS facet, p_brand AS value FROM n UNION ALL SELECT id, 'p_type', p_type FROM n WHERE p_type IS NOT NULL",
+)
+def facet_upkeep(t: Tables) -> DataFrame:
+    """Facets of parts after some containers are taken back."""
+    names = ["p_brand", "p_type"]
+    build = lambda rows: demand.asset_facets(rows, names)
+    before = t.part.select(F.col("p_partkey").alias("id"), *names)
+    after = before.withColumn("p_type", F.when(F.col("id") % 9 != 0, F.col("p_type")))
+    index = build(before)
+    return demand.index_applied(index, demand.index_changes(index, after, demand.reindex_queue(before, after, names), build))
+
+
+@plans.add(
+    "q94_ingest_policy",
+    """
+WITH s AS (SELECT c_custkey AS session_id, list_extract(['ample', 'standard', 'constrained'], c_custkey % 3 + 1) AS tier, c_custkey % 7 * 20 AS files, c_custkey % 5 <> 0 AS has_worker FROM customer),
+b AS (SELECT *, CASE WHEN tier = 'ample' AND files > 60 THEN 2 ELSE list_position(['ample', 'standard', 'constrained'], tier) END AS start FROM s),
+q AS (SELECT o_custkey AS session_id, o_orderkey AS ord, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rung FROM orders),
+r AS (SELECT q.*, b.start, greatest(b.start, coalesce(max(CASE WHEN rung <= 3 THEN rung END) OVER (PARTITION BY q.session_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS worst FROM q JOIN b USING (session_id)),
+d AS (SELECT session_id, max(rung) AS lowest, string_agg(list_extract(['ample', 'standard', 'constrained'], worst) || ' -> ' || list_extract(['ample', 'standard', 'constrained'], rung) || ': order ' || ord, '; ' ORDER BY ord) AS notes FROM r WHERE rung <= 3 AND rung > worst GROUP BY 1),
+f AS (SELECT b.*, coalesce(d.lowest, b.start) AS rung, notes FROM b LEFT JOIN d USING (session_id))
+SELECT session_id, list_extract(['ample', 'standard', 'constrained'], rung) AS tier, CAST(list_extract([4, 2, 1], rung) AS INTEGER) AS decode_concurrency, CAST(list_extract([480, 480, 360], rung) AS INTEGER) AS frame_long_edge, list_extract([0.72, 0.7, 0.66], rung)::DOUBLE AS jpeg_quality,
+  concat_ws('; ', CASE WHEN NOT has_worker THEN 'no_worker: extraction runs on the main thread, so concurrency is capped' END, CASE WHEN tier = 'ample' AND files > 60 THEN 'large_batch: ' || files || ' files, so concurrency is reduced' END, notes) AS downgrades FROM f
+""",
+)
+def ingest_policies(t: Tables) -> DataFrame:
+    """Customers are sessions of devices, their orders requests for a tier, some of which there is none."""
+    tier = F.element_at(F.array(*map(F.lit, lifecycle.TIERS)), (F.col("c_custkey") % 3 + 1).cast("int"))
+    sessions = t.customer.select(F.col("c_custkey").alias("session_id"), tier.alias("tier"), (F.col("c_custkey") % 7 * 20).alias("files"), (F.col("c_custkey") % 5 != 0).alias("has_worker"))
+    asked = F.get(F.array(*map(F.lit, lifecycle.TIERS)), F.substring("o_orderpriority", 1, 1).cast("int") - 1)
+    requests = t.orders.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("ord"), asked.alias("to"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("reason"))
+    policy = lifecycle.ingest_policy(sessions, requests)
+    return policy.select("session_id", "tier", "decode_concurrency", "frame_long_edge", "jpeg_quality", F.array_join("downgrades", "; ").alias("downgrades"))

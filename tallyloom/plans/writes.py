@@ -27,7 +27,7 @@ def written(t: Tables) -> Batches:
     writer = writers.Writer(book, manager("o1", "u1"), "device-1", lambda: next(ticks))
     key = F.col("o_orderkey")
     orders = t.orders.withColumn("id", F.concat(F.lit("a"), key.cast("string")))
-    writer.create("made", "asset", orders.select("id", F.col("o_clerk").alias("filename"), F.col("o_orderpriority").alias("branch_id"), (F.col("o_orderstatus") == "F").alias("is_published")))
+    writer.create("made", "asset", orders.select("id", F.concat(F.lit("clip-"), "id", F.lit(".mp4")).alias("filename"), F.col("o_orderpriority").alias("branch_id"), (F.col("o_orderstatus") == "F").alias("is_published")))
     urgent = F.when(F.col("o_orderpriority") < "3", "true").otherwise("false")
     writer.patch("changed", "asset", orders.filter(key % 3 == 0).select("id", F.create_map(F.lit("is_published"), urgent, F.lit("bytes"), key.cast("string")).alias("changes")))
     writer.patch("moved", "asset", orders.filter(key % 5 == 0).select("id", F.create_map(F.lit("upload_state"), F.lit('"sent"')).alias("changes")))
@@ -43,7 +43,7 @@ _PUBLISHED = "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority < '3' ELSE o_ord
     f"""
 SELECT 'a' || o_orderkey AS id, 'o1' AS org_id, CAST(1 + (o_orderkey % 3 = 0)::INT + (o_orderkey % 5 = 0)::INT + (o_orderkey % 7 = 0)::INT AS BIGINT) AS rev, CAST(1000 AS BIGINT) AS created_at,
   CAST(CASE WHEN o_orderkey % 7 = 0 THEN 4000 WHEN o_orderkey % 5 = 0 THEN 3000 WHEN o_orderkey % 3 = 0 THEN 2000 ELSE 1000 END AS BIGINT) AS updated_at,
-  CAST(CASE WHEN o_orderkey % 7 = 0 THEN 4000 END AS BIGINT) AS deleted_at, o_clerk AS filename, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS BIGINT) AS bytes,
+  CAST(CASE WHEN o_orderkey % 7 = 0 THEN 4000 END AS BIGINT) AS deleted_at, 'clip-a' || o_orderkey || '.mp4' AS filename, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS BIGINT) AS bytes,
   {_PUBLISHED} AS is_published, CAST({_PUBLISHED} AS INTEGER) AS is_published_i, CASE WHEN o_orderkey % 5 = 0 THEN 'sent' END AS upload_state
 FROM orders
 """,
