@@ -216,7 +216,8 @@ def _linked(paths: Vocabularies):
             holder = np.repeat(np.arange(size), [len(t[5]) for t in told])
             a = pairs // wide
             stripe, place = a % STRIPES, a // STRIPES * wide + pairs % wide
-            order = np.lexsort((holder, place, stripe))
+            # holders ascend already
+            order = np.argsort(stripe * (-(-len(both.a) // STRIPES) * wide) + place, kind="stable")
             stripe, place, holder, times = stripe[order], place[order], holder[order], times[order]
             named, starts = np.unique(stripe, return_index=True)
             packed: list[tuple[bytes, bytes]] = []
