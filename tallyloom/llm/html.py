@@ -59,7 +59,8 @@ _ENDED_BY = {
     "head": (frozenset(["body"]), frozenset()),
 }
 #: Words of class, id and role that name what surrounds a text.  The first ones hide text even if little else is left.
-_CERTAIN = frozenset("ad ads advert adverts advertisement comment comments cookie cookies disqus footer menu nav navbar navigation newsletter sidebar".split())
+_COMMENTS = frozenset("comment comments commentlist commentarea commentform commentsection commentthread".split())
+_CERTAIN = _COMMENTS | frozenset("ad ads advert adverts advertisement cookie cookies disqus footer menu nav navbar navigation newsletter sidebar".split())
 _LIKELY = _CERTAIN | frozenset("banner breadcrumb breadcrumbs complementary consent contentinfo gdpr header masthead modal notice notices pagination popup promo promos promoted related respond search share sharing social sponsor sponsored subscribe toolbar widget".split())
 
 _TOKEN = re.compile(
@@ -106,7 +107,7 @@ def _named(attributes: str) -> tuple[bool, bool, bool]:
             certain |= token in _CERTAIN
             parts = re.split(r"[-_]", token)
             likely |= any(p in _LIKELY for p in parts)
-            comment |= token in ("comment", "comments")
+            comment |= token in _COMMENTS
     return likely, certain, comment
 
 

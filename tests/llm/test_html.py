@@ -76,6 +76,13 @@ def test_what_surrounds_goes_even_if_it_is_longer():
     assert main_text(f"<form><div><p>{LONG}</p></div></form>") == LONG
 
 
+@pytest.mark.parametrize("names", ["class=commentlist", "class='thread commentlist'", "id=commentsection", "class=comments"])
+def test_reader_comments_go_within_the_text_too(names):
+    shown = f"<main><h1>T</h1><p>{LONG}</p><ol {names}><li><p>Nice: {LONG}</p></li><li>Me too, {LONG}</li></ol></main>"
+    assert main_text(shown) == f"T\n\n{LONG}"
+    assert main_text(f"<article><p class=commentary>{LONG}</p></article>") == LONG
+
+
 def test_nothing_to_extract():
     assert [main_text(p) for p in (None, "", "<html></html>", "<script>x</script>", "<!-- x", "<nav>a</nav>")] == [""] * 6
     assert main_text("plain words") == "plain words"
