@@ -278,3 +278,30 @@ def bytes_text(n: Column | str) -> Column:
         .when(x < 1024**3, F.format_string("%.1f MB", x / 1024**2))
         .otherwise(F.format_string("%.2f GB", x / 1024**3))
     )
+
+
+def utf16_length(text: Column | str) -> Column:
+    """The length of a text in UTF-16 units, of which characters beyond U+FFFF take two."""
+    return F.char_length(c(text)) + F.regexp_count(c(text), F.lit(r"[\x{10000}-\x{10FFFF}]"))
+
+
+def utf16_prefix(text: Column | str, most: int) -> Column:
+    """The longest start of a text of no more than ``most`` UTF-16 units; no character is halved."""
+    start = F.substring(c(text), 1, most)
+    # at most half of it is too much, and each character in the rest takes one unit or two
+    fits = lambda n: utf16_length(F.substr(start, F.lit(1), n)) <= most
+    lengths = F.filter(F.sequence(F.greatest(F.char_length(start) - most // 2 - 1, F.lit(0)), F.char_length(start)), fits)
+    return F.when(utf16_length(start) <= most, start).otherwise(F.substr(start, F.lit(1), F.array_max(lengths)))
+
+
+def fitted_body(text: Column | str, most: int = 900) -> Column:
+    """A text of paragraphs within ``most`` UTF-16 units: last paragraphs go, down to two, before a sentence is cut."""
+
+    def fitted(parts: Column) -> Column:
+        start = lambda k: F.array_join(F.slice(parts, 1, k), "\n\n")
+        counts = F.filter(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda k: utf16_length(start(k)) <= most)
+        return utf16_prefix(start(F.coalesce(F.array_max(counts), F.lit(2))), most)
+
+    # each paragraph takes two units at least, so no more of them can fit; bound once, not for each count
+    parts = F.slice(F.split(c(text), "\n\n"), 1, max(2, most // 2 + 1))
+    return F.when(utf16_length(text) <= most, c(text)).otherwise(F.get(F.transform(F.array(parts), fitted), F.lit(0)))

@@ -139,6 +139,20 @@ def first_priors(clips: DataFrame, distance: int, by: list[str] | None = None, c
     return found.select(*by, "id", F.col("best.first.id").alias("prior_id"), "best.n", "best.median", "best.least", "best.most")
 
 
+def upload_batch(uploads: DataFrame, distance: int, by: list[str] | None = None) -> DataFrame:
+    """What becomes of a batch of files (id, ord, hashes, known, junk, blocked): (id, state, prior_id).
+
+    Junk is counted and not compared; blocked files stay listed and join nothing; others are stored, duplicates too,
+    and name the earliest of what the library knows and of what was stored before them that they duplicate.
+    """
+    by = by or []
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False))
+    state = F.when(flag("known"), "known").when(flag("junk"), "filtered").when(flag("blocked"), "blocked").otherwise("stored")
+    told = uploads.select(*by, "id", F.struct((~flag("known")).alias("late"), "ord").alias("ord"), "hashes", state.alias("state"))
+    priors = first_priors(told.filter("state <> 'filtered'"), distance, by, compared=F.col("state").isin("known", "stored"))
+    return told.join(priors.select(*by, "id", "prior_id"), [*by, "id"], "left").select(*by, "id", "state", F.when(F.col("state") != "known", F.col("prior_id")).alias("prior_id"))
+
+
 def accepted_in_order(clips: DataFrame, distance: int, by: list[str] | None = None) -> DataFrame:
     """Each clip (id, ord, hashes, known) in turn is accepted unless an accepted one before it is near: (id, accepted, prior_id).
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyloom.functions.canonical import uuid7
+
 #: Fixed values.
 TRANSFERS = {"not_queued": ("queued",), "queued": ("in_flight", "not_queued"), "in_flight": ("transferred", "failed"), "failed": ("queued",), "transferred": ()}
 BATCH_LIMIT = 60
@@ -155,3 +157,35 @@ def opened(asked: DataFrame, tokens: DataFrame, collabs: DataFrame, creators: Da
     fine = F.col("revoked_at").isNull() & F.col("there")
     outcome = F.when(F.col("collab_id").isNull(), "unknown").when(F.coalesce(fine, F.lit(False)), "ok").otherwise("refused")
     return joined.select(*asked.columns, outcome.alias("outcome"), F.when(outcome == "ok", F.col("creator_id")).alias("creator_id"))
+
+
+#: Fixed value: how long an invitation holds.
+INVITE_MS = 14 * 86_400_000
+
+
+def invited(briefs: DataFrame, now_ms: int, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens for briefs (id, collab_id): what is shown once (brief_id, raw), and what is stored, which holds their hashes alone.
+
+    The same briefs, time and seed give the same tokens, so a job that is run again shows what it stored.
+    """
+    counter = F.pmod(F.xxhash64("id"), F.lit(4096))
+    raw = F.concat(F.lit("invite-"), uuid7(F.lit(now_ms), counter, F.lit(seed), F.col("id")))
+    minted = briefs.select(F.col("id").alias("brief_id"), "collab_id", raw.alias("raw"))
+    stored = minted.select(
+        "collab_id", F.sha2("raw", 256).alias("token_hash"), F.lit("upload").alias("purpose"), F.lit(now_ms + INVITE_MS).cast("long").alias("expires_at"), F.lit(None).cast("long").alias("revoked_at")
+    )
+    return minted.select("brief_id", "raw"), stored
+
+
+def consent_gate(collabs: DataFrame, consents: DataFrame, briefs: DataFrame, items: DataFrame) -> DataFrame:
+    """(collab_id, goes, consent_id, brief_id, items): where an invitation leads, by the records of consent and not by what a collab says of them.
+
+    A creator who has agreed goes to the upload, by the last record (created_at, id); others are shown the collab's locked
+    brief, its first one if none is, with the items' ids in their order.
+    """
+    last = consents.groupBy("collab_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("consent_id"))
+    shown = briefs.groupBy("collab_id").agg(F.min(F.struct((F.col("status") != "locked").alias("open"), "id")).alias("b")).select("collab_id", F.col("b.id").alias("brief_id"))
+    listed = items.groupBy("brief_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "id"))), lambda x: x["id"]).alias("items"))  # those of one brief
+    joined = collabs.select(F.col("id").alias("collab_id")).join(last, "collab_id", "left").join(shown, "collab_id", "left").join(listed, "brief_id", "left")
+    agreed = F.col("consent_id").isNotNull()
+    return joined.select("collab_id", F.when(agreed, "upload").otherwise("agree").alias("goes"), "consent_id", F.when(~agreed, F.col("brief_id")).alias("brief_id"), F.when(~agreed, F.coalesce("items", F.array().cast("array<string>"))).alias("items"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import ascii_words
+from tallyloom.functions.scalars import ascii_words, fitted_body
 from tallyloom.operators import boards, capabilities, demand, lifecycle, rules
 from tallyloom.sources.tables import bytes_by_kind
 from tallyloom.streaming.sync import rebuilt, review_sessions
@@ -480,3 +480,38 @@ def ingest_policies(t: Tables) -> DataFrame:
     requests = t.orders.select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("ord"), asked.alias("to"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("reason"))
     policy = lifecycle.ingest_policy(sessions, requests)
     return policy.select("session_id", "tier", "decode_concurrency", "frame_long_edge", "jpeg_quality", F.array_join("downgrades", "; ").alias("downgrades"))
+
+
+@plans.add(
+    "q98_consent_gate",
+    """
+WITH c AS (SELECT c_custkey AS collab_id FROM customer), r AS (SELECT o_custkey AS collab_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS consent_id FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+b AS (SELECT o_custkey AS collab_id, arg_min(o_orderkey, (o_orderpriority <> '1-URGENT', o_orderkey)) AS brief_id FROM orders GROUP BY 1),
+i AS (SELECT l_orderkey AS brief_id, string_agg(l_linenumber, ',' ORDER BY l_linenumber DESC) AS items FROM lineitem GROUP BY 1)
+SELECT collab_id, CASE WHEN consent_id IS NULL THEN 'agree' ELSE 'upload' END AS goes, consent_id, CASE WHEN consent_id IS NULL THEN brief_id END AS brief_id, CASE WHEN consent_id IS NULL THEN coalesce(items, '') END AS items
+FROM c LEFT JOIN r USING (collab_id) LEFT JOIN b USING (collab_id) LEFT JOIN i USING (brief_id)
+""",
+)
+def consent_gates(t: Tables) -> DataFrame:
+    """Customers are collabs, their part orders consents, their orders briefs, urgent ones locked."""
+    orders = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("collab_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderpriority") == "1-URGENT", "locked").otherwise("draft").alias("status"), "o_orderstatus")
+    items = t.lineitem.select(F.col("l_orderkey").alias("brief_id"), (-F.col("l_linenumber")).alias("seq"), F.col("l_linenumber").cast("string").alias("id"))
+    gates = lifecycle.consent_gate(t.customer.select(F.col("c_custkey").alias("id")), orders.filter("o_orderstatus = 'P'"), orders, items)
+    return gates.withColumn("items", F.array_join("items", ","))
+
+
+@plans.add(
+    "q99_fitted_bodies",
+    r"""
+WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS body FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\x{10000}-\x{10FFFF}]')),
+p AS (SELECT *, string_split(body, chr(10) || chr(10)) AS parts FROM d),
+k AS (SELECT *, coalesce(list_max([n FOR n IN range(2, greatest(len(parts), 2) + 1) IF length(array_to_string(parts[:n], chr(10) || chr(10))) <= 900]), 2) AS n FROM p WHERE length(body) > 900)
+SELECT doc_id, sha256(body) AS body, length(body) AS n FROM d WHERE length(body) <= 900
+UNION ALL SELECT doc_id, sha256(left(array_to_string(parts[:n], chr(10) || chr(10)), 900)), length(left(array_to_string(parts[:n], chr(10) || chr(10)), 900)) FROM k
+""",
+)
+def fitted_bodies(t: Tables) -> DataFrame:
+    """Documents as drafts, whose lines are paragraphs, within the bound of a body."""
+    plain = t.documents.filter(F.col("text").isNotNull() & ~F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]"))
+    body = fitted_body(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    return plain.select("doc_id", body.alias("b")).select("doc_id", F.sha2("b", 256).alias("body"), F.char_length("b").cast("long").alias("n"))

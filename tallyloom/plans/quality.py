@@ -345,3 +345,19 @@ def hamming_to_first(t: Tables) -> DataFrame:
     hashed = frames(t).select("id", F.lpad(F.lower(F.hex("hash")), 16, "0").alias("hash"))
     first = hashed.filter("id = 0").select(F.col("hash").alias("first"))  # one row
     return hashed.join(F.broadcast(first)).select("id", hamming_hex("hash", "first").alias("hamming"))
+
+
+@plans.add(
+    "q97_upload_batch",
+    f"""
+WITH {_CLIPS_SQL}, {_PAIRS_SQL.format(where="")},
+u AS (SELECT id, CASE WHEN id % 11 = 5 THEN 'known' WHEN id % 13 = 1 THEN 'filtered' WHEN id % 7 = 3 THEN 'blocked' ELSE 'stored' END AS state, row_number() OVER (ORDER BY id % 11 = 5 DESC, id) AS step FROM z)
+SELECT a.id, a.state, CASE WHEN a.state NOT IN ('known', 'filtered') THEN arg_min(p.id, p.step) END AS prior_id
+FROM u a LEFT JOIN w ON w.id = a.id AND w.median <= {DISTANCE} LEFT JOIN u p ON p.id = w.other AND p.step < a.step AND p.state IN ('known', 'stored') GROUP BY a.id, a.state
+""",
+)
+def uploads(t: Tables) -> DataFrame:
+    """Clips as one upload: some are in the library, some are junk, some are blocked."""
+    sets = duplicates.frame_sets(clips(t)).withColumn("ord", F.col("id"))
+    flagged = sets.withColumns({"known": F.col("id") % 11 == 5, "junk": F.col("id") % 13 == 1, "blocked": F.col("id") % 7 == 3})
+    return duplicates.upload_batch(flagged, DISTANCE)
