@@ -21,7 +21,7 @@ TODAY = "1998-12-01"
     "q81_supply_deficits",
     f"""
 WITH a AS (SELECT l_suppkey % 25 AS cell, {REVIEW_SQL} AS review, l_linestatus = 'F' AND l_tax < 0.08 AS open, least(1, l_quantity / 64) + CASE WHEN l_linenumber = 7 THEN 0.5 ELSE 0 END AS weight,
-  CASE WHEN l_linenumber > 2 THEN l_linenumber ELSE 0 END AS used, CAST(l_shipdate AS DATE) AS day FROM lineitem WHERE l_partkey % 25 = l_suppkey % 25),
+  CASE WHEN l_linenumber > 2 THEN l_linenumber ELSE 0 END AS used, CAST(l_shipdate AS DATE) AS day FROM lineitem),
 u AS (SELECT *, review = 'approved' AND open AS usable FROM a),
 s AS (SELECT cell, count(*) FILTER (usable) AS usable, coalesce(sum(weight) FILTER (usable), 0) AS quality, date_diff('day', max(day) FILTER (usable), DATE '{TODAY}') AS days,
   round(count(*) FILTER (review = 'rejected') / count(*), 3) AS rejection_rate, round(max(used) FILTER (usable) / nullif(sum(used) FILTER (usable), 0), 3) AS concentration,
@@ -34,7 +34,7 @@ SELECT cell, demand, usable, rejection_rate, concentration, round(deficit, 3) AS
 """,
 )
 def supply_deficits(t: Tables) -> DataFrame:
-    clips = t.lineitem.filter(F.col("l_partkey") % 25 == F.col("l_suppkey") % 25).select(
+    clips = t.lineitem.select(
         (F.col("l_suppkey") % 25).alias("cell"),
         review().alias("review_status"),
         (F.col("l_linestatus") == "F").alias("is_published"),

@@ -100,12 +100,12 @@ def refinements(t: Tables) -> DataFrame:
 @plans.add(
     "q20_query_log_tokens",
     r"""
-WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(regexp_extract(text, '^[^\n]*')), '\s+'), lambda t: t <> '') AS tokens FROM documents)
+WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS tokens FROM documents)
 SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n, array_to_string(tokens, ' ') AS tokens FROM l
 """,
 )
 def log_tokens(t: Tables) -> DataFrame:
-    tokens = spaced_tokens(F.regexp_extract("text", r"^[^\n]*", 0))
+    tokens = spaced_tokens("text")
     return t.documents.select("doc_id", tokens.alias("t")).select("doc_id", F.size("t").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
