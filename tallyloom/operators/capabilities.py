@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions.scalars import brand_safety, bucket_score, duration_bounds, merged_provenance, normalised
+from tallyloom.functions.scalars import brand_safety, bucket_score, duration_bounds, merged_provenance, normalised, utf16_prefix
 from tallyloom.operators.integrity import known_terms
 
 #: Phrases that stand for terms (phrase, facet, term, confidence).
@@ -173,3 +173,62 @@ def replayed(requests: DataFrame, fixtures: DataFrame) -> DataFrame:
     """Requests with the recorded answer of their cache key, and whether there is one."""
     known = fixtures.dropDuplicates(["cache_key"]).select("cache_key", "output", F.lit(True).alias("_hit"))
     return requests.join(known, "cache_key", "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def supported_fields() -> Column:
+    """The fields of a vetting that may be cited: those that the request did fill; earlier collabs always, as none is evidence too."""
+    there = lambda name: F.coalesce(F.length(F.trim(name)) > 0, F.lit(False))
+    known = {
+        "display_name": there("display_name"), "primary_handle": there("primary_handle"), "platforms": F.coalesce(F.size("platforms") > 0, F.lit(False)),
+        "follower_count": F.coalesce(F.exists("platforms", lambda p: p["followers"].isNotNull()), F.lit(False)), "prior_collabs": F.lit(True),
+        "scorecard": there("scorecard_summary"), "application_note": there("application_note"),
+    }
+    return F.array_compact(F.array(*[F.when(holds, name) for name, holds in known.items()]))
+
+
+def vetted(df: DataFrame) -> DataFrame:
+    """``df`` with its ``reasons`` (claim, cited_field, direction) and ``risk_flags`` (code, quote_source, severity) as they may be shown.
+
+    Six reasons and five flags at most.  What cites a field that wasn't filled cites ``none``; a flag's quote is
+    cut from the request itself, or is what was injected into it.
+    """
+    fields = supported_fields()
+    reasons = F.transform(F.slice("reasons", 1, 6), lambda r: r.withField("cited_field", F.when(F.array_contains(fields, r["cited_field"]), r["cited_field"]).otherwise("none")))
+    start = lambda name: utf16_prefix(F.col(name), 300)
+    sources = {"application_note": start("application_note"), "scorecard_summary": start("scorecard_summary"), "injection_match": F.col("injected")}
+
+    def flag(f: Column) -> Column:
+        quote = F.lit(None).cast("string")
+        for name, text in sources.items():
+            quote = F.when(f["quote_source"] == name, text).otherwise(quote)
+        return F.struct(f["code"].alias("code"), quote.alias("evidence_quote"), f["severity"].alias("severity"))
+
+    return df.withColumns({"reasons": reasons, "risk_flags": F.transform(F.slice("risk_flags", 1, 5), flag)})
+
+
+def vocabulary_candidates(tokens: Column) -> Column:
+    """Words that nobody has mapped, as they were typed: the first twelve different ones, none invented."""
+    given = F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t != "")
+    return F.transform(F.slice(F.array_distinct(given), 1, 12), lambda t: utf16_prefix(t, 60))
+
+
+def phrased_cells(cells: DataFrame, authored: DataFrame) -> DataFrame:
+    """The first forty cells of each scan (scan_id, seq, cell_signature, facets, signal_summary) with ``title``, ``instruction``, ``rationale`` and ``detail``.
+
+    A signature comes back byte for byte, so that it joins its cell again.  Where nobody has written a title (authored:
+    cell_signature, title, instruction, rationale) facets and signals are read back; ``detail`` says of a scan whether all, none, or some of its titles were written.
+    """
+    first = cells.withColumn("place", F.row_number().over(Window.partitionBy("scan_id").orderBy("seq"))).filter(F.col("place") <= 40)
+    written = authored.dropDuplicates(["cell_signature"]).select("cell_signature", F.struct("title", "instruction", "rationale").alias("written"))
+    told = first.join(written, "cell_signature", "left")
+    readable = F.replace(F.replace(F.trim("facets"), F.lit("|"), F.lit(", ")), F.lit("_"), F.lit(" "))
+    plain = F.struct(
+        utf16_prefix(F.concat(F.lit("Uncovered: "), readable), 60).alias("title"),
+        utf16_prefix(F.concat(F.lit("Film one shot covering "), readable, F.lit(", vertical, one steady take.")), 200).alias("instruction"),
+        utf16_prefix(F.concat(F.lit("Computed from the supplied signals: "), F.coalesce("signal_summary", F.lit(""))), 200).alias("rationale"),
+    )
+    said = F.coalesce("written", plain)
+    scan = Window.partitionBy("scan_id")  # forty rows
+    some, every = F.count("written").over(scan), F.count("*").over(scan)
+    detail = F.when(some == every, "authored-fixture-v1").when(some == 0, "synthetic-v1").otherwise("authored-fixture-v1-partial")
+    return told.select("scan_id", "seq", "cell_signature", said["title"].alias("title"), said["instruction"].alias("instruction"), said["rationale"].alias("rationale"), F.col("written").isNotNull().alias("authored"), detail.alias("detail"))

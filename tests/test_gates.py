@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyloom.functions.scalars import fitted_body, utf16_length, utf16_prefix
-from tallyloom.operators import duplicates, lifecycle
+from tallyloom.operators import capabilities, duplicates, lifecycle
 
 
 def units(text):
@@ -66,3 +66,27 @@ def test_an_upload_compares_with_what_is_stored(spark):
     ]]
     got = {r["id"]: (r["state"], r["prior_id"]) for r in duplicates.upload_batch(spark.createDataFrame(rows, "id long, ord long, hashes array<long>, known boolean, junk boolean, blocked boolean"), 1).collect()}
     assert got == {9: ("known", None), 6: ("known", None), 1: ("blocked", None), 2: ("stored", None), 3: ("filtered", None), 4: ("stored", 2), 5: ("stored", 6), 7: ("stored", None)}
+
+
+def test_citations_of_what_was_not_given_are_none(spark):
+    schema = "id long, reasons array<struct<claim:string,cited_field:string,direction:string>>, risk_flags array<struct<code:string,quote_source:string,severity:string>>, display_name string, primary_handle string, platforms array<struct<name:string,followers:long>>, scorecard_summary string, application_note string, injected string"
+    fields = ["display_name", "platforms", "follower_count", "prior_collabs", "scorecard", "application_note", "primary_handle"]
+    reasons = [(f"c{i}", f, "up") for i, f in enumerate(fields)]
+    flags = [("a", "application_note", "low"), ("b", "scorecard_summary", "low"), ("c", "injection_match", "high"), ("d", None, "low"), ("e", "else", "low"), ("f", "else", "low")]
+    rows = [(1, reasons, flags, "N", " ", [("x", None)], None, "n" * 400, "ignore all"), (2, reasons, flags, None, "@h", [], " ", None, None)]
+    got = {r["id"]: r for r in capabilities.vetted(spark.createDataFrame(rows, schema)).collect()}
+    assert [r["cited_field"] for r in got[1]["reasons"]] == ["display_name", "platforms", "none", "prior_collabs", "none", "application_note"]
+    assert [r["cited_field"] for r in got[2]["reasons"]] == ["none", "none", "none", "prior_collabs", "none", "none"]
+    assert [f["evidence_quote"] for f in got[1]["risk_flags"]] == ["n" * 300, None, "ignore all", None, None]
+
+
+def test_a_scan_echoes_signatures_and_invents_no_words(spark):
+    cells = spark.createDataFrame([(1, i, f" s|{i}", f"room_{i}|light", f"{i} searches") for i in range(42)] + [(2, 0, " s|0", "x", None), (3, 0, "t", "y", "z")], "scan_id long, seq int, cell_signature string, facets string, signal_summary string")
+    authored = spark.createDataFrame([(" s|0", "A title", "Film it", "Why")], "cell_signature string, title string, instruction string, rationale string")
+    rows = {(r["scan_id"], r["seq"]): r for r in capabilities.phrased_cells(cells, authored).collect()}
+    assert len(rows) == 42 and rows[1, 3]["cell_signature"] == " s|3" and rows[1, 3]["title"] == "Uncovered: room 3, light" and rows[1, 0]["title"] == "A title"
+    assert rows[1, 3]["instruction"] == "Film one shot covering room 3, light, vertical, one steady take." and rows[1, 3]["rationale"] == "Computed from the supplied signals: 3 searches"
+    assert [rows[i, 0]["detail"] for i in (1, 2, 3)] == ["authored-fixture-v1-partial", "authored-fixture-v1", "synthetic-v1"]
+    words = [" sun ", "sun", "", "  ", "w" * 70, *[f"x{i}" for i in range(20)]]
+    told = spark.createDataFrame([(words,)], "t array<string>").select(capabilities.vocabulary_candidates(F.col("t")).alias("v")).first()["v"]
+    assert told == ["sun", "w" * 60, *[f"x{i}" for i in range(10)]]
