@@ -95,15 +95,8 @@ def byte_count(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
-def set_apart(df: DataFrame, needed: list[str], added: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
-    """``df`` with columns that an operator doesn't read under names that nothing clashes with, and how to give them back theirs.
-
-    Columns named like those that the operator adds are refused: they could not be told from them.  Names differ
-    without regard to case, as Spark's do.
-    """
-    clash = [c for c in df.columns if c.lower() in {a.lower() for a in added}]
-    if clash:
-        raise ValueError(f"columns of these names can't travel along: {clash}")
+def set_apart(df: DataFrame, needed: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with columns that an operator doesn't read under names that nothing clashes with, and how to give them back theirs."""
     names = {c: c if c in needed else f"_apart_{i}" for i, c in enumerate(df.columns)}
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 

@@ -173,8 +173,9 @@ def _told(model: LanguageFilter, wrong: np.ndarray, text: str | None) -> tuple[s
 
 
 def predicted(df: DataFrame, model: LanguageFilter, text_column: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``, which it may not have; nothing but the text is looked at."""
-    held, back = set_apart(df, [text_column], ("lang_pred", "score"))
+    """``df`` with ``lang_pred`` and ``score``, in place of columns of these names; nothing but the text is looked at."""
+    held, back = set_apart(df, [text_column])
+    kept = [b for c, b in zip(df.columns, back, strict=True) if c.lower() not in ("lang_pred", "score")]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     # the text alone goes to Python, and only the answer comes back
@@ -187,7 +188,7 @@ def predicted(df: DataFrame, model: LanguageFilter, text_column: str = "text") -
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     answered = held.select("*", told(text_column).alias("_lid_told"))
-    return answered.select(*back, "_lid_told.lang_pred", "_lid_told.score")
+    return answered.select(*kept, "_lid_told.lang_pred", "_lid_told.score")
 
 
 def labelled_rows(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,5 @@
 import shutil
 
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -84,10 +83,10 @@ def test_columns_of_any_name_keep_their_values_in_every_stage(spark):
         assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in names), name
 
 
-def test_columns_that_an_operator_adds_are_refused_or_replaced_as_it_says(spark):
+def test_columns_that_an_operator_adds_are_replaced_and_others_kept(spark):
     df = spark.createDataFrame([(1, "a b", "en", 1)], "doc_id long, text string, lang string, Score int")
-    with pytest.raises(ValueError, match="Score"):
-        language.predicted(df, language.fit(language.labelled_rows(df.drop("Score"))))
+    told = language.predicted(df.withColumn("_lid_told", F.lit("mine")), language.fit(language.labelled_rows(df)))
+    assert told.columns == ["doc_id", "text", "lang", "_lid_told", "lang_pred", "score"] and told.first()["_lid_told"] == "mine"
     sharded = pipeline.shard(spark, df.withColumn("Size", F.lit("mine")), FOLDER)
     assert sharded.columns == ["doc_id", "text", "lang", "Score", "size", "shard", "slot"] and sharded.first()["size"] == 4
     pages = spark.createDataFrame([(1, "<p>a b</p>", "x", "y")], "page_id long, html string, _lbd_html string, n_chars string")
