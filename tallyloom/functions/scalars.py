@@ -276,7 +276,7 @@ def bytes_text(n: Column | str) -> Column:
         F.when(x < 1024, F.concat(x.cast("long").cast("string"), F.lit(" B")))
         .when(x < 1024**2, F.format_string("%.1f KB", x / 1024))
         .when(x < 1024**3, F.format_string("%.1f MB", x / 1024**2))
-        .otherwise(F.format_string("%.2f GB", x / 1024**3))
+        .when(x.isNotNull(), F.format_string("%.2f GB", x / 1024**3))
     )
 
 
