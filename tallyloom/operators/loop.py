@@ -84,11 +84,14 @@ def brief_items(gaps: DataFrame, k: int) -> DataFrame:
 def covered_cells(cells: DataFrame, assets: DataFrame) -> DataFrame:
     """(gap_id, id): assets (id, facet, value) that have every facet of a gap (gap_id, facets).
 
-    A cover is counted, not compared pair by pair: facets and assets meet in an equi-join.
+    A cover is counted, not compared pair by pair: facets and profiles meet in an equi-join.
     A gap without known facets is covered by nothing here.
     """
     named = cells.select("gap_id", _cell().alias("cell"), "facets")
-    return named.select("gap_id", "cell").join(_covers(named, assets), "cell").select("gap_id", "id")
+    wanted = _wanted(named)
+    profiles = _profiles(wanted, assets)
+    met = named.select("gap_id", "cell").join(_covers(wanted, profiles.select("held").distinct()), "cell")
+    return met.join(profiles, "held").select("gap_id", "id")
 
 
 def _cell() -> Column:
@@ -96,11 +99,21 @@ def _cell() -> Column:
     return F.to_json(F.array_sort(F.map_entries("facets")))
 
 
-def _covers(named: DataFrame, assets: DataFrame) -> DataFrame:
-    """(cell, id) of gaps (cell, facets): a cell is looked for once, however many gaps have its facets."""
-    wanted = named.dropDuplicates(["cell"]).select("cell", F.explode("facets").alias("facet", "value"), F.size("facets").alias("need"))
-    met = wanted.join(assets.select("id", "facet", "value").distinct(), ["facet", "value"])
-    return met.groupBy("cell", "id", "need").agg(F.count("*").alias("met")).filter(F.col("met") == F.col("need")).select("cell", "id")
+def _wanted(named: DataFrame) -> DataFrame:
+    """(cell, facet, value, need) of gaps (cell, facets): a cell is looked for once, however many gaps have its facets."""
+    return named.dropDuplicates(["cell"]).select("cell", F.explode("facets").alias("facet", "value"), F.size("facets").alias("need"))
+
+
+def _profiles(wanted: DataFrame, assets: DataFrame) -> DataFrame:
+    """(id, held) of assets: the facets that some cell wants; assets that are alike in these have one profile."""
+    asked = assets.join(wanted.select("facet", "value").distinct(), ["facet", "value"], "left_semi")
+    return asked.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("facet", "value"))).alias("held"))
+
+
+def _covers(wanted: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``profiles`` (held, distinct) with each ``cell`` that they cover: cells meet profiles, however many assets have one."""
+    met = profiles.select("*", F.explode("held").alias("x")).select(*profiles.columns, "x.facet", "x.value").join(wanted, ["facet", "value"])
+    return met.groupBy("cell", *profiles.columns, "need").agg(F.count("*").alias("met")).filter(F.col("met") == F.col("need")).drop("need", "met")
 
 
 def closures(gaps: DataFrame, items: DataFrame, confirmed: DataFrame, assets: DataFrame) -> DataFrame:
@@ -113,6 +126,8 @@ def closures(gaps: DataFrame, items: DataFrame, confirmed: DataFrame, assets: Da
     human = gaps.join(by_item, "gap_id").select("gap_id", F.lit("confirmed").alias("path"), "n")
     rest = gaps.join(human.select("gap_id"), "gap_id", "left_anti")
     named = rest.withColumn("cell", _cell())
-    counts = _covers(named, assets).groupBy("cell").agg(F.count("*").alias("n"))
+    wanted = _wanted(named)
+    profiles = _profiles(wanted, assets).groupBy("held").agg(F.count("*").alias("assets"))
+    counts = _covers(wanted, profiles).groupBy("cell").agg(F.sum("assets").alias("n"))
     matched = named.join(counts, "cell").filter(F.col("n") >= F.coalesce("target", F.lit(1))).select("gap_id", F.lit("matched").alias("path"), "n")
     return human.unionByName(matched)

@@ -139,6 +139,28 @@ def test_gap_scan_and_closure(spark):
     assert {(r["gap_id"], r["path"]) for r in loop.closures(gaps, items, confirmed, facets).collect()} == {("g1", "confirmed"), ("g3", "matched")}
 
 
+def rows_of(plan):
+    """The most rows that a join of an executed plan gives."""
+    inner = [getattr(plan, k)() for name, k in (("AdaptiveSparkPlan", "executedPlan"), ("QueryStage", "plan"), ("ReusedExchange", "child")) if name in plan.nodeName()]
+    kids = plan.children()
+    counted = plan.metrics().get("numOutputRows")
+    own = counted.get().value() if "Join" in plan.nodeName() and counted.isDefined() else 0
+    return max([own, *(rows_of(p) for p in [*inner, *(kids.apply(i) for i in range(kids.size()))])])
+
+
+def test_alike_assets_meet_a_cell_once(spark):
+    assets = spark.range(2000).select("id", F.explode(F.create_map(F.lit("room"), (F.col("id") % 4).cast("string"), F.lit("light"), (F.col("id") % 10).cast("string"))).alias("facet", "value"))
+    cells = [(f"{r}-{x}", {"room": str(r), "light": str(x)}, 1) for r in range(4) for x in range(10)] + [("none", {}, 0)]
+    gaps = spark.createDataFrame(cells, "gap_id string, facets map<string,string>, target int")
+    items, confirmed = spark.createDataFrame([], "item_id string, origin_gap_id string"), spark.createDataFrame([], "id string, item_id string")
+    closed = loop.closures(gaps, items, confirmed, assets)
+    want = {(f"{r}-{x}", "matched", 100) for r in range(4) for x in range(10) if r % 2 == x % 2}
+    assert {tuple(r) for r in closed.collect()} == want
+    assert rows_of(closed._jdf.queryExecution().executedPlan()) <= 4000
+    covered = loop.covered_cells(gaps, assets)
+    assert {tuple(r) for r in covered.collect()} == {(f"{i % 4}-{i % 10}", i) for i in range(2000)}
+
+
 def test_rules(spark):
     row = one(
         spark,
