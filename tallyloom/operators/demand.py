@@ -172,8 +172,10 @@ def alias_pairs(terms: DataFrame, least: int, similar: float) -> DataFrame:
 
 def token_index(df: DataFrame, weights: dict[str, int]) -> DataFrame:
     """An inverted index (token, id, weight) over text columns, each with its weight."""
-    each = [df.select("id", F.explode(ascii_words(c)).alias("token"), F.lit(w).alias("w")) for c, w in weights.items()]
-    return reduce(DataFrame.unionByName, each).groupBy("token", "id").agg(F.sum("w").alias("weight"))
+    weighed = lambda w: lambda x: F.struct(x.alias("token"), F.lit(w).alias("w"))
+    each = [F.transform(ascii_words(c), weighed(w)) for c, w in weights.items()]
+    words = F.explode(F.flatten(F.array_compact(F.array(*each))))
+    return df.select("id", words.alias("x")).select("id", "x.token", "x.w").groupBy("token", "id").agg(F.sum("w").alias("weight"))
 
 
 def asset_facets(df: DataFrame, names: list[str]) -> DataFrame:
@@ -196,6 +198,20 @@ def alias_queue(index: DataFrame, aliases: DataFrame) -> DataFrame:
     return index.join(words, "token", "left_semi").select("id", F.lit("alias").alias("reason")).distinct()
 
 
+def _counted(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias(name))
+
+
+def _beside(a: DataFrame, b: DataFrame, columns: list[str], n: Column) -> DataFrame:
+    """Rows of two counted frames with ``n`` made of their counts.
+
+    A join, no union: adaptive plans take a union of sides that are partitioned alike for
+    partitioned, and fail once they change the join below one of them.
+    """
+    on = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
+    return a.alias("a").join(b.alias("b"), on, "full").select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in columns], n.alias("n"))
+
+
 def index_changes(index: DataFrame, after: DataFrame, queue: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """What changes in an index that ``build`` makes of rows: its rows with ``change``, -1 for those that go and 1 for those that come.
 
@@ -203,14 +219,15 @@ def index_changes(index: DataFrame, after: DataFrame, queue: DataFrame, build: C
     """
     touched = queue.select("id").distinct()
     old, new = index.join(touched, "id", "left_semi"), build(after.join(touched, "id", "left_semi"))
-    signed = old.withColumn("change", F.lit(-1)).unionByName(new.withColumn("change", F.lit(1)))
-    return signed.groupBy(*index.columns).agg(F.sum("change").cast("int").alias("change")).filter("change <> 0")
+    change = F.coalesce("came", F.lit(0)) - F.coalesce("went", F.lit(0))
+    return _beside(_counted(old, "went"), _counted(new, "came"), index.columns, change).filter("n <> 0").withColumnRenamed("n", "change")
 
 
 def index_applied(index: DataFrame, changes: DataFrame) -> DataFrame:
-    """``index`` after ``changes``; its other rows aren't built again."""
-    gone = changes.filter("change < 0").select(*index.columns)
-    return index.join(gone, index.columns, "left_anti").unionByName(changes.filter("change > 0").select(*index.columns))
+    """``index`` after ``changes``, each row as often as it is there; its other rows aren't built again."""
+    n = F.coalesce("held", F.lit(0)) + F.coalesce("change", F.lit(0))
+    kept = _beside(_counted(index, "held"), changes, index.columns, n).filter("n > 0")
+    return kept.select(*index.columns, F.explode(F.array_repeat(F.lit(True), F.col("n")))).select(*index.columns)
 
 
 def agreement(df: DataFrame, by: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import demand, lifecycle
+from tallyloom.plans import catalogue
 
 LOG = "token string, asset_id long, clicked boolean, at long"
 DAY = 86_400_000
@@ -76,6 +77,22 @@ def test_an_index_after_batches_equals_a_rebuild(spark):
     assert sorted(map(tuple, index.collect())) == sorted(map(tuple, build(before).collect()))
 
 
+def test_an_index_holds_a_row_as_often_as_its_assets_do(spark):
+    build = lambda rows: demand.asset_facets(rows, ["room"])
+    before, after = ([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (3, None)], [(1, "a"), (1, "b"), (1, "b"), (2, "a"), (3, "c"), (3, "c")])
+    index, after = build(spark.createDataFrame(before, "id long, room string")), spark.createDataFrame(after, "id long, room string")
+    queue = spark.createDataFrame([(1,), (3,)], "id long")
+    applied = demand.index_applied(index, demand.index_changes(index, after, queue, build))
+    assert sorted(map(tuple, applied.collect())) == sorted(map(tuple, build(after).collect()))
+
+
+@pytest.mark.parametrize("name", ["q92_index_upkeep", "q93_facet_upkeep"])
+def test_upkeep_is_without_unions(spark, name):
+    """Adaptive plans take a union of sides partitioned alike for partitioned, and fail once they change one of them."""
+    plan = catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "Union" not in plan
+
+
 def test_a_queue_names_what_changed_and_what_an_alias_touches(spark):
     schema = "id long, text string"
     before, after = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "")], schema), spark.createDataFrame([(1, "a"), (2, ""), (3, "d"), (5, "e")], schema)
