@@ -26,7 +26,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialised, set_apart, table
+from .common import materialised, narrow_reads, set_apart, table
 
 #: 1 looks, 0 ignores; five words are looked at.  Whatever words of a window of 11, 12 or 13 are substituted, as many as SHARE allows, one of these fits.
 MASKS = ("1101011", "11100011", "101100101")
@@ -70,7 +70,7 @@ def masks_for(length: int) -> tuple[str, ...]:
 
 def words(text: Column) -> Column:
     """The words of a text in lower case, without punctuation; none for null."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{LETTERS}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), rf"[^{LETTERS}]+"), "")
 
 
 def _hashes(text: Column) -> Column:
@@ -78,16 +78,16 @@ def _hashes(text: Column) -> Column:
 
 
 def _seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
-    """``rows`` (with ``hashes``) once for each place and mask that fits: ``at``, ``mask`` (its number), ``span``, ``seed``."""
+    """``rows`` (with ``hashes``) once for each place and mask that fits: ``at``, ``mask`` (its number), ``span``, ``seed``.
 
-    def seed(k: int, mask: str) -> Column:
-        looked = [F.get("hashes", F.col("at") + o) for o, c in enumerate(mask) if c == "1"]
-        fits = F.col("at") + len(mask) <= F.size("hashes")
-        return F.struct(F.lit(k).alias("mask"), F.lit(len(mask)).alias("span"), F.when(fits, F.xxhash64(F.lit(k), *looked)).alias("seed"))
-
-    placed = rows.filter(F.size("hashes") > 0).select("*", F.explode(F.sequence(F.lit(0), F.size("hashes") - 1)).alias("at"))
-    each = placed.select("*", F.explode(F.array(*[seed(k, m) for k, m in enumerate(masks)])).alias("s"))
-    return each.select(*rows.columns, "at", F.col("s.mask").alias("mask"), F.col("s.span").alias("span"), F.col("s.seed").alias("seed")).filter(F.col("seed").isNotNull())
+    Only numbers are made for a place, no arrays or structs, and nothing that a filter would work out a second time.
+    """
+    placed = rows.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.size("hashes") - 1, F.lit(0)))).alias("at"))
+    each = placed.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), F.lit(len(m)).alias("span")) for k, m in enumerate(masks)])).alias("m"))
+    fits = each.select(*rows.columns, "at", F.col("m.mask").alias("mask"), F.col("m.span").alias("span")).filter(F.col("at") + F.col("span") <= F.size("hashes"))
+    hashed = [F.xxhash64(F.lit(k), *[F.get("hashes", F.col("at") + o) for o, c in enumerate(m) if c == "1"]) for k, m in enumerate(masks)]
+    seed = reduce(lambda rest, k: F.when(F.col("mask") == k, hashed[k]).otherwise(rest), range(len(masks) - 1), hashed[-1])
+    return fits.withColumn("seed", seed)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -112,32 +112,37 @@ def overlaps(df: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", tex
     )
     blocks = max(1, -(-seeds.count() // BLOCK_ROWS))
     docs = df.select(F.col(id_column).alias("id"), F.xxhash64(text_column).alias("text_key"), _hashes(F.col(text_column)).alias("hashes"))
-    probes = _seeds(docs, masks or list(MASKS))
-
-    def hits(block: int) -> DataFrame:
-        # whole items, of BLOCK_ROWS seeds together, about; an item has no more words than seeds and a mask's length
-        mine = F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == block
-        return probes.join(F.broadcast(seeds.filter(mine)), ["seed", "span"]).join(F.broadcast(items.filter(mine)), "item_key")
-
-    found = reduce(DataFrame.unionByName, [hits(b) for b in range(blocks)])
+    probes = _seeds(docs, masks or list(MASKS)).drop("mask", "span")
+    # of a document, the words that windows around a seed reach: a hit takes no more memory in a long document than in a short one
+    start = F.greatest(F.col("at") - WINDOW, F.lit(0))
+    near_seed = F.slice("hashes", start + 1, F.col("at") + WINDOW - start)
     window = F.least(F.size("item"), F.lit(WINDOW))
     lag = F.col("at") - F.col("item_at")
     low = F.greatest(F.lit(0), F.col("item_at") + F.col("span") - window, -lag)
-    high = F.least(F.size("item"), F.col("item_at") + window, F.size("hashes") - lag)
-    near = found.withColumns({"window": window, "low": low, "high": high, "lag": lag}).filter("high - low >= window")
+    high = F.least(F.size("item"), F.col("item_at") + window, F.col("words") - lag)
     agree = F.zip_with(
-        F.slice("hashes", F.col("lag") + F.col("low") + 1, F.col("high") - F.col("low")),
+        F.slice("near_seed", F.col("lag") + F.col("low") - F.col("start") + 1, F.col("high") - F.col("low")),
         F.slice("item", F.col("low") + 1, F.col("high") - F.col("low")),
         lambda a, b: (a == b).cast("int"),
     )
-    local = near.select("id", "text_key", "item_key", "item_id", "window", agree.alias("agree"))
     sums = F.transform(
         F.sequence(F.lit(0), F.size("agree") - F.col("window")),
         lambda s: F.aggregate(F.slice("agree", s + 1, F.col("window")), F.lit(0), lambda a, x: a + x),
     )
-    checked = local.select("id", "text_key", "item_key", "item_id", "window", F.array_max(sums).alias("matched"))
-    best = checked.filter(F.col("matched") * 100 >= F.col("window") * SHARE)
-    pairs = best.groupBy("id", "text_key", "item_key").agg(F.first("item_id").alias("item_id"), F.max("matched").alias("matched"), F.first("window").alias("window"))
+
+    def hits(block: int) -> DataFrame:
+        # whole items, of BLOCK_ROWS seeds together, about; an item has no more words than seeds and a mask's length
+        mine = F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == block
+        hit = probes.join(F.broadcast(seeds.filter(mine)), "seed").withColumns({"start": start, "words": F.size("hashes"), "near_seed": near_seed}).drop("hashes", "seed")
+        found = hit.join(F.broadcast(items.filter(mine)), "item_key")
+        near = found.withColumns({"window": window, "low": low, "high": high, "lag": lag}).filter("high - low >= window")
+        local = near.select("id", "text_key", "item_key", "item_id", "window", agree.alias("agree"))
+        return local.select("id", "text_key", "item_key", "item_id", "window", F.array_max(sums).alias("matched"))
+
+    # written block by block, so one block's seeds are broadcast at a time, and the tasks that read documents hold no table of groups
+    with narrow_reads(df.sparkSession):
+        checked = reduce(DataFrame.unionByName, [materialised(hits(b).filter(F.col("matched") * 100 >= F.col("window") * SHARE)) for b in range(blocks)])
+    pairs = checked.groupBy("id", "text_key", "item_key").agg(F.first("item_id").alias("item_id"), F.max("matched").alias("matched"), F.first("window").alias("window"))
     return pairs.drop("item_key")
 
 

@@ -118,3 +118,38 @@ def test_repeated_rows_and_items_are_single_pairs(spark):
     docs = spark.createDataFrame([(1, "x one two three y")] * 3, "doc_id long, text string")
     items = spark.createDataFrame([(9, "one two three"), (4, "One, two three"), (9, "one two three")], "item_id long, text string")
     assert [(r["id"], r["item_id"], r["matched"]) for r in d.overlaps(docs, items).collect()] == [(1, 4, 3)]
+
+
+def test_documents_meet_one_block_at_a_time_and_hits_carry_few_words(spark, monkeypatch):
+    docs, items = corpus()
+    plans, width = [], []
+
+    def materialised(df, write=d.materialised):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        width.append(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+        return write(df)
+
+    before = spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    monkeypatch.setattr(d, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(d, "materialised", materialised)
+    found = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["id"], r["item_id"]): r["matched"] for r in found.collect()} == brute(docs, items)
+    blocks = [(p, w) for p, w in zip(plans, width, strict=True) if "BroadcastHashJoin" in p]
+    assert len(blocks) > 2
+    for plan, rows in blocks:
+        assert plan.count("BroadcastExchange") == 2 and "Aggregate" not in plan and int(rows) < 1024
+        below = plan.split("BroadcastHashJoin [item_key")[1].split("\n")[1]
+        assert "near_seed" in below and ", hashes#" not in below.split("slice(")[0]
+        # the words of each text are split once
+        assert plan.count("split(lower(") == 1
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == before
+
+
+def test_a_passage_beside_the_ends_of_a_long_document(spark):
+    item = "a b c d e f g h i j k l m"
+    filler = " ".join(f"w{i % 9973}" for i in range(3000))
+    docs = [(1, f"{item} {filler}"), (2, f"{filler} {item}"), (3, f"{filler} {item} {filler} {item.replace('c', 'X')}"), (4, f"{item} {filler}".replace("a b c", "X Y c")), (5, filler + " " + item[:-2])]
+    items = [(9, item), (10, " ".join(f"z{i}" for i in range(30)))]
+    found = d.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["id"], r["item_id"]): r["matched"] for r in found.collect()} == {(1, 9): 13, (2, 9): 13, (3, 9): 13, (4, 9): 11}
